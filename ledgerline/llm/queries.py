@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing
-from .common import small_batches, table
+from . import chat, decontaminate, mixing, secrets, warc
+from .common import shared_dir, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,86 @@ Query = Callable[[SparkSession, str], DataFrame]
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole document: the base kinds and those the operator adds."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array(*[F.lit(r.kind) for r in secrets.RULES])
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["stop"])), ",")
+    base = F.filter("secret_spans", lambda s: s["rank"] < 3)
+    count = lambda rank: F.size(F.filter("secret_spans", lambda s: s["rank"] == rank)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown("secret_spans").alias("spans"))
+
+
+def _sql_spans(rank: int, rule: secrets.Rule) -> str:
+    step = f"(?s)(.*?)(?:({rule.pattern})|\\z)".replace("'", "''")
+    return f"""SELECT r, {rank} AS rank, '{rule.kind}' AS kind, pos - length(hit) AS start, pos AS stop FROM (
+  SELECT r, hit, m, sum(length(before) + length(hit)) OVER (PARTITION BY r ORDER BY k) AS pos FROM (
+    SELECT r, generate_subscripts(b, 1) AS k, unnest(b) AS before, unnest(h) AS hit, unnest(g) AS m FROM (
+      SELECT r, regexp_extract_all(text, '{step}', 1) AS b, regexp_extract_all(text, '{step}', 2) AS h, regexp_extract_all(text, '{step}', {2 + rule.group}) AS g FROM doc)))
+  WHERE length(m) >= {rule.least}"""
+
+
+_UNION = " UNION ALL ".join(_sql_spans(k, r) for k, r in enumerate(secrets.RULES))
+SQL1 = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+span AS ({_UNION}),
+of AS (SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+  string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, rank) AS spans FROM span GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM doc LEFT JOIN of USING (r)
+"""
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like control strings, through log, fold, template and back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    log = chat.turns_as_events(rows.unionByName(odd))
+    back = chat.read_back(chat.render(chat.fold_events(log)))
+    learned = F.array_join("learned", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+#: Length of a text after escaping: one more for each <, [ and backslash.
+_ESCAPED = r"length(regexp_replace({0}, '[<\[\\]', '..', 'g'))"
+
+SQL3 = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.BEGIN) + len(chat.TEXT) + len(chat.END)} + {_ESCAPED.format('role')} + {_ESCAPED.format('text')}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written to seekable bundles and read back from them."""
+    small_batches(spark)
+    index = warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), shared_dir(spark))
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Five hexadecimal digits are four characters of base32.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {5 * j + 1}, 5))::BIGINT >> {shift}) & 31)::INT, 1)" for j in range(8) for shift in (15, 10, 5, 0)
+)
+
+SQL4 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to FROM d
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten benchmark words in every whole document."""
     small_batches(spark)
@@ -53,6 +133,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {"op6_decontamination": op6_decontamination, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op3_chat": op3_chat, "op4_warc": op4_warc, "op6_decontamination": op6_decontamination, "op10_mixing": op10_mixing}
 
-ORACLES: dict[str, str] = {"op6_decontamination": SQL6}
+ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op3_chat": SQL3, "op4_warc": SQL4, "op6_decontamination": SQL6}
