@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, secrets, warc
+from . import ann, chat, decontaminate, mixing, secrets, warc
 from .common import shared_dir, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,12 +127,19 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN of USING (r)
 """
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors, by cosine, of every fiftieth vector."""
+    small_batches(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights of their sources, with 3 times their size at most."""
     small_batches(spark)
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op3_chat": op3_chat, "op4_warc": op4_warc, "op6_decontamination": op6_decontamination, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op3_chat": op3_chat, "op4_warc": op4_warc, "op6_decontamination": op6_decontamination, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing}
 
 ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op3_chat": SQL3, "op4_warc": SQL4, "op6_decontamination": SQL6}

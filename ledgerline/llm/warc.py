@@ -96,7 +96,7 @@ class Bundle:
 
         self.path, self.limit = path, frame_bytes
         system, inner = _file(path)
-        self.out, self.zip = system.open_output_stream(inner), zstandard.ZstdCompressor(level=3)
+        self.out, self.zip = system.open_output_stream(inner, compression=None), zstandard.ZstdCompressor(level=3)
         self.frames: list[tuple[int, int]] = []
         self.at, self.parts, self.size, self.open_rows = 0, [], 0, []
 
@@ -148,8 +148,8 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
         bundle = None
         for pdf in batches:
             found: list[tuple] = []
-            for page_id, url, html, refers_to, revisit in zip(pdf["page_id"].astype(object), pdf["url"], pdf["html"], pdf["refers_to"].astype(object), pdf["revisit"], strict=True):
-                page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
+            for page_id, url, html, refers_to, revisit in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], pdf["revisit"], strict=True):
+                page_id, refers_to = (None if x is None else int(x) for x in (page_id, refers_to))
                 bundle = bundle or Bundle(f"{folder}/{uuid.uuid4().hex}.warc.zst", frame_bytes)
                 raw = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to, revisit)
                 found.extend(bundle.add(raw, (page_id, "revisit" if revisit else "response", refers_to if revisit else None)))
@@ -184,7 +184,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         rows.join(refers, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
         .withColumn("nth", nth)
         .withColumn("revisit", F.coalesce(F.col("known") & (~F.col("page_id").eqNullSafe(F.col("refers_to")) | (F.col("nth") > 1)), F.lit(False)))
-        .select("page_id", "url", "html", "refers_to", "revisit")
+        .select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "revisit")  # pandas makes floats of numbers with nulls
     )
     index = chosen.mapInPandas(_writer(f"{folder}/bundles", frame_bytes, bundle_bytes), INDEX)
     index.write.parquet(f"{folder}/index")
