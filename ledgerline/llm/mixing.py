@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Most rows of a first-level block, on average, and the number of blocks that meet in one node of the tree.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 FAN_IN = 64
 
 WORDS = r"[^\x20\x09-\x0D]+"
