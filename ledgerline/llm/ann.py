@@ -3,8 +3,9 @@
 Each tree halves a bounded sample of the vectors by random hyperplanes at the median until a node has
 few of them; the planes are all that is fitted, and every vector is then put into a leaf of each tree.
 A query walks all trees through one shared queue, always opening the node whose plane is nearest to it
-among those not yet opened, until the leaves it has reached hold ``search`` vectors as far as the
-sample tells. Where a query meets a leaf, cosines with all of the leaf's vectors are taken and the best
+among those not yet opened, until the leaves it has reached hold so many vectors that ``goal`` of the
+true neighbours among the sample are met (clustered vectors need few leaves; for vectors without any
+structure no tree helps much, and a fixed share of the table is searched). Where a query meets a leaf, cosines with all of the leaf's vectors are taken and the best
 few kept; the best of these over all leaves of the query are the answer.
 
 Hot spots: equal vectors have equal cosines, so of a class of equal vectors only the ``k + 1`` smallest
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Trees, vectors of the sample, and vectors in a leaf, in the whole table as far as the sample tells.
+#: Trees, vectors of the sample, and vectors of the whole table in a leaf, as far as the sample tells.
 TREES = 16
 SAMPLE = 20_000
-LEAF = 256
-#: Vectors that a query wants its leaves to hold, over all trees.
-SEARCH = 12_000
+LEAF = 1_024
+#: Share of true neighbours that a search must meet among the sample; it sets how many leaves a query opens.
+GOAL = 0.97
 #: Vectors in one share of a leaf.
 SHARE = 2_048
 
@@ -137,24 +138,48 @@ def _probe(forest, shares, search):
     return run
 
 
+def calibrate(forest: list[Tree], points: np.ndarray, k: int, goal: float, rng: np.random.Generator, queries: int = 100) -> float:
+    """The weight of leaves after which ``goal`` of the true neighbours of some of the points have been met."""
+    if len(points) <= k + 1:
+        return float("inf")
+    leaf_of = [tree.leaves(points) for tree in forest]
+    needed = []
+    for q in rng.choice(len(points), min(queries, len(points)), replace=False):
+        near = points @ points[q]
+        near[q] = -np.inf
+        true = np.argpartition(near, -k)[-k:]
+        left = {int(j) for j in true}
+        held = 0
+        for t, leaf in probe(forest, points[q], float("inf")):
+            held += forest[t].weight[leaf]
+            found = {j for j in left if leaf_of[t][j] == leaf}
+            needed += [held] * len(found)
+            left -= found
+            if not left:
+                break
+    return float(np.quantile(needed, goal))
+
+
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines of each query with each row in double precision, components added in order."""
-    dot = np.zeros((len(query), len(rows)))
-    qq, rr = np.zeros(len(query)), np.zeros(len(rows))
-    for d in range(query.shape[1]):
-        dot += query[:, d, None] * rows[None, :, d]
-        qq += query[:, d] ** 2
+    """The cosine of each row with the query in double precision, components added in order."""
+    dot, qq, rr = np.zeros(len(rows)), 0.0, np.zeros(len(rows))
+    for d in range(len(query)):
+        dot += query[d] * rows[:, d]
+        qq += query[d] ** 2
         rr += rows[:, d] ** 2
-    return dot / (np.sqrt(qq)[:, None] * np.sqrt(rr)[None, :])
+    return dot / (np.sqrt(qq) * np.sqrt(rr))
 
 
-def best(score: np.ndarray, query_ids, id_lists, k: int) -> list[tuple]:
-    """(query_id, vec_id, score): for each query the k best, ties to the smaller identifier, its own left out."""
+def best(rough: np.ndarray, queries: np.ndarray, rows: np.ndarray, query_ids, id_lists, k: int) -> list[tuple]:
+    """(query_id, vec_id, score): for each query the k best, ties to the smaller identifier, its own left out.
+
+    rough has the cosines up to rounding; whatever may be among the best is measured exactly.
+    """
     out = []
-    keep = min(k + 1, score.shape[1])
-    for q, row in zip(query_ids, score, strict=True):
-        least = np.partition(row, -keep)[-keep]
-        found = sorted((-row[j], int(i)) for j in np.flatnonzero(row >= least) for i in id_lists[j] if i != q)
+    keep = min(k + 1, rough.shape[1])
+    for q, vector, row in zip(query_ids, queries, rough, strict=True):
+        near = np.flatnonzero(row >= np.partition(row, -keep)[-keep] - 1e-9)
+        found = sorted((-s, int(i)) for j, s in zip(near, cosines(vector, rows[near]), strict=True) for i in id_lists[j] if i != q)
         seen: set[int] = set()
         for s, i in found:
             if i not in seen:
@@ -170,16 +195,19 @@ def _meet(k: int, block: int = 256):
         found: list[tuple] = []
         if len(queries) and len(rows):
             have = np.asarray(list(rows["vector"]), np.float64)
+            unit = have / np.sqrt((have**2).sum(axis=1, keepdims=True))
             ids = list(rows["ids"])
             for at in range(0, len(queries), block):
                 part = queries.iloc[at : at + block]
-                found += best(cosines(np.asarray(list(part["vector"]), np.float64), have), part["query_id"].tolist(), ids, k)
+                ask = np.asarray(list(part["vector"]), np.float64)
+                rough = (ask / np.sqrt((ask**2).sum(axis=1, keepdims=True))) @ unit.T
+                found += best(rough, ask, have, part["query_id"].tolist(), ids, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, search: int = SEARCH, share: int = SHARE, seed: int = 9) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, goal: float = GOAL, share: int = SHARE, seed: int = 9) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row of queries, by cosine.
 
     A query's own identifier is no candidate of its.
@@ -197,11 +225,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     # leaves of the whole table; the sample's are as much smaller as it is
     part = len(points) / total if total else 1.0
     forest = grow(points, trees, max(4, int(leaf * part)), seed)
+    search = calibrate(forest, points, k, goal, np.random.default_rng(seed))
     shares = [np.maximum(1, np.ceil(np.asarray(tree.weight) / max(part, 1e-12) / share)).astype(int) for tree in forest]
     sent = spark.sparkContext.broadcast(forest)
     same = F.size("vector") == length
     index = classes.filter(same).mapInPandas(_assign(sent, shares), "tree int, leaf int, share int, ids array<long>, vector array<float>")
-    asked = pick(queries).withColumnRenamed("id", "query_id").filter(same).mapInPandas(_probe(sent, shares, search * part), "tree int, leaf int, share int, query_id long, vector array<float>")
+    asked = pick(queries).withColumnRenamed("id", "query_id").filter(same).mapInPandas(_probe(sent, shares, search), "tree int, leaf int, share int, query_id long, vector array<float>")
     met = asked.groupBy("tree", "leaf", "share").cogroup(index.groupBy("tree", "leaf", "share")).applyInPandas(_meet(k), "query_id long, vec_id long, score double")
     once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
