@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, mixing, secrets, warc
+from . import ann, chat, decontaminate, mixing, neardup, secrets, warc
 from .common import shared_dir, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,27 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 """
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are similar to 0.8."""
+    small_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
+_WORDS5 = "regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
+SQL5 = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_WORDS5.format('text')} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM doc)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+often AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM often JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, least(doc.doc_id, coalesce(b, doc.doc_id)) AS component_id,
+  doc.doc_id <= coalesce(b, doc.doc_id) AS kept FROM doc LEFT JOIN n ON n.doc_id = doc.doc_id LEFT JOIN least ON a = doc.doc_id
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten benchmark words in every whole document."""
     small_batches(spark)
@@ -140,6 +161,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op3_chat": op3_chat, "op4_warc": op4_warc, "op6_decontamination": op6_decontamination, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing}
 
-ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op3_chat": SQL3, "op4_warc": SQL4, "op6_decontamination": SQL6}
+ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op3_chat": SQL3, "op4_warc": SQL4, "op5_near_duplicates": SQL5, "op6_decontamination": SQL6}
