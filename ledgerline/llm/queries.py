@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, mixing, neardup, secrets, warc
+from . import ann, chat, decontaminate, mixing, neardup, secrets, toxicity, warc
 from .common import shared_dir, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +148,15 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN of USING (r)
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every whole document, from labels outside the held-out fold."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors, by cosine, of every fiftieth vector."""
     small_batches(spark)
@@ -161,6 +170,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing}
 
 ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op3_chat": SQL3, "op4_warc": SQL4, "op5_near_duplicates": SQL5, "op6_decontamination": SQL6}
