@@ -176,14 +176,18 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html")
     ).withColumn("digest", F.unhex(F.sha2(F.col("html"), 256)))
-    keys = rows.select("page_id", "digest", (F.octet_length("html") >= least_bytes).alias("shared")).filter("shared").distinct()
+    # a key of identifier and content that is never null, so that one exchange serves the join and the order of repeats
+    rows = rows.withColumn("key", F.xxhash64("page_id", "digest"))
+    keys = rows.filter(F.octet_length("html") >= least_bytes).select("key", "page_id", "digest").distinct()
     largest = keys.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("refers_to"))
-    refers = keys.join(largest, F.col("digest") == F.col("d")).select(F.col("page_id").alias("p"), "d", "refers_to", F.lit(True).alias("known"))
-    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    refers = keys.join(largest, F.col("digest") == F.col("d")).select("key", "d", "refers_to")
+    repeats = Window.partitionBy("key", "digest", "page_id").orderBy("url")
+    first = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("nth") == 1)
     chosen = (
-        rows.join(refers, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-        .withColumn("nth", nth)
-        .withColumn("revisit", F.coalesce(F.col("known") & (~F.col("page_id").eqNullSafe(F.col("refers_to")) | (F.col("nth") > 1)), F.lit(False)))
+        rows.withColumnRenamed("digest", "d").join(refers, ["key", "d"], "left")
+        .withColumnRenamed("d", "digest")
+        .withColumn("nth", F.row_number().over(repeats))
+        .withColumn("revisit", (F.octet_length("html") >= least_bytes) & ~first)
         .select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "revisit")  # pandas makes floats of numbers with nulls
     )
     index = chosen.mapInPandas(_writer(f"{folder}/bundles", frame_bytes, bundle_bytes), INDEX)
