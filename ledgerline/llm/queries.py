@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, mixing, neardup, secrets, toxicity, warc
+from . import ann, chat, decontaminate, licenses, lm_score, mixing, neardup, secrets, toxicity, warc
 from .common import shared_dir, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,25 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents under the counts of all documents."""
+    out = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_backoff", F.round("log_score", 3).alias("log_score"))
+
+
+SQL2 = r"""
+WITH d AS (SELECT doc_id, list_append(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> ''), NULL) AS h FROM documents),
+pos AS (SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, h FROM d),
+p AS (SELECT doc_id, CASE WHEN i > 1 THEN h[i - 1] END AS v, i = 1 AS first, coalesce(h[i], chr(0)) AS w FROM pos),
+single AS (SELECT w, count(*) AS single FROM p GROUP BY w),
+both_ AS (SELECT v, w, count(*) AS both_ FROM p WHERE NOT first GROUP BY v, w HAVING count(*) >= 2),
+met AS (SELECT doc_id, p.v, p.w, both_ FROM p LEFT JOIN both_ ON NOT first AND p.v = both_.v AND p.w = both_.w),
+s AS (SELECT doc_id, both_ IS NULL AS off, CASE WHEN both_ IS NOT NULL THEN ln(both_ / single) ELSE ln(0.4 * single / (SELECT count(*) FROM p)) END AS s
+  FROM met JOIN single ON single.w = CASE WHEN both_ IS NOT NULL THEN met.v ELSE met.w END)
+SELECT doc_id, count(*) AS n_words, count(*) FILTER (off) AS n_backoff, round(sum(s), 3) AS log_score FROM s GROUP BY doc_id
+"""
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts look like control strings, through log, fold, template and back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -157,6 +176,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices that whole documents hold."""
+    return licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_VALUES8 = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.TEMPLATES.items())
+_SHINGLES8 = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))"
+_WORDS8 = r"regexp_extract_all(lower(coalesce({0}, '')), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+SQL8 = f"""
+WITH t AS (SELECT license, {_SHINGLES8} AS s FROM (SELECT license, {_WORDS8.format('text')} AS w FROM (VALUES {_VALUES8}) v(license, text))),
+ts AS (SELECT license, len(s) AS n, unnest(s) AS x FROM t),
+d AS (SELECT r, doc_id, unnest({_SHINGLES8}) AS x FROM (SELECT row_number() OVER () AS r, doc_id, {_WORDS8.format('text')} AS w FROM documents))
+SELECT doc_id, license, count(*) AS n_found, n AS n_shingles FROM d JOIN ts USING (x) GROUP BY r, doc_id, license, n HAVING count(*) >= 0.8 * n
+"""
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors, by cosine, of every fiftieth vector."""
     small_batches(spark)
@@ -170,6 +205,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing}
 
-ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op3_chat": SQL3, "op4_warc": SQL4, "op5_near_duplicates": SQL5, "op6_decontamination": SQL6}
+ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op2_lm_score": SQL2, "op8_licenses": SQL8, "op3_chat": SQL3, "op4_warc": SQL4, "op5_near_duplicates": SQL5, "op6_decontamination": SQL6}
