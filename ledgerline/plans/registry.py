@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import analytics
+
+QUERIES: dict = {**analytics.QUERIES}
+ORACLES: dict = {**analytics.ORACLES}
