@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics
+from . import analytics, process
 
-QUERIES: dict = {**analytics.QUERIES}
-ORACLES: dict = {**analytics.ORACLES}
+QUERIES: dict = {**analytics.QUERIES, **process.QUERIES}
+ORACLES: dict = {**analytics.ORACLES, **process.ORACLES}
