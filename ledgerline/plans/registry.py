@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, process
+from . import analytics, entities, process
 
-QUERIES: dict = {**analytics.QUERIES, **process.QUERIES}
-ORACLES: dict = {**analytics.ORACLES, **process.ORACLES}
+QUERIES: dict = {**analytics.QUERIES, **process.QUERIES, **entities.QUERIES}
+ORACLES: dict = {**analytics.ORACLES, **process.ORACLES, **entities.ORACLES}
