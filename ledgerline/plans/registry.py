@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, entities, process
+from . import analytics, entities, intake, process
 
-QUERIES: dict = {**analytics.QUERIES, **process.QUERIES, **entities.QUERIES}
-ORACLES: dict = {**analytics.ORACLES, **process.ORACLES, **entities.ORACLES}
+QUERIES: dict = {**analytics.QUERIES, **process.QUERIES, **entities.QUERIES, **intake.QUERIES}
+ORACLES: dict = {**analytics.ORACLES, **process.ORACLES, **entities.ORACLES, **intake.ORACLES}
