@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, entities, intake, process
+from . import analytics, entities, intake, process, reporting
 
-QUERIES: dict = {**analytics.QUERIES, **process.QUERIES, **entities.QUERIES, **intake.QUERIES}
-ORACLES: dict = {**analytics.ORACLES, **process.ORACLES, **entities.ORACLES, **intake.ORACLES}
+QUERIES: dict = {**analytics.QUERIES, **process.QUERIES, **entities.QUERIES, **intake.QUERIES, **reporting.QUERIES}
+ORACLES: dict = {**analytics.ORACLES, **process.ORACLES, **entities.ORACLES, **intake.ORACLES, **reporting.ORACLES}
