@@ -54,7 +54,7 @@ class Tree:
     def __init__(self, points: np.ndarray, leaf: int, rng: np.random.Generator):
         self.plane, self.offset, self.left, self.right, self.weight = [], [], [], [], []
         self.root = self._grow(points, np.arange(len(points)), leaf, rng)
-        self.plane = np.asarray(self.plane, np.float32).reshape(len(self.offset), -1)
+        self.plane = np.asarray(self.plane, np.float32).reshape(len(self.offset), points.shape[1])
 
     def _grow(self, points, rows, leaf, rng) -> int:
         if len(rows) > leaf:
