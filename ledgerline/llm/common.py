@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.storage import shared_dir, stage
+
+__all__ = ["shared_dir", "small_batches", "stage", "table"]
+
 #: Rows of an Arrow batch: documents can be long, so a batch holds few of them.
 BATCH_ROWS = 500
 
@@ -16,29 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the folder that all executors share (spark.checkpoint.dir).
-
-    Where the setting is absent (tests, a local session) a temporary folder is made and set once.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers: few documents in an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

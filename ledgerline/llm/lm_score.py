@@ -1,64 +1,177 @@
-"""Language-model scores by stupid backoff, as joins of count tables with exploded n-grams.
+"""Language-model scores by stupid backoff: count tables by hash, joined to the n-grams of documents.
 
-The model is the corpus itself: counts of words and of word pairs over all documents, with an end mark
+The model is the corpus itself: counts of words and of pairs of words over all documents, with an end mark
 after each text. Pairs seen fewer than LEAST times are not in the model. A word after another scores
-count(pair) / count(first), or, where the model doesn't have the pair, BACKOFF * count(word) / total.
-The score of a document is the sum of the logarithms over its words and the end mark.
+count(pair) / count(first), or, where the model doesn't have the pair, BACKOFF * count(word) / total; so
+does the first word of a text. The score of a document is the sum of the logarithms over its words and the
+end mark.
 
-Count tables and exploded pairs are partitioned by the hash of the pair and handled in SLICES slices of
-the hash space, one after the other, so that only one slice of the exploded corpus is on disk at a time;
-what a slice leaves behind is one partial sum a document. Frequent words and pairs are aggregated before
-they are shuffled, and joins on them are left to adaptive splitting.
+An n-gram a row would shuffle several times the corpus, so rows carry many: documents are gathered into
+blocks of BLOCK words, kept as a table, and a block asks for the counts of its distinct words and pairs with
+one packed row for each partition of the hash space. A partition sums what all blocks report, which is the
+count table for its share of the hashes, and answers each block in the order it was asked; a block with its
+answers scores its documents. An n-gram costs a block one entry however often it occurs, so frequent words
+and pairs weigh no more than others, and partitions are as many as blocks, so none outgrows memory.
 
-Defined results: null and wordless texts have the end mark alone, which scores -inf never, since it is
-counted itself; rows that share an identifier are scored as one document, also those with none; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null and wordless texts have the end mark alone; rows that share an identifier are scored
+as one document, also those with none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
+from .neardup import _Hashes, _mix
 
 BACKOFF = 0.4
 LEAST = 2
-SLICES = 4
+#: Words of a block; a longer document is a block of its own.
+BLOCK = 1_500_000
 
+_END = np.uint64(0)
+_BLOCKS = "block long, n long, ids array<long>, lengths array<int>, words binary, places binary"
+_ASKED = "block long, kind int, part int, keys binary, counts binary"
+_TOLD = "block long, kind int, part int, counts binary"
+_SCORES = "doc_id long, n_words long, s double, n_backoff long"
 
-def _release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any longer."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
 
+def _pack(a: np.ndarray) -> bytes:
+    import zstandard
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slices: int = SLICES, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
+    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+
+
+def _unpack(b: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
+def _pack48(keys: np.ndarray) -> bytes:
+    """Six bytes of each key; the rest is what chose the partition."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack48(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _make_blocks(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        hashes = _Hashes()
+        ids, parts, held = [], [], 0
+
+        def close() -> pd.DataFrame:
+            words, places = np.unique(np.concatenate(parts), return_inverse=True)
+            row = (uuid.uuid4().int >> 65, held, list(ids), [len(p) for p in parts], _pack(words), _pack(places.astype(np.int32)))
+            ids.clear()
+            parts.clear()
+            return pd.DataFrame([row], columns=[c.split()[0] for c in _BLOCKS.split(", ")])
+
+        for pdf in batches:
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                words = text.lower().encode("utf-8", "surrogatepass").split() if text else []
+                coded = np.empty(len(words) + 1, np.uint64)
+                coded[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                coded[-1] = _END
+                ids.append(None if doc_id is None else int(doc_id))
+                parts.append(coded)
+                held += len(coded)
+                if held >= size:
+                    yield close()
+                    held = 0
+        if parts:
+            yield close()
+
+    return run
+
+
+def _grams(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words and the place of each word among them, distinct pairs and each word's pair, and which words come first."""
+    words, places = _unpack(row.words, np.uint64), _unpack(row.places, np.int32)
+    first = np.zeros(len(places), bool)
+    first[np.concatenate([[0], np.cumsum(row.lengths)[:-1]]).astype(int)] = True
+    coded = words[places]
+    before = np.concatenate([[_END], coded[:-1]])
+    pairs, of = np.unique(_mix(before * np.uint64(0x9E3779B97F4A7C15) + coded), return_inverse=True)
+    return words, places, pairs, of, first
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((_mix(keys) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+
+
+def _ask(parts: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                words, places, pairs, of, first = _grams(row)
+                out = []
+                for kind, keys, counts in ((0, words, np.bincount(places, minlength=len(words))), (1, pairs, np.bincount(of[~first], minlength=len(pairs)))):
+                    part = _part(keys, parts)
+                    order = np.argsort(part, kind="stable")
+                    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                    for p in range(parts):
+                        mine = order[cuts[p] : cuts[p + 1]]
+                        if len(mine):
+                            out.append((row.block, kind, p, _pack48(keys[mine]), _pack(counts[mine].astype(np.uint32))))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _ASKED.split(", ")])
+
+    return run
+
+
+def _count(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum what all blocks report of one partition, and answer each of them in its own order."""
+    keys = [_unpack48(b) for b in pdf["keys"]]
+    own = np.concatenate([_unpack(b, np.uint32) for b in pdf["counts"]])
+    _, of = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(of, weights=own).astype(np.uint64)[of]
+    cuts = np.cumsum([0] + [len(k) for k in keys])
+    return pdf[["block", "kind", "part"]].assign(counts=[_pack(total[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _score(total: int, parts: int, least: int, backoff: float):
+    def run(blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in blocks.itertuples(index=False):
+            words, places, pairs, of, first = _grams(row)
+            answers = []
+            for kind, keys in ((0, words), (1, pairs)):
+                part = _part(keys, parts)
+                order = np.argsort(part, kind="stable")
+                mine = told[told["kind"] == kind].sort_values("part")
+                counts = np.empty(len(keys), np.float64)
+                counts[order] = np.concatenate([_unpack(b, np.uint64) for b in mine["counts"]])
+                answers.append(counts)
+            single, both = answers[0][places], answers[1][of]
+            hit = ~first & (both >= least)
+            before = np.concatenate([[1.0], single[:-1]])
+            s = np.where(hit, np.log(np.maximum(both, 1) / before), np.log(backoff * single / total))
+            starts = np.concatenate([[0], np.cumsum(row.lengths)[:-1]]).astype(int)
+            out.append(pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "n_words": np.asarray(row.lengths, np.int64), "s": np.add.reduceat(s, starts), "n_backoff": np.add.reduceat((~hit).astype(np.int64), starts)}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_words": np.empty(0, np.int64), "s": np.empty(0), "n_backoff": np.empty(0, np.int64)})
+
+    return run
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, backoff: float = BACKOFF, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, log_score, n_backoff): n_words counts the end mark, n_backoff the words that backed off."""
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.array(F.lit(0).cast("long"))).alias("h"))
-    single = stage(hashed.select(F.explode("h").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("single")))
-    total = single.agg(F.sum("single")).first()[0] or 0
-    # the first word has no word before it and is scored alone, as a pair with null
-    pairs = hashed.select("doc_id", F.explode(F.zip_with(F.concat(F.array(F.lit(None).cast("long")), F.slice("h", 1, F.size("h") - 1)), "h", lambda v, w: F.struct(v.alias("v"), w.alias("w")))).alias("p")).select("doc_id", "p.v", "p.w")
-    done = []
-    for k in range(slices):
-        part = pairs.filter(F.pmod(F.xxhash64("v", "w"), F.lit(slices)) == k)
-        counts = part.filter("v IS NOT NULL").groupBy("v", "w").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= least)
-        met = part.join(counts, ["v", "w"], "left")
-        hit = F.col("both").isNotNull()
-        # a document's rows with the same outcome go on as one
-        keyed = met.select("doc_id", F.when(hit, F.col("v")).otherwise(F.col("w")).alias("key"), "both")
-        scored = keyed.join(single, "key").select(
-            "doc_id", hit.cast("long").alias("hit"),
-            F.when(hit, F.log(F.col("both") / F.col("single"))).otherwise(F.log(F.lit(backoff) * F.col("single") / F.lit(total))).alias("s"),
-        )
-        done.append(stage(scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("s").alias("s"), F.sum(1 - F.col("hit")).alias("n_backoff"))))
-        _release(docs)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"), F.sum("n_backoff").alias("n_backoff"))
+    # as text, since pandas makes floats of numbers with nulls
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = stage(rows.mapInPandas(_make_blocks(block), _BLOCKS))
+    counted = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n")).first()
+    parts, total = max(8, counted["blocks"]), counted["n"] or 0
+    asked = blocks.mapInPandas(_ask(parts), _ASKED)
+    told = asked.groupBy("kind", "part").applyInPandas(_count, _TOLD)
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_score(total, parts, least, backoff), _SCORES)
+    return scored.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"), F.sum("n_backoff").alias("n_backoff"))
