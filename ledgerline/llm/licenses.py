@@ -76,7 +76,7 @@ def prepare(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str, l
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED) -> DataFrame:
     """(doc_id, license, n_found, n_shingles): a row for each document and template that it holds."""
-    known = prepare(docs.sparkSession, templates)
+    known = prepare(docs.sparkSession, templates) if templates else []
     long_array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
     if not known:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("license"), F.lit(0).cast("long").alias("n_found"), F.lit(0).cast("long").alias("n_shingles")).limit(0)
