@@ -13,8 +13,8 @@ identifiers can be in any answer, and only those go on (an exact reduction); a l
 is dealt out in ``shares``, each of which meets the leaf's queries on its own.
 
 Defined results: vectors that are null, all zero, or hold a null or a component that is not finite take
-no part, as query or candidate; nor do vectors of another length than the longest in the sample; ties go
-to the smaller identifier; rows without an identifier are left out; of rows that repeat an identifier
+no part, as query or candidate; nor do vectors of another length than most of the sample have; ties go to
+the smaller identifier; rows without an identifier are left out; of rows that repeat an identifier
 with different vectors each is a candidate of its own, and the identifier is listed once, at its best;
 an empty table gives an empty result.
 """
@@ -220,7 +220,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     classes = stage(several.groupBy("vector").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")).withColumn("h", F.abs(F.xxhash64("vector") % (1 << 40))))
     total = classes.count()
     fitted = classes.orderBy("h", "vector").limit(sample).toPandas()
-    length = int(fitted["vector"].map(len).max()) if len(fitted) else 0
+    length = int(fitted["vector"].map(len).mode().max()) if len(fitted) else 0
     points = _units([v for v in fitted["vector"] if len(v) == length]) if length else np.zeros((0, 1), np.float32)
     # leaves of the whole table; the sample's are as much smaller as it is
     part = len(points) / total if total else 1.0

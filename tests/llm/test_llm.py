@@ -341,7 +341,7 @@ def test_neighbours_recall(spark):
     vectors = [[float(x) for x in np.float32(centers[i % 20] + 0.3 * rng.normal(size=16))] for i in range(1500)]
     for i in range(300, 400):
         vectors[i] = vectors[0]
-    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5004, [1.0] * 3), (5005, []), (None, vectors[1])]
+    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5004, [1.0] * 3), (5005, []), (5006, [1.0] * 99), (None, vectors[1])]
     df = spark.createDataFrame(list(enumerate(vectors)) + odd, "vec_id long, embedding array<float>")
     got = {}
     for r in ann.nearest(df, df.filter("vec_id % 50 = 0 OR vec_id > 4000"), leaf=64, share=100).orderBy("query_id", "rank").collect():
