@@ -86,3 +86,35 @@ def resolve_reviews(queue: DataFrame, decided: DataFrame) -> DataFrame:
     """The queue with pending items of decided messages (message_id, status) closed."""
     held = decided.select("message_id", F.col("status").alias("_status"))
     return queue.join(held, "message_id", "left").withColumn("status", F.when((F.col("status") == "pending") & F.col("_status").isNotNull(), F.col("_status")).otherwise(F.col("status"))).select(*queue.columns)
+
+
+def mark_negative(messages: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, links) after companies in gone (id) turned out not to matter: their mail is unlinked and marked, secondary links go."""
+    flagged = messages.join(gone.select(F.col("id").alias("company_id"), F.lit(True).alias("_gone")), "company_id", "left")
+    kept = F.col("_gone").isNull()
+    mail = flagged.select(*[F.when(kept, F.col(c)).alias(c) if c in ("company_id", "application_id") else F.when(kept, F.col(c)).otherwise(F.lit("rule:negative")).alias(c) if c == "classified_by" else F.col(c) for c in messages.columns])
+    return mail, links.join(gone.select(F.col("id").alias("company_id")), "company_id", "left_anti").select(*links.columns)
+
+
+def apply_audit(messages: DataFrame, events: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, events) after an audit plan (id, action, target): links change, and what unlinked or moved mail evidenced goes."""
+    held = plan.select("id", "action", F.col("target").alias("_target"))
+    touched = F.col("action").isNotNull()
+    rows = messages.join(held, "id", "left")
+    mail = rows.select(*[F.when(F.col("action") == "relink", F.col("_target")).when(~touched | (F.col("action") != "unlink"), F.col(c)).alias(c) if c == "company_id" else F.when(~touched, F.col(c)).alias(c) if c == "application_id" else F.col(c) for c in messages.columns])
+    return mail, events.join(plan.select(F.col("id").alias("evidence_message_id")), "evidence_message_id", "left_anti").select(*events.columns)
+
+
+def record_conversations(conversations: DataFrame, applications: DataFrame, events: DataFrame, terminal: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(applications, events) after talks held off mail: a stage becomes an event of the generation that the application
+    shows, and a final stage settles the outcome, forward in time only.
+
+    conversations: id, application_id, occurred_at, stage.
+    """
+    told = conversations.filter("stage IS NOT NULL").join(applications.select(F.col("id").alias("application_id"), "derived_at"), "application_id")
+    new = told.select(F.concat(F.lit("talk-"), "id").alias("id"), "application_id", "stage", "occurred_at", F.lit(None).cast("string").alias("evidence_message_id"), "derived_at")
+    before = events.filter(F.col("stage").isin(*terminal)).groupBy("application_id").agg(F.max("occurred_at").alias("_ended"))
+    last = told.filter(F.col("stage").isin(*terminal)).groupBy("application_id").agg(F.max_by(F.struct("stage", "occurred_at"), F.struct("occurred_at", "id")).alias("_t")).join(before, "application_id", "left")
+    settled = last.filter(F.col("_ended").isNull() | (F.col("_t.occurred_at") >= F.col("_ended"))).select(F.col("application_id").alias("id"), F.col("_t.stage").alias("_outcome"))
+    apps = applications.join(settled, "id", "left").withColumn("outcome", F.coalesce("_outcome", "outcome")).select(*applications.columns)
+    return apps, events.unionByName(new.select(*events.columns))

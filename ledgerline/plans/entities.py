@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import lists, mutate, quality, search
 from ledgerline.operators import resolve as rs
+from ledgerline.schemas import TERMINAL as TERMINAL_STAGES
 
 from .adapters import record
 from .process import _NORM
@@ -152,3 +153,11 @@ ORACLES["retrieval_scorecard"] = f"""WITH {_GOLD}, e AS (SELECT g, 0 AS layer, '
 SELECT layer, family, count(*) FILTER (hit) AS fetched, count(*) FILTER (hit) / count(*) AS share, count(*) FILTER (hit AND g) / count(*) FILTER (g) AS recall, coalesce(count(*) FILTER (hit AND g) / nullif(count(*) FILTER (hit), 0), 0) AS precision FROM e GROUP BY 1, 2"""
 add("embedding_coverage", lambda r: r.message.agg(F.count(F.lit(1)).alias("total"), F.count("classified_by").alias("covered")), "SELECT count(*) AS total, count(classified_by) AS covered FROM message")
 add("latest_review_of_domain", lambda r: lists.latest(r.review_queue.join(r.message.select(F.col("id").alias("message_id"), "sender_domain"), "message_id"), "sender_domain", "created_at", "id", "reason"), "SELECT sender_domain, id, reason, created_at FROM (SELECT q.*, m.sender_domain, row_number() OVER (PARTITION BY sender_domain ORDER BY q.created_at DESC, q.id DESC) AS k FROM review_queue q JOIN message m ON m.id = q.message_id) WHERE k = 1")
+_GONE = lambda r: r.company.filter("kind = 'agency'").select("id")
+add("mark_negative", lambda r: mutate.mark_negative(r.message, r.message.select(F.col("id").alias("message_id"), "company_id"), _GONE(r))[0].select("id", "company_id", "application_id", "classified_by"), "SELECT m.id, CASE WHEN kind <> 'agency' THEN company_id END AS company_id, CASE WHEN kind <> 'agency' THEN application_id END AS application_id, CASE WHEN kind <> 'agency' THEN classified_by ELSE 'rule:negative' END AS classified_by FROM message m JOIN company c ON c.id = m.company_id")
+_PLAN = lambda r: r.message.filter("direction = 'outbound'").select("id", F.when(F.col("classified_by").isNull(), "relink").otherwise("unlink").alias("action"), (F.col("company_id") + 1).alias("target"))
+add("apply_audit", lambda r: mutate.apply_audit(r.message, r.stage_event, _PLAN(r))[0].select("id", "company_id", "application_id"), "SELECT id, CASE WHEN direction <> 'outbound' THEN company_id WHEN classified_by IS NULL THEN company_id + 1 END AS company_id, CASE WHEN direction <> 'outbound' THEN application_id END AS application_id FROM message")
+add("apply_audit_events", lambda r: mutate.apply_audit(r.message, r.stage_event, _PLAN(r))[1].select("id", "stage"), "SELECT e.id, e.stage FROM stage_event e JOIN message m ON m.id = e.evidence_message_id WHERE m.direction <> 'outbound'")
+_TALKS = lambda r: r.application.filter("id % 6 = 0").select(F.col("id").cast("string").alias("id"), F.col("id").alias("application_id"), (F.col("started_at") + F.expr("INTERVAL 60 DAYS")).alias("occurred_at"), F.expr("CASE id % 4 WHEN 0 THEN 'accepted' WHEN 2 THEN 'offer' END").alias("stage"))
+add("record_conversations", lambda r: mutate.record_conversations(_TALKS(r), r.application, r.stage_event, TERMINAL_STAGES)[0].select("id", "outcome"), """SELECT id, CASE WHEN id % 12 = 0 AND started_at + INTERVAL 60 DAY >= coalesce((SELECT max(occurred_at) FROM stage_event e WHERE e.application_id = a.id AND e.stage IN ('rejected', 'withdrawn', 'accepted', 'declined')), TIMESTAMP '1900-01-01') THEN 'accepted' ELSE outcome END AS outcome FROM application a""")
+add("record_conversation_events", lambda r: mutate.record_conversations(_TALKS(r), r.application, r.stage_event, TERMINAL_STAGES)[1].select("id", "application_id", "stage", "derived_at"), "SELECT id, application_id, stage, derived_at FROM stage_event UNION ALL SELECT concat('talk-', id), id, CASE id % 4 WHEN 0 THEN 'accepted' ELSE 'offer' END, derived_at FROM application WHERE id % 6 = 0 AND id % 4 IN (0, 2)")
