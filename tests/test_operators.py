@@ -160,3 +160,35 @@ def test_classification_loop_ends(spark):
     left = [3, 2, 1, 0]
     ran = jobs.classify_loop(lambda: spark.range(left.pop(0)), lambda b: b, lambda d: None)
     assert ran == 3
+
+
+def test_deleting_a_company_returns_its_mail(spark):
+    companies = spark.createDataFrame([(1,), (2,)], "id long")
+    apps = spark.createDataFrame([(10, 1), (20, 2)], "id long, company_id long")
+    ev = spark.createDataFrame([("e1", 10), ("e2", 20)], "id string, application_id long")
+    mail = spark.createDataFrame([("a", 1, 10, "model"), ("b", 2, 20, "model"), ("c", None, None, None)], "id string, company_id long, application_id long, classified_by string")
+    c, a, e, m = mutate.delete_companies(companies, apps, ev, mail, companies.filter("id = 1"))
+    assert [r["id"] for r in c.collect()] == [2] and [r["id"] for r in a.collect()] == [20] and [r["id"] for r in e.collect()] == ["e2"]
+    assert {r["id"]: (r["company_id"], r["classified_by"]) for r in m.collect()} == {"a": (None, None), "b": (2, "model"), "c": (None, None)}
+
+
+def test_verdicts_name_their_reasons(spark):
+    cols = "learned string, known boolean, thread boolean, labels array<string>, bulk boolean"
+    rows = [(None, False, False, None, False), ("negative", True, False, [], True), ("undecided", False, False, ["CATEGORY_SOCIAL"], False), (None, False, False, ["INBOX", "CATEGORY_FORUMS"], False), (None, False, False, [], True)]
+    got = [tuple(r["v"]) for r in spark.createDataFrame(rows, cols).select(rules.verdict(*[F.col(c.split()[0]) for c in cols.split(", ")]).alias("v")).collect()]
+    assert [(s, list(w)) for s, w in got] == [
+        ("undecided", []), ("positive", ["known-contact", "learned:negative", "bulk-header"]), ("undecided", ["learned:undecided", "label:CATEGORY_SOCIAL"]), ("negative", ["label:CATEGORY_FORUMS"]), ("undecided", ["bulk-header"]),
+    ]
+
+
+def test_readings_of_odd_shape_are_errors(spark):
+    from ledgerline.operators import classify
+
+    raw = ['{"label": "positive", "stage": " OFFER ", "company_name": "None"}', '[{"label": "x"}]', '[{"label": "positive"}, {}]', "[]", "text", "", None, "3"]
+    got = [(r["ok"], r["label"], r["stage"], r["company_name"]) for r in classify.coerce(spark.createDataFrame(list(enumerate(raw)), "id int, raw string")).orderBy("id").collect()]
+    assert got == [(True, "positive", "offer", None), (True, "unclassified", None, None)] + [(False, None, None, None)] * 6
+
+
+def test_scorecard_of_nothing(spark):
+    row = quality.scorecard(spark.createDataFrame([], "predicted boolean, gold boolean")).first()
+    assert (row["precision"], row["recall"], row["f1"], row["noise_accuracy"]) == (0.0, 0.0, 0.0, 1.0)
