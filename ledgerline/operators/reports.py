@@ -133,14 +133,10 @@ def find_company(rec, needle: str) -> DataFrame:
     """The company that a text names: exactly, by domain, or within its name, in this order."""
     low = needle.strip().lower()
     name, domain = F.lower("canonical_name"), F.lower("domain")
-    kind = F.when(name == low, 0).when(domain == nz_domain(low), 1).when(F.contains(name, F.lit(low)), 2)
+    kind = F.when(name == low, 0).when(domain == nz.normalise_domain(F.lit(low)), 1).when(F.contains(name, F.lit(low)), 2)
     return rec.company.withColumn("_k", kind).filter("_k IS NOT NULL").orderBy("_k", "id").limit(1).select("id", "canonical_name", "domain")
 
 
-def nz_domain(text: str):
-    return nz.normalise_domain(F.lit(text))
-
-
 def verification_inputs(rec, verified: DataFrame, most: int = 60) -> DataFrame:
     """(company_id, id, n): the newest messages of companies not verified yet, numbered from the oldest."""
     rows = rec.message.filter("company_id IS NOT NULL").join(verified.select("company_id"), "company_id", "left_anti")

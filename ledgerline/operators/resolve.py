@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,7 +59,7 @@ _ASSIGNED = "id string, company_id long, application string"
 def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
     """Fold one company's mentions, in order of time, into applications."""
     stop = set(nz.TITLE_STOPWORDS)
-    words = lambda t: {w for w in __import__("re").split(r"[^a-z0-9]+", (t or "").lower()) if w and w not in stop}
+    words = lambda t: {w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if w and w not in stop}
     span = pd.Timedelta(days=WINDOW_DAYS)
     apps: list[dict] = []
     out = []

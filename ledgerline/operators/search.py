@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +55,7 @@ def full_text(index: DataFrame, query: str) -> DataFrame:
         first = F.col("at")[words[0]]
         if len(words) == 1:
             return first.isNotNull()
-        follow = lambda p: __import__("functools").reduce(lambda a, b: a & b, [F.array_contains(F.col("at")[w], p + k) for k, w in enumerate(words[1:], 1)])
+        follow = lambda p: reduce(and_, [F.array_contains(F.col("at")[w], p + k) for k, w in enumerate(words[1:], 1)])
         return F.coalesce(F.exists(first, follow), F.lit(False))
 
     for clause in clauses:
