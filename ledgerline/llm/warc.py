@@ -179,13 +179,12 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     # a key of identifier and content that is never null, so that one exchange serves the join and the order of repeats
     rows = rows.withColumn("key", F.xxhash64("page_id", "digest"))
     keys = rows.filter(F.octet_length("html") >= least_bytes).select("key", "page_id", "digest").distinct()
-    largest = keys.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("refers_to"))
-    refers = keys.join(largest, F.col("digest") == F.col("d")).select("key", "d", "refers_to")
+    largest = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
+    refers = keys.join(largest, "digest").select("key", "digest", "refers_to")
     repeats = Window.partitionBy("key", "digest", "page_id").orderBy("url")
     first = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("nth") == 1)
     chosen = (
-        rows.withColumnRenamed("digest", "d").join(refers, ["key", "d"], "left")
-        .withColumnRenamed("d", "digest")
+        rows.join(refers, ["key", "digest"], "left")
         .withColumn("nth", F.row_number().over(repeats))
         .withColumn("revisit", (F.octet_length("html") >= least_bytes) & ~first)
         .select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "revisit")  # pandas makes floats of numbers with nulls
