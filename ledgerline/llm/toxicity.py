@@ -6,7 +6,8 @@ out or set apart by dots still resembles its plain form. Characters that are nei
 widen a span and are otherwise no part of it. Kernels are divided by the norms of both tokens, and
 values under LEAST count as none. Landmarks are tokens of the labelled texts that mark toxic ones best
 and don't resemble each other too much. A sentence has, for each landmark, the largest kernel with any
-of its tokens; the Nyström map turns these into the features of a linear machine with squared hinge
+of its tokens; beside each kernel counts a power of it, a kernel too, which tells a token from one that
+lacks a letter; the Nyström map turns these into the features of a linear machine with squared hinge
 loss. Sentences of clean texts are its negatives, sentences of toxic texts with any resemblance to a
 landmark its positives. A text scores as its most toxic sentence, turned into a probability by a
 logistic curve fitted to the labelled texts. Landmarks with characters put between their letters are
@@ -33,10 +34,14 @@ from pyspark.sql import functions as F
 
 DECAY, SPAN, LEAST = 0.8, 6, 0.45
 LANDMARKS, ALIKE = 96, 0.8
+#: A power of the kernel that counts beside it: it tells a token from another that lacks a letter.
+SHARP = 4
 #: Standard errors by which a landmark's shares of toxic and clean texts differ at least.
 CLEAR = 5.0
 #: Labelled rows of each class that are fitted at most.
 SAMPLE = 2_500
+#: Texts whose tokens are held at once while fitting.
+PART = 200
 #: Longest piece of a token that is compared as a whole; longer tokens are cut into overlapping pieces.
 PIECE = 24
 
@@ -79,6 +84,11 @@ def kernel(x: str, y: str) -> float:
     return sum(v * b[u] for u, v in a.items() if u in b) / both if both else 0.0
 
 
+def _both(kernels: np.ndarray) -> np.ndarray:
+    """The kernels and their SHARP-th powers, which are a kernel as well."""
+    return np.concatenate([kernels, kernels**SHARP], axis=-1)
+
+
 class Landmarks:
     """Kernels of many tokens with all landmarks.
 
@@ -170,15 +180,16 @@ class Scorer:
         self.hot.update(self.landmarks.measure_all(fresh))
         self.seen |= fresh
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
-        """The largest margin of any sentence, for each text."""
+    def margins(self, texts: list[str | None], fresh: bool = True) -> np.ndarray:
+        """The largest margin of any sentence, for each text; fresh: there may be tokens not measured yet."""
         lists = [tokens_of(t) if t else [] for t in texts]
-        self._learn(lists)
+        if fresh:
+            self._learn(lists)
         out = np.full(len(texts), self.offset)
         for i, tokens in enumerate(lists):
             if hot := self.hot.keys() & set(tokens):
                 rows = sentence_rows(texts[i], hot, self.hot)
-                out[i] = max(out[i], max((float(r @ self.direct) for r in rows), default=0.0) + self.offset)
+                out[i] = max(out[i], max((float(_both(r) @ self.direct) for r in rows), default=0.0) + self.offset)
         return out
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
@@ -194,16 +205,29 @@ def sentence_rows(text: str, hot: set[str], kernels: dict[str, np.ndarray]) -> l
     return rows
 
 
-def choose_landmarks(positive: list[set[str]], negative: list[set[str]], most: int = LANDMARKS) -> list[str]:
-    """Tokens whose share of toxic texts exceeds their share of clean ones the most, unlike each other."""
-    pos, neg = Counter(t for s in positive for t in s), Counter(t for s in negative for t in s)
+def bag(text: str | None) -> set[str]:
+    return {p for t in tokens_of(text or "") for p in pieces(t)}
+
+
+def choose_landmarks(positive: list[str], negative: list[str], most: int = LANDMARKS) -> list[str]:
+    """Tokens whose share of toxic texts exceeds their share of clean ones the most, unlike each other.
+
+    Texts are counted one by one, and of clean ones only what toxic ones have, so that counts are all that is held.
+    """
+    pos: Counter = Counter()
+    for text in positive:
+        pos.update(bag(text))
+    pos = Counter({t: n for t, n in pos.items() if n >= 3 and len(t) >= 4})
+    neg: Counter = Counter()
+    for text in negative:
+        neg.update(t for t in bag(text) if t in pos)
     n, m = len(positive), len(negative)
 
     def gain(t: str) -> float:
         p, q, both = pos[t] / n, neg[t] / m, (pos[t] + neg[t]) / (n + m)
         return (p - q) / ((both * (1 - both) * (1 / n + 1 / m)) ** 0.5 or 1.0)
 
-    ranked = sorted((t for t in pos if pos[t] >= 3 and len(t) >= 4 and pos[t] / n > 8 * (neg[t] + 0.5) / m and gain(t) > CLEAR), key=lambda t: (-gain(t), t))
+    ranked = sorted((t for t in pos if pos[t] / n > 8 * (neg[t] + 0.5) / m and gain(t) > CLEAR), key=lambda t: (-gain(t), t))
     chosen: dict[str, dict[str, float]] = {}
     for t in ranked[: 20 * most]:
         f = features(t)
@@ -253,15 +277,17 @@ def _curve(margins: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def fit(texts: list[str], toxic: list[int]) -> Scorer | None:
     """A model from labelled texts; None unless both classes occur and some token tells them apart."""
-    bags = [{p for t in tokens_of(x or "") for p in pieces(t)} for x in texts]
     label = np.asarray(toxic)
     if not label.any() or label.all():
         return None
-    names = choose_landmarks([b for b, y in zip(bags, label, strict=True) if y], [b for b, y in zip(bags, label, strict=True) if not y])
+    names = choose_landmarks([t for t, y in zip(texts, label, strict=True) if y], [t for t, y in zip(texts, label, strict=True) if not y])
     if not names:
         return None
     landmarks = Landmarks(names)
-    kernels = landmarks.measure_all({t for x in texts for t in tokens_of(x or "")})
+    parts = [texts[i : i + PART] for i in range(0, len(texts), PART)]
+    kernels: dict[str, np.ndarray] = {}
+    for part in parts:
+        kernels.update(landmarks.measure_all({t for x in part for t in tokens_of(x or "")} - kernels.keys()))
     rows, signs = [np.zeros(len(names))], [-1.0]
     for text, y in zip(texts, label, strict=True):
         found = sentence_rows(text or "", kernels.keys() & set(tokens_of(text or "")), kernels)
@@ -272,15 +298,18 @@ def fit(texts: list[str], toxic: list[int]) -> Scorer | None:
     rows += disguised
     signs += [1.0] * len(disguised)
     gram = np.array([[kernel(a, b) for b in names] for a in names])
-    values, vectors = np.linalg.eigh(gram)
-    map_ = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    map_ = np.zeros((2 * len(names), 2 * len(names)))
+    for k, g in enumerate((gram, gram**SHARP)):
+        values, vectors = np.linalg.eigh(g)
+        map_[k * len(names) : (k + 1) * len(names), k * len(names) : (k + 1) * len(names)] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     signs_ = np.asarray(signs)
     # the sentence without resemblance stands for all clean ones like it
     weight = np.ones(len(signs_))
     weight[0] = max(1.0, (signs_ > 0).sum())
-    weights, offset = _machine(np.asarray(rows) @ map_, signs_, weight)
+    weights, offset = _machine(_both(np.asarray(rows)) @ map_, signs_, weight)
     scorer = Scorer(landmarks, map_, weights, offset, 1.0, 0.0)
-    scorer.slope, scorer.shift = _curve(scorer.margins(texts), label.astype(float))
+    scorer.hot = kernels
+    scorer.slope, scorer.shift = _curve(np.concatenate([scorer.margins(part, fresh=False) for part in parts]), label.astype(float))
     scorer.seen, scorer.hot = set(), {}
     return scorer
 
