@@ -4,18 +4,21 @@ Texts become sets of hashed word shingles; documents with equal sets are one cla
 work is on classes. A class has a signature of TREES * DEPTH minima. Tree t orders the classes by the
 signature read cyclically from place t * DEPTH on; classes that agree on the first DEPTH values form a
 region of the tree, and a region of more than REGION classes is told apart by longer prefixes, as many
-values as it takes, so that depth adapts to where the classes are dense. Classes that agree on all of
-the longest prefix are taken in runs that overlap by one.
+values as it takes, so that depth adapts to where the classes are dense. All classes of such a region are
+also taken in runs of the order, of REGION classes that overlap by half, each run with the classes that
+look most like the middle of their part of the region.
 
 Within a region signatures say how similar two classes are about; what is 3 standard deviations under
-the threshold is left out. Links are then found on whole sets in two rounds:
+the threshold is left out. Links are then found on whole sets in three rounds:
 
 1. each class with its best partner over all regions; components of the links that hold;
 2. in regions where classes that look similar still lie in different components, all such pairs, the
-   most similar first, until the region has nothing left to join.
+   most similar first, until the region has nothing left to join;
+3. among the classes of all dense regions, what the bound REGION may have kept apart: an exact
+   prefix-filter join over the shingles that occur in two components or more.
 
 So components need no list of all pairs in a group of copies, and a pair at the threshold is met in one
-tree at least with probability 1 - (1 - 0.8 ** 4) ** 24, above 0.99999, in regions of ordinary size.
+tree at least with probability 1 - (1 - 0.8 ** 4) ** 24, above 0.99999, however dense its regions are.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; a text with
 fewer words than a shingle is one shingle; rows that share an identifier are one document if both are
@@ -38,6 +41,10 @@ TREES, DEPTH = 24, 4
 SIZE = TREES * DEPTH
 REGION = 512
 DEEPER = (6, 8, 12, 16, 24, 48, 96)
+#: Classes from the middle of a dense region that are added to each of its runs.
+LEADERS = 8
+#: Classes of a posting list that are joined with each other in one piece.
+BLOCK = 1024
 
 # Fixed odd multipliers and masks of the hash functions, from a seeded generator.
 _RNG = np.random.default_rng(5)
@@ -155,6 +162,21 @@ def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Overlapping runs of the rows of a dense region, in the order they come, each with the leaders; a run is named by its first class."""
+    half = max(1, REGION // 2)
+    for rows in _regions(batches):
+        ids = rows["rep"].to_numpy()
+        low = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(ids), SIZE)
+        middle = np.array([np.bincount(low[:, j], minlength=256).argmax() for j in range(SIZE)], np.uint8)
+        lead = ids[np.argsort(-(low == middle).sum(axis=1), kind="stable")[:LEADERS]]
+        out = []
+        for at in range(0, max(1, len(ids) - half), half):
+            run = np.union1d(ids[at : at + 2 * half], lead)
+            out.append(pd.DataFrame({"tree": rows["tree"].iloc[0], "region": rows["region"].iloc[0], "run": ids[at], "rep": run}))
+        yield pd.concat(out)
+
+
 def _estimates(sigs: np.ndarray) -> np.ndarray:
     """About how similar each pair is, from one byte of each minimum."""
     n = len(sigs)
@@ -282,8 +304,8 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
-def _in_regions(reps: DataFrame) -> DataFrame:
-    """(tree, region, rep) for the regions with two classes or more; reps: rep, sig."""
+def _in_regions(reps: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(tree, region, rep) for the regions with two classes or more, and the classes (rep) of dense regions, if any; reps: rep, sig; short: rep, low."""
     first = [F.struct(F.lit(t).alias("tree"), F.xxhash64(*[F.col("sig")[t * DEPTH + d] for d in range(DEPTH)]).alias("region")) for t in range(TREES)]
     rows = reps.select("rep", F.explode(F.array(*first)).alias("at")).select("rep", "at.tree", "at.region")
     whole = Window.partitionBy("tree", "region")
@@ -291,18 +313,46 @@ def _in_regions(reps: DataFrame) -> DataFrame:
     out = rows.filter(F.col("n") <= REGION).select("tree", "region", "rep")
     dense = rows.filter(F.col("n") > REGION)
     if not dense.limit(1).count():
-        return out
+        return out, None
     turned = dense.join(reps, "rep").withColumn("sig", F.slice(F.concat("sig", "sig"), F.col("tree") * DEPTH + 1, SIZE))
+    turned = stage(turned.select("rep", "tree", "region", "sig"))
+    order = ["tree", "region", F.slice("sig", DEPTH + 1, 12), "rep"]
+    runs = turned.join(short, "rep").repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "region", "rep", "low").mapInPandas(_runs, "tree int, region long, run long, rep long")
+    out = out.unionByName(stage(runs.select("tree", F.xxhash64("region", "run", F.lit("run")).alias("region"), "rep")))
+    within = turned.select("rep").distinct()
     for depth in DEEPER:
         turned = turned.withColumn("deeper", F.xxhash64("region", F.slice("sig", 1, depth)))
         turned = turned.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tree", "deeper")))
         out = out.unionByName(turned.filter((F.col("n") > 1) & (F.col("n") <= REGION)).select("tree", F.col("deeper").alias("region"), "rep"))
         turned = stage(turned.filter(F.col("n") > REGION).select("rep", "tree", "region", "sig", "deeper"))
         if not turned.limit(1).count():
-            return out
-    nth = F.row_number().over(Window.partitionBy("tree", "deeper").orderBy("rep")) - 1
-    runs = turned.withColumn("nth", nth).withColumn("run", F.explode(F.array_distinct(F.array(F.floor(F.col("nth") / REGION), F.floor((F.col("nth") - 1) / REGION)))))
-    return out.unionByName(runs.select("tree", F.xxhash64("deeper", "run").alias("region"), "rep"))
+            break
+    return out, within
+
+
+def _across(within: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of some classes that may be links between components; within: rep; comps: node, comp; sets: rep, set.
+
+    Similar sets share a shingle of their prefixes, in any order of shingles. Here those that occur in one
+    component alone come first and then the rare ones; the former meet nothing in another component, so
+    only the rest is joined, and classes with too few others are left out. Long posting lists are joined in
+    pairs of blocks.
+    """
+    named = within.join(sets, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), "set")
+    split = F.pandas_udf(lambda s: pd.Series([np.frombuffer(b, np.int64) for b in s]), "array<long>")
+    each = named.select("rep", "comp", (F.length("set") / 8).cast("long").alias("n"), F.explode(split("set")).alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s", "f")
+    need = F.ceil(F.col("n") * percent / 100)
+    mixed = each.join(often, "s").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("m")).filter(F.size("m") >= need)
+    posted = stage(mixed.select("rep", "comp", "n", F.explode(F.slice("m", F.lit(1), (F.size("m") - need + 1).cast("int"))).alias("p")).select("rep", "comp", "n", "p.s"))
+    parts = posted.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s", "k")
+    dealt = posted.join(parts, "s").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = dealt.select("s", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "rep", "comp", "n")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    met = (F.col("x.s") == F.col("y.s")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    fits = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.lo") == F.col("x.hi")))
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    return x.join(y, met & fits & sizes).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -317,19 +367,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = F.pandas_udf(lambda s: pd.Series([np.asarray(x, np.int32).view(np.uint8)[::4].tobytes() for x in s]), "binary")
     reps = classes.select("rep", "sig")
     short = reps.select("rep", low("sig").alias("low"))
-    regions = stage(_in_regions(reps))
+    regions, within = _in_regions(reps, short)
+    regions = stage(regions)
 
     ordered = lambda df: df.repartition("tree", "region").sortWithinPartitions("tree", "region", "rep")
     guess = ordered(regions.join(short, "rep")).mapInPandas(_partners(percent), "rep long, other long, near double")
     best = guess.groupBy("rep").agg(F.max(F.struct("near", (-F.col("other")).alias("other"))).alias("m"))
     pairs = stage(best.select(F.least("rep", -F.col("m.other")).alias("a"), F.greatest("rep", -F.col("m.other")).alias("b")).filter("a <> b").distinct())
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    wanted = (wanted if within is None else wanted.unionByName(within)).distinct()
     whole = rows.withColumnRenamed("doc_id", "rep").join(wanted.hint("shuffle_hash"), "rep", "left_semi")
     sets = stage(whole.select("rep", _sets(width)("text").alias("set")))
     left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
-    held = pairs.join(left, "a").join(right, "b").select("a", "b", _verify(percent)("sa", "sb").alias("ok")).filter("ok").select("a", "b")
-    first = components(held)
+    links_of = lambda p: p.join(left, "a").join(right, "b").select("a", "b", _verify(percent)("sa", "sb").alias("ok")).filter("ok").select("a", "b")
+    first = components(links_of(pairs))
 
     named = regions.join(first.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     by = Window.partitionBy("tree", "region")
@@ -338,6 +390,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = ordered(apart.join(sets, "rep").select("tree", "region", "rep", "comp", "low", "set")).mapInPandas(_join(percent), "a long, b long")
     links = first.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
     final = components(links)
+    if within is not None:
+        rest = links_of(stage(_across(within, final, sets, percent)))
+        final = components(final.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(rest))
 
     of = classes.select("f1", "f2", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp", "rep").alias("found"))
     out = signed.select("doc_id", "f1", "f2", "n_shingles").join(of, ["f1", "f2", "n_shingles"], "left")

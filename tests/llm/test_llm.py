@@ -203,6 +203,40 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, region):
         assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
 
 
+def test_components_of_dense_regions_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    docs = near_copies(7, groups=4, size=60)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(docs, DOCS), width=4).collect()}
+    assert got == brute_components(docs, 4, 80)
+
+
+def test_pairs_across_components_are_complete(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    docs = [(i, t) for i, t in near_copies(8, groups=3, size=30) if t and t.strip()]
+    sets = {i: neardup.shingle_set(t, 4, neardup._Hashes()) for i, t in docs}
+    held = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "rep long, set binary")
+    comps = spark.createDataFrame([(i, i % 50) for i in sets], "node long, comp long")
+    got = {(r["a"], r["b"]) for r in neardup._across(held.select("rep"), comps, held, 80).collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if a % 50 != b % 50 and neardup.similar(sets[a], sets[b], 80)}
+    assert want and want <= got
+
+
+def test_large_family_of_near_copies_is_one_component(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(120)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 10_000):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice([1, 2, 3])):
+            w[k] = word()
+        docs.append((i, " ".join(w)))
+    # three replaced words touch 12 of 117 shingles, so each copy is a link of the first: 105 / 129 > 0.8
+    found = neardup.near_duplicates(spark.createDataFrame(docs, DOCS), width=4)
+    assert [r["component_id"] for r in found.select("component_id").distinct().collect()] == [0]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)]
