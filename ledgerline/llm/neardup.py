@@ -8,12 +8,12 @@ values as it takes, so that depth adapts to where the classes are dense. All cla
 also taken in runs of the order, of REGION classes that overlap by half, each run with the classes that
 look most like the middle of their part of the region.
 
-Within a region signatures say how similar two classes are about; what is 3 standard deviations under
-the threshold is left out. Links are then found on whole sets in three rounds:
+Within a region signatures say how similar two classes are about. That only orders the pairs: links are
+found on whole sets, in three rounds:
 
 1. each class with its best partner over all regions; components of the links that hold;
-2. in regions where classes that look similar still lie in different components, all such pairs, the
-   most similar first, until the region has nothing left to join;
+2. in regions that hold several components, all pairs across them whose sizes allow a link, the most
+   similar first, until the region has nothing left to join;
 3. among the classes of all dense regions, what the bound REGION may have kept apart: an exact
    prefix-filter join over the shingles that occur in two components or more.
 
@@ -186,13 +186,13 @@ def _estimates(sigs: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _floor(percent: int) -> float:
-    p = percent / 100
-    return p - 3 * (p * (1 - p) / SIZE) ** 0.5
+def _sizes_fit(n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be as similar as that."""
+    return 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
 
 
 def _partners(percent: int):
-    """For each class of a region the partner that looks most similar."""
+    """For each class of a region the partner that looks most similar, of those whose size allows a link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
@@ -200,9 +200,10 @@ def _partners(percent: int):
             ids = rows["rep"].to_numpy()
             sigs = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(ids), SIZE)
             near = _estimates(sigs)
+            near[~_sizes_fit(rows["n"].to_numpy(), percent)] = -1
             np.fill_diagonal(near, -1)
             best = near.argmax(axis=1)
-            out += [(int(ids[i]), int(ids[j]), float(near[i, j])) for i, j in enumerate(best) if near[i, j] >= _floor(percent)]
+            out += [(int(ids[i]), int(ids[j]), float(near[i, j])) for i, j in enumerate(best) if near[i, j] > -1]
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=["rep", "other", "near"])
                 out = []
@@ -212,13 +213,12 @@ def _partners(percent: int):
 
 
 def _apart(percent: int):
-    """The classes of a region that look similar to one in another component."""
+    """The classes of a region whose size allows a link to one in another component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _regions(batches):
             comp = rows["comp"].to_numpy()
-            sigs = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(comp), SIZE)
-            odd = (_estimates(sigs) >= _floor(percent)) & (comp[:, None] != comp[None, :])
+            odd = _sizes_fit(rows["n"].to_numpy(), percent) & (comp[:, None] != comp[None, :])
             if odd.any():
                 yield rows[odd.any(axis=1)]
 
@@ -233,8 +233,8 @@ def _join(percent: int):
             ids, comp = rows["rep"].to_numpy(), rows["comp"].to_numpy()
             sigs = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(ids), SIZE)
             sets = [np.frombuffer(b, np.uint64) for b in rows["set"]]
-            near = np.triu(_estimates(sigs), 1)
-            a, b = np.nonzero((near >= _floor(percent)) & (comp[:, None] != comp[None, :]))
+            near = _estimates(sigs)
+            a, b = np.nonzero(np.triu(_sizes_fit(rows["n"].to_numpy(), percent), 1) & (comp[:, None] != comp[None, :]))
             order = np.argsort(-near[a, b], kind="stable")
             top = {int(c): int(c) for c in comp}
 
@@ -305,7 +305,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _in_regions(reps: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(tree, region, rep) for the regions with two classes or more, and the classes (rep) of dense regions, if any; reps: rep, sig; short: rep, low."""
+    """(tree, region, rep) for the regions with two classes or more, and the classes (rep) of dense regions, if any; reps: rep, sig; short: rep, n, low."""
     first = [F.struct(F.lit(t).alias("tree"), F.xxhash64(*[F.col("sig")[t * DEPTH + d] for d in range(DEPTH)]).alias("region")) for t in range(TREES)]
     rows = reps.select("rep", F.explode(F.array(*first)).alias("at")).select("rep", "at.tree", "at.region")
     whole = Window.partitionBy("tree", "region")
@@ -366,7 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(classes.select("f1", "f2", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")))
     low = F.pandas_udf(lambda s: pd.Series([np.asarray(x, np.int32).view(np.uint8)[::4].tobytes() for x in s]), "binary")
     reps = classes.select("rep", "sig")
-    short = reps.select("rep", low("sig").alias("low"))
+    short = classes.select("rep", F.col("n_shingles").alias("n"), low("sig").alias("low"))
     regions, within = _in_regions(reps, short)
     regions = stage(regions)
 
@@ -386,8 +386,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = regions.join(first.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     by = Window.partitionBy("tree", "region")
     mixed = named.withColumn("least", F.min("comp").over(by)).withColumn("most", F.max("comp").over(by)).filter("least <> most").select("tree", "region", "rep", "comp")
-    apart = stage(ordered(mixed.join(short, "rep")).mapInPandas(_apart(percent), "tree int, region long, rep long, comp long, low binary"))
-    more = ordered(apart.join(sets, "rep").select("tree", "region", "rep", "comp", "low", "set")).mapInPandas(_join(percent), "a long, b long")
+    apart = stage(ordered(mixed.join(short, "rep")).mapInPandas(_apart(percent), "tree int, region long, rep long, comp long, n long, low binary"))
+    more = ordered(apart.join(sets, "rep").select("tree", "region", "rep", "comp", "n", "low", "set")).mapInPandas(_join(percent), "a long, b long")
     links = first.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
     final = components(links)
     if within is not None:

@@ -222,6 +222,18 @@ def test_pairs_across_components_are_complete(spark, monkeypatch):
     assert want and want <= got
 
 
+def test_links_hold_whatever_signatures_say():
+    import pandas as pd
+
+    sets = [np.arange(1, 101, dtype=np.uint64), np.arange(1, 91, dtype=np.uint64)]
+    low = [bytes(neardup.SIZE), bytes(32) + b"\1" * 64]  # similar to 0.9; two thirds of the minima differ
+    rows = pd.DataFrame({"tree": 0, "region": 1, "rep": [3, 4], "comp": [3, 4], "n": [100, 90], "low": low, "set": [s.tobytes() for s in sets]})
+    assert pd.concat(neardup._partners(80)([rows]))[["rep", "other"]].to_numpy().tolist() == [[3, 4], [4, 3]]
+    assert len(pd.concat(neardup._apart(80)([rows]))) == 2
+    assert pd.concat(neardup._join(80)([rows])).to_numpy().tolist() == [[3, 4]]
+    assert not list(neardup._apart(80)([rows.assign(n=[100, 79])]))
+
+
 def test_large_family_of_near_copies_is_one_component(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
