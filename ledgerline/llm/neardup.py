@@ -43,8 +43,8 @@ REGION = 512
 DEEPER = (6, 8, 12, 16, 24, 48, 96)
 #: Classes from the middle of a dense region that are added to each of its runs.
 LEADERS = 8
-#: Classes of a posting list that are joined with each other in one piece.
-BLOCK = 1024
+#: Classes of a block, where all candidates of a cluster are compared in pairs of blocks.
+BLOCK = 256
 
 # Fixed odd multipliers and masks of the hash functions, from a seeded generator.
 _RNG = np.random.default_rng(5)
@@ -330,13 +330,51 @@ def _in_regions(reps: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame
     return out, within
 
 
+def _cross(percent: int):
+    """Links between components in a pair of blocks, on whole sets, of classes that share a shingle of their prefixes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _regions(batches):
+            ids, comp, own = rows["rep"].to_numpy(), rows["comp"].to_numpy(), rows["own"].to_numpy()
+            sets = [np.frombuffer(b, np.uint64) for b in rows["set"]]
+            of = np.repeat(np.arange(len(ids)), [len(p) for p in rows["prefix"]])
+            shingles = np.concatenate(list(rows["prefix"]))
+            order = np.argsort(shingles, kind="stable")
+            holders = np.split(of[order], np.flatnonzero(np.diff(shingles[order])) + 1)
+            meet = np.zeros((len(ids), len(ids)), bool)
+            for h in holders:
+                if len(h) > 1:
+                    meet[np.ix_(h, h)] = True
+            apart = (comp[:, None] != comp[None, :]) & ((own[:, None] != own[None, :]) | (rows["lo"].iloc[0] == rows["hi"].iloc[0]))
+            fit = _sizes_fit(np.array([len(x) for x in sets]), percent)
+            top = {int(c): int(c) for c in comp}
+
+            def root(x, top=top):
+                while top[x] != x:
+                    top[x] = top[top[x]]
+                    x = top[x]
+                return x
+
+            found = []
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(meet & apart & fit, 1))), strict=True):
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y and similar(sets[i], sets[j], percent):
+                    top[max(x, y)] = min(x, y)
+                    found.append((int(ids[i]), int(ids[j])))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
 def _across(within: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of some classes that may be links between components; within: rep; comps: node, comp; sets: rep, set.
+    """Links (a, b) that join all components of some classes that have a link; within: rep; comps: node, comp; sets: rep, set.
 
     Similar sets share a shingle of their prefixes, in any order of shingles. Here those that occur in one
     component alone come first and then the rare ones; the former meet nothing in another component, so
-    only the rest is joined, and classes with too few others are left out. Long posting lists are joined in
-    pairs of blocks.
+    only the rest counts, and classes with too few others are left out. Classes that hang together by
+    shingles of their prefixes are a cluster, and its classes are compared in pairs of blocks within tasks,
+    so that no table has a row for each pair.
     """
     named = within.join(sets, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), "set")
     split = F.pandas_udf(lambda s: pd.Series([np.frombuffer(b, np.int64) for b in s]), "array<long>")
@@ -344,15 +382,16 @@ def _across(within: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s", "f")
     need = F.ceil(F.col("n") * percent / 100)
     mixed = each.join(often, "s").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("m")).filter(F.size("m") >= need)
-    posted = stage(mixed.select("rep", "comp", "n", F.explode(F.slice("m", F.lit(1), (F.size("m") - need + 1).cast("int"))).alias("p")).select("rep", "comp", "n", "p.s"))
-    parts = posted.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s", "k")
-    dealt = posted.join(parts, "s").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    dealt = dealt.select("s", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "rep", "comp", "n")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    met = (F.col("x.s") == F.col("y.s")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
-    fits = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.lo") == F.col("x.hi")))
-    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    return x.join(y, met & fits & sizes).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    posted = stage(mixed.select("rep", "comp", F.slice("m.s", F.lit(1), (F.size("m") - need + 1).cast("int")).alias("prefix")))
+    flat = posted.select("rep", "comp", F.explode("prefix").alias("s"))
+    hubs = flat.groupBy("s").agg(F.min("rep").alias("hub"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s", "hub")
+    clusters = components(flat.join(hubs, "s").select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("rep"), F.col("comp").alias("cluster"))
+    clusters = stage(clusters)
+    parts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"))
+    dealt = clusters.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "rep")
+    rows = dealt.join(posted, "rep").join(sets, "rep").select(F.lit(0).alias("tree"), F.xxhash64("cluster", "lo", "hi").alias("region"), "lo", "hi", "own", "rep", "comp", "prefix", "set")
+    return rows.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(_cross(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -380,8 +419,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = rows.withColumnRenamed("doc_id", "rep").join(wanted.hint("shuffle_hash"), "rep", "left_semi")
     sets = stage(whole.select("rep", _sets(width)("text").alias("set")))
     left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
-    links_of = lambda p: p.join(left, "a").join(right, "b").select("a", "b", _verify(percent)("sa", "sb").alias("ok")).filter("ok").select("a", "b")
-    first = components(links_of(pairs))
+    held = pairs.join(left, "a").join(right, "b").select("a", "b", _verify(percent)("sa", "sb").alias("ok")).filter("ok").select("a", "b")
+    first = components(held)
 
     named = regions.join(first.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     by = Window.partitionBy("tree", "region")
@@ -391,7 +430,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = first.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
     final = components(links)
     if within is not None:
-        rest = links_of(stage(_across(within, final, sets, percent)))
+        rest = _across(within, final, sets, percent)
         final = components(final.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(rest))
 
     of = classes.select("f1", "f2", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp", "rep").alias("found"))
