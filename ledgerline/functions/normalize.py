@@ -160,9 +160,10 @@ def strip_quoted(text: Column) -> Column:
     return F.regexp_replace(F.substring(text, F.lit(1), F.coalesce(F.least(*places) - 1, F.length(text))), r"\s+$", "")
 
 
-def body_text(plain: Column, html: Column, limit: int = 20_000) -> Column:
-    """What an author wrote: the plain part, else the HTML part without markup."""
-    return F.substring(strip_quoted(collapse(F.coalesce(plain, strip_html(html), F.lit("")))), 1, limit)
+def body_text(plain: Column, html: Column, limit: int | None = None) -> Column:
+    """What an author wrote: the plain part, else the HTML part without markup; whole, unless a caller sets a limit."""
+    text = strip_quoted(collapse(F.coalesce(plain, strip_html(html), F.lit(""))))
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def direction(senders: Column, account: Column) -> Column:

@@ -88,7 +88,7 @@ def neighbours(vectors: DataFrame, seed, k: int, id_col: str = "vec_id", vector_
     return semantic(vectors, row[0], k, id_col, vector_col, F.col(id_col) != seed)
 
 
-def embedding_text(body: Column, subject: Column) -> Column:
-    """What is embedded of a message: the start of its body, else its subject, else a placeholder."""
+def embedding_text(body: Column, subject: Column, limit: int | None = None) -> Column:
+    """What is embedded of a message: its body, or the start of it that a caller asks for, else its subject, else a placeholder."""
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(some(F.substring(body, 1, 2000)), some(subject), F.lit("(empty)"))
+    return F.coalesce(some(body if limit is None else F.substring(body, 1, limit)), some(subject), F.lit("(empty)"))

@@ -192,3 +192,11 @@ def test_readings_of_odd_shape_are_errors(spark):
 def test_scorecard_of_nothing(spark):
     row = quality.scorecard(spark.createDataFrame([], "predicted boolean, gold boolean")).first()
     assert (row["precision"], row["recall"], row["f1"], row["noise_accuracy"]) == (0.0, 0.0, 0.0, 1.0)
+
+
+def test_long_texts_stay_whole(spark):
+    long = "word " * 10_000 + "end"
+    none = F.lit(None).cast("string")
+    html = F.lit("<p>" + long + "</p>")
+    row = spark.range(1).select(nz.body_text(F.lit(long), none), nz.body_text(none, html), search.embedding_text(F.lit(long), none), F.length(nz.body_text(none, html, 20_000))).first()
+    assert tuple(row) == (long, long, long, 20_000)
