@@ -1,29 +1,36 @@
 """Near-duplicate detection with an LSH forest over MinHash signatures.
 
 Texts become sets of hashed word shingles; documents with equal sets are one class, and all further
-work is on classes. A class has a signature of TREES * DEPTH minima. Tree t orders the classes by the
-signature read cyclically from place t * DEPTH on; classes that agree on the first DEPTH values form a
-region of the tree, and a region of more than REGION classes is told apart by longer prefixes, as many
-values as it takes, so that depth adapts to where the classes are dense. All classes of such a region are
-also taken in runs of the order, of REGION classes that overlap by half, each run with the classes that
-look most like the middle of their part of the region.
-
-Within a region signatures say how similar two classes are about. That only orders the pairs: links are
-found on whole sets, in three rounds:
-
-1. each class with its best partner over all regions; components of the links that hold;
-2. in regions that hold several components, all pairs across them whose sizes allow a link, the most
-   similar first, until the region has nothing left to join;
-3. among the classes of all dense regions, what the bound REGION may have kept apart: an exact
-   prefix-filter join over the shingles that occur in two components or more.
-
-So components need no list of all pairs in a group of copies, and a pair at the threshold is met in one
-tree at least with probability 1 - (1 - 0.8 ** 4) ** 24, above 0.99999, however dense its regions are.
+work is on classes. A class has a signature of TREES * DEPTH minima. Tree t is the list of all classes
+sorted by the signature read cyclically from place t * DEPTH on, so that classes with a long common
+prefix stand next to each other. Candidates of a class are its neighbours in each of these orders, as
+far as they share DEPTH values at least: REGION / 2 of them on either side. Where few classes share a
+prefix, these are all of them; where many do, the order puts those with the longest common prefix
+nearest, so depth adapts to how dense a region is. The orders are made by range partitioning, which
+cuts a region with many classes into many tasks; what stands at the end of one task meets what stands
+at the beginning of the next.
+
+The neighbourhoods go out as runs of at most REGION classes that overlap by half. Runs of a region with
+more classes than that get the region's leaders too, which look most like its middle.
+
+Signatures say how similar two classes are about. That only orders the pairs: links are found on whole
+sets, in three rounds:
+
+1. each class with its best partner over all runs; components of the links that hold;
+2. in runs that hold several components, all pairs across them whose sizes allow a link, the most
+   similar first, until the run has nothing left to join;
+3. among the classes of regions that are more than one run, where some neighbours were not compared: an
+   exact prefix-filter join over the shingles that occur in two components or more.
+
+So components need no list of all pairs in a group of copies. A pair at the threshold is met in one tree
+at least with probability 1 - (1 - 0.8 ** 4) ** 24, about 0.999995, however dense its regions are.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; a text with
-fewer words than a shingle is one shingle; rows that share an identifier are one document if both are
-linked at all, and each row is listed; rows without an identifier have no component and are kept; an
-empty table gives an empty result.
+fewer words than a shingle is one shingle; rows that share an identifier are one document, with the links
+of each of its texts, and each row is listed; rows without an identifier are listed without a component,
+as kept; an empty table gives an empty result. ``drop_near_duplicates`` leaves one row of each group, of
+the rows with the smallest identifier (those without one come last) any; there rows without an identifier
+are compared like others.
 """
 
 from __future__ import annotations
@@ -39,8 +46,10 @@ from .common import stage
 
 TREES, DEPTH = 24, 4
 SIZE = TREES * DEPTH
+#: Minima that an order looks at.
+KEY = 12
+#: Classes of a run at most.
 REGION = 512
-DEEPER = (6, 8, 12, 16, 24, 48, 96)
 #: Classes from the middle of a dense region that are added to each of its runs.
 LEADERS = 8
 #: Classes of a block, where all candidates of a cluster are compared in pairs of blocks.
@@ -93,8 +102,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(minima: np.ndarray) -> bytes:
+    """The lower 16 bits of each minimum, the upper byte first, so that bytes sort as the numbers do."""
+    return minima.astype(">u2").tobytes()
+
+
 def _signatures(width: int):
-    @F.pandas_udf("n_shingles long, f1 long, f2 long, sig array<int>")
+    @F.pandas_udf("n_shingles long, f1 long, f2 long, sig binary")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for texts in batches:
@@ -104,7 +118,7 @@ def _signatures(width: int):
                 # equal sets have equal sums of hashes, and equal exclusive ors of other hashes
                 f1 = int(s.sum(dtype=np.uint64).astype(np.int64))
                 f2 = int(np.bitwise_xor.reduce(_mix(s + _WORD)).astype(np.int64)) if len(s) else 0
-                out.append((len(s), f1, f2, signature(s).view(np.int32) if len(s) else None))
+                out.append((len(s), f1, f2, packed(signature(s)) if len(s) else None))
             yield pd.DataFrame(out, columns=["n_shingles", "f1", "f2", "sig"])
 
     return sign
@@ -143,16 +157,16 @@ def _verify(percent: int):
 
 
 def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of one region at a time, from batches that are ordered by region."""
+    """The rows of one region (run, block pair) at a time, from batches that are ordered by region."""
     held: list[pd.DataFrame] = []
     last = None
     for pdf in batches:
         if not len(pdf):
             continue
-        keys = pdf[["tree", "region"]].to_numpy()
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        keys = pdf["region"].to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-            key = tuple(keys[a])
+            key = keys[a]
             if held and key != last:
                 yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
                 held = []
@@ -162,19 +176,78 @@ def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Overlapping runs of the rows of a dense region, in the order they come, each with the leaders; a run is named by its first class."""
-    half = max(1, REGION // 2)
+def _neighbours(region: int):
+    """Runs of neighbours from the sorted orders: batches of (key, rep), ordered; a key is the tree and KEY minima."""
+    import pyarrow as pa
+
+    half = max(1, region // 2)
+    shared = 1 + 2 * DEPTH
+
+    def number(*parts) -> int:
+        import xxhash
+
+        return xxhash.xxh64_intdigest(b"".join(parts)) - (1 << 63)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        edge = lambda t: number(b"edge", t.to_bytes(8, "little", signed=True))
+        out: list[tuple] = []
+
+        def close(name: bytes, ids: np.ndarray, begins: bool, ends: bool) -> None:
+            """A region, and whether it is the first or last of the task, where it may go on in the next one."""
+            n, own = len(ids), number(name)
+            dense = n > 2 * half or (n > half and (begins or ends)) or (begins and ends)
+            if n > 1:
+                for at in range(0, max(1, n - half), half):
+                    out.append((own, number(name, ids[at].tobytes()), ids[at : at + 2 * half], dense))
+            if begins:
+                out.append((own, edge(task - 1), ids[:half], dense))
+            if ends:
+                out.append((own, edge(task), ids[-half:], dense))
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(ids) for _, _, ids, _ in out]
+            columns = [np.repeat(np.array([row[k] for row in out], kind), sizes) for k, kind in ((0, np.int64), (1, np.int64), (3, bool))]
+            ids = np.concatenate([row[2] for row in out]) if out else np.empty(0, np.int64)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(ids), pa.array(columns[2])], ["region", "run", "rep", "dense"])
+
+        held: list[np.ndarray] = []  # of the region that is open, and its name
+        name, begins = b"", True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, 1 + 2 * KEY)[:, :shared]
+            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), n]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and name != keys[a].tobytes():
+                    if begins or len(held) > 1 or len(held[0]) > 1:
+                        close(name, np.concatenate(held), begins, False)
+                    held, begins = [], False
+                name = keys[a].tobytes()
+                held.append(ids[a:b])
+            if len(out) > 1000:
+                yield flush()
+        if held:
+            close(name, np.concatenate(held), begins, True)
+        yield flush()
+
+    return run
+
+
+def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The classes that look most like the middle of their part of a region: the commonest value of each minimum."""
     for rows in _regions(batches):
         ids = rows["rep"].to_numpy()
         low = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(ids), SIZE)
         middle = np.array([np.bincount(low[:, j], minlength=256).argmax() for j in range(SIZE)], np.uint8)
-        lead = ids[np.argsort(-(low == middle).sum(axis=1), kind="stable")[:LEADERS]]
-        out = []
-        for at in range(0, max(1, len(ids) - half), half):
-            run = np.union1d(ids[at : at + 2 * half], lead)
-            out.append(pd.DataFrame({"tree": rows["tree"].iloc[0], "region": rows["region"].iloc[0], "run": ids[at], "rep": run}))
-        yield pd.concat(out)
+        like = (low == middle).sum(axis=1)
+        lead = np.argsort(-like, kind="stable")[:LEADERS]
+        yield pd.DataFrame({"region": rows["region"].iloc[0], "rep": ids[lead], "like": like[lead]})
 
 
 def _estimates(sigs: np.ndarray) -> np.ndarray:
@@ -304,30 +377,23 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
-def _in_regions(reps: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(tree, region, rep) for the regions with two classes or more, and the classes (rep) of dense regions, if any; reps: rep, sig; short: rep, n, low."""
-    first = [F.struct(F.lit(t).alias("tree"), F.xxhash64(*[F.col("sig")[t * DEPTH + d] for d in range(DEPTH)]).alias("region")) for t in range(TREES)]
-    rows = reps.select("rep", F.explode(F.array(*first)).alias("at")).select("rep", "at.tree", "at.region")
-    whole = Window.partitionBy("tree", "region")
-    rows = stage(rows.withColumn("n", F.count(F.lit(1)).over(whole)).filter("n > 1"))
-    out = rows.filter(F.col("n") <= REGION).select("tree", "region", "rep")
-    dense = rows.filter(F.col("n") > REGION)
+def _forest(reps: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(region, rep) for the runs of all trees, and the classes (rep) of dense regions, if any; reps: rep, sig; short: rep, n, low."""
+    twice = F.concat("sig", "sig")
+    keys = [F.concat(F.lit(bytes([t])), F.substring(twice, 2 * DEPTH * t + 1, 2 * KEY)) for t in range(TREES)]
+    rows = reps.select(F.explode(F.array(*keys)).alias("key"), "rep").repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    found = stage(rows.mapInArrow(_neighbours(REGION), "region long, run long, rep long, dense boolean"))
+    runs = found.select(F.col("run").alias("region"), "rep")
+    dense = found.filter("dense").select("region").distinct()
     if not dense.limit(1).count():
-        return out, None
-    turned = dense.join(reps, "rep").withColumn("sig", F.slice(F.concat("sig", "sig"), F.col("tree") * DEPTH + 1, SIZE))
-    turned = stage(turned.select("rep", "tree", "region", "sig"))
-    order = ["tree", "region", F.slice("sig", DEPTH + 1, 12), "rep"]
-    runs = turned.join(short, "rep").repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "region", "rep", "low").mapInPandas(_runs, "tree int, region long, run long, rep long")
-    out = out.unionByName(stage(runs.select("tree", F.xxhash64("region", "run", F.lit("run")).alias("region"), "rep")))
-    within = turned.select("rep").distinct()
-    for depth in DEEPER:
-        turned = turned.withColumn("deeper", F.xxhash64("region", F.slice("sig", 1, depth)))
-        turned = turned.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tree", "deeper")))
-        out = out.unionByName(turned.filter((F.col("n") > 1) & (F.col("n") <= REGION)).select("tree", F.col("deeper").alias("region"), "rep"))
-        turned = stage(turned.filter(F.col("n") > REGION).select("rep", "tree", "region", "sig", "deeper"))
-        if not turned.limit(1).count():
-            break
-    return out, within
+        return runs, None
+    within = stage(found.join(dense, "region", "left_semi").select("region", "run", "rep"))
+    parts = within.select("region", "rep").distinct().join(short, "rep").select("region", "rep", "low")
+    parts = parts.repartitionByRange("region", "rep").sortWithinPartitions("region", "rep").mapInPandas(_leaders, "region long, rep long, like long")
+    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("like"), "rep"))
+    lead = parts.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("region", "rep")
+    led = within.select("region", "run").distinct().join(lead, "region").select(F.col("run").alias("region"), "rep")
+    return runs.unionByName(led).distinct(), within.select("rep").distinct()
 
 
 def _cross(percent: int):
@@ -374,7 +440,7 @@ def _across(within: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     component alone come first and then the rare ones; the former meet nothing in another component, so
     only the rest counts, and classes with too few others are left out. Classes that hang together by
     shingles of their prefixes are a cluster, and its classes are compared in pairs of blocks within tasks,
-    so that no table has a row for each pair.
+    so that no table has a row for each pair. Large components have blocks of their own, which don't meet each other.
     """
     named = within.join(sets, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), "set")
     split = F.pandas_udf(lambda s: pd.Series([np.frombuffer(b, np.int64) for b in s]), "array<long>")
@@ -387,59 +453,100 @@ def _across(within: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     hubs = flat.groupBy("s").agg(F.min("rep").alias("hub"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s", "hub")
     clusters = components(flat.join(hubs, "s").select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("rep"), F.col("comp").alias("cluster"))
     clusters = stage(clusters)
-    parts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"))
-    dealt = clusters.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "rep")
-    rows = dealt.join(posted, "rep").join(sets, "rep").select(F.lit(0).alias("tree"), F.xxhash64("cluster", "lo", "hi").alias("region"), "lo", "hi", "own", "rep", "comp", "prefix", "set")
+    placed = stage(clusters.join(posted.select("rep", "comp"), "rep"))
+    parts = placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m")).withColumn("owner", F.when(F.col("m") > BLOCK, F.col("comp")))
+    pooled = parts.filter("owner IS NULL").groupBy("cluster").agg(F.sum("m").alias("pool"))
+    parts = parts.join(pooled, "cluster", "left").withColumn("k", F.ceil(F.when(F.col("owner").isNull(), F.col("pool")).otherwise(F.col("m")) / BLOCK))
+    block = F.xxhash64("owner", F.pmod(F.when(F.col("owner").isNull(), F.xxhash64("comp")).otherwise(F.xxhash64("rep")), F.col("k"))).alias("own")
+    placed = stage(placed.join(parts.select("cluster", "comp", "owner", "k"), ["cluster", "comp"]).select("cluster", "rep", "comp", "owner", block))
+    blocks = placed.groupBy("cluster", "own").agg(F.max("owner").alias("owner"))
+    other = blocks.select("cluster", F.col("own").alias("hi"), F.col("owner").alias("other"))
+    pairs = blocks.withColumnRenamed("own", "lo").join(other, "cluster").filter("lo <= hi AND (owner IS NULL OR other IS NULL OR owner <> other)").select("cluster", "lo", "hi")
+    met = pairs.select("cluster", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("own"))
+    dealt = placed.join(met, ["cluster", "own"]).select("cluster", "lo", "hi", "own", "rep")
+    rows = dealt.join(posted, "rep").join(sets, "rep").select(F.xxhash64("cluster", "lo", "hi").alias("region"), "lo", "hi", "own", "rep", "comp", "prefix", "set")
     return rows.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(_cross(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for each row of docs.
-
-    Links join documents whose sets have 100 * intersection >= percent * union.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(rows.select("doc_id", _signatures(width)("text").alias("s")).select("doc_id", "s.*"))
-    classes = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.count(F.lit(1)).alias("n"))
-    classes = stage(classes.select("f1", "f2", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")))
-    low = F.pandas_udf(lambda s: pd.Series([np.asarray(x, np.int32).view(np.uint8)[::4].tobytes() for x in s]), "binary")
-    reps = classes.select("rep", "sig")
-    short = classes.select("rep", F.col("n_shingles").alias("n"), low("sig").alias("low"))
-    regions, within = _in_regions(reps, short)
-    regions = stage(regions)
-
-    ordered = lambda df: df.repartition("tree", "region").sortWithinPartitions("tree", "region", "rep")
-    guess = ordered(regions.join(short, "rep")).mapInPandas(_partners(percent), "rep long, other long, near double")
+def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, n_shingles, comp) for rows (node, text): comp is the smallest node of the component; rows without a node have none."""
+    signed = stage(rows.select("node", _signatures(width)("text").alias("s")).select("node", "s.*"))
+    full = signed.filter(F.col("node").isNotNull() & (F.col("n_shingles") > 0))
+    classes = stage(full.groupBy("f1", "f2", "n_shingles").agg(F.min("node").alias("rep")))
+    low = F.pandas_udf(lambda s: pd.Series([x[1::2] for x in s]), "binary")
+    reps = signed.withColumnRenamed("node", "rep").join(classes.select("rep").hint("shuffle_hash"), "rep", "left_semi")
+    reps = stage(reps.select("rep", F.col("n_shingles").alias("n"), "sig", low("sig").alias("low")))
+    short = reps.select("rep", "n", "low")
+    runs, within = _forest(reps.select("rep", "sig"), short)
+    runs = stage(runs)
+
+    ordered = lambda df: df.repartition("region").sortWithinPartitions("region", "rep")
+    guess = ordered(runs.join(short, "rep")).mapInPandas(_partners(percent), "rep long, other long, near double")
     best = guess.groupBy("rep").agg(F.max(F.struct("near", (-F.col("other")).alias("other"))).alias("m"))
     pairs = stage(best.select(F.least("rep", -F.col("m.other")).alias("a"), F.greatest("rep", -F.col("m.other")).alias("b")).filter("a <> b").distinct())
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
     wanted = (wanted if within is None else wanted.unionByName(within)).distinct()
-    whole = rows.withColumnRenamed("doc_id", "rep").join(wanted.hint("shuffle_hash"), "rep", "left_semi")
+    whole = rows.withColumnRenamed("node", "rep").join(wanted.hint("shuffle_hash"), "rep", "left_semi")
     sets = stage(whole.select("rep", _sets(width)("text").alias("set")))
     left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     held = pairs.join(left, "a").join(right, "b").select("a", "b", _verify(percent)("sa", "sb").alias("ok")).filter("ok").select("a", "b")
     first = components(held)
 
-    named = regions.join(first.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    by = Window.partitionBy("tree", "region")
-    mixed = named.withColumn("least", F.min("comp").over(by)).withColumn("most", F.max("comp").over(by)).filter("least <> most").select("tree", "region", "rep", "comp")
-    apart = stage(ordered(mixed.join(short, "rep")).mapInPandas(_apart(percent), "tree int, region long, rep long, comp long, n long, low binary"))
-    more = ordered(apart.join(sets, "rep").select("tree", "region", "rep", "comp", "n", "low", "set")).mapInPandas(_join(percent), "a long, b long")
-    links = first.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
-    final = components(links)
+    named = runs.join(first.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    apart = stage(ordered(named.join(short, "rep").select("region", "rep", "comp", "n", "low")).mapInPandas(_apart(percent), "region long, rep long, comp long, n long, low binary"))
+    more = ordered(apart.join(sets, "rep").select("region", "rep", "comp", "n", "low", "set")).mapInPandas(_join(percent), "a long, b long")
+    final = components(first.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
     if within is not None:
         rest = _across(within, final, sets, percent)
         final = components(final.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(rest))
 
-    of = classes.select("f1", "f2", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp", "rep").alias("found"))
-    out = signed.select("doc_id", "f1", "f2", "n_shingles").join(of, ["f1", "f2", "n_shingles"], "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    of = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
+    alone = signed.filter("node IS NULL OR n_shingles = 0")
+    return full.join(of, ["f1", "f2", "n_shingles"]).select("node", "n_shingles", "comp").unionByName(alone.select("node", "n_shingles", F.col("node").alias("comp")))
+
+
+def _one_each(docs: DataFrame, id_col: str) -> bool:
+    """Whether every row has an identifier and none has that of another."""
+    ids = docs.select(F.col(id_col).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return not ids.filter("n > 1 OR i IS NULL").limit(1).count()
+
+
+def _united(found: DataFrame) -> DataFrame:
+    """found (node, doc_id, n_shingles, comp) with one component for the rows of one document."""
+    found = stage(found)
+    least = found.filter("doc_id IS NOT NULL AND comp IS NOT NULL").groupBy("doc_id").agg(F.min("comp").alias("b"))
+    links = found.join(least, "doc_id").select(F.col("comp").alias("a"), "b").filter("a <> b").distinct()
+    joined = components(links).withColumnRenamed("comp", "top")
+    return found.join(joined, found["comp"] == joined["node"], "left").select(found["node"], "doc_id", "n_shingles", F.coalesce("top", "comp").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row for each row of docs.
+
+    Links join documents whose sets have 100 * intersection >= percent * union.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if _one_each(rows, "doc_id"):
+        found = _grouped(rows.withColumnRenamed("doc_id", "node"), width, percent)
+        return found.select(F.col("node").alias("doc_id"), "n_shingles", F.col("comp").alias("component_id"), (F.col("node") == F.col("comp")).alias("kept"))
+    rows = stage(rows.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    found = _grouped(rows.filter("node IS NOT NULL").select("node", "text"), width, percent).join(rows.select("node", "doc_id"), "node")
+    found = stage(_united(found))
+    names = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = found.join(names, "comp").select("doc_id", "n_shingles", "component_id")
+    nameless = rows.filter("node IS NULL").select("doc_id", _signatures(width)("text")["n_shingles"].alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return named.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, the one with the smallest identifier; columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, width, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__gone"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """docs with one row of each group; columns as they were."""
+    own = [f"`{c}`" for c in docs.columns]
+    if _one_each(docs, id_col):
+        gone = _grouped(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), width, percent).filter("node <> comp").select(F.col("node").alias("__gone"))
+        return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__gone"), "left_anti").select(*own)
+    docs = stage(docs.withColumn("__node", F.monotonically_increasing_id()))
+    found = _grouped(docs.select(F.col("__node").alias("node"), F.col(text_col).alias("text")), width, percent)
+    found = stage(_united(found.join(docs.select(F.col("__node").alias("node"), F.col(id_col).cast("long").alias("doc_id")), "node")))
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("m")).select(F.col("m.node").alias("__first"))
+    return docs.join(first.hint("shuffle_hash"), F.col("__node") == F.col("__first"), "left_semi").select(*own)
