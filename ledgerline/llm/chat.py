@@ -117,3 +117,24 @@ def turns_as_events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ).withColumn("part", F.row_number().over(same))
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / piece) - 1, F.lit(0)).cast("int")), lambda i: F.substring("text", i * piece + 1, F.lit(piece)))
     return rows.select("conv_id", "position", "part", "role", F.posexplode(pieces).alias("seq", "text")).withColumn("kind", F.lit("delta"))
+
+
+def drafts_as_events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece: int = 512, draft: int = 64) -> DataFrame:
+    """A log whose fold is the table of turns, with detours, as a hash of the message decides.
+
+    Of five messages one is streamed straight; one streams a draft that a regeneration throws away; one
+    streams a draft that an edit replaces by the first piece, the other pieces following as deltas; one is
+    deleted and streamed again; one has all of these. Drafts are the first ``draft`` characters, reversed.
+    """
+    log = turns_as_events(turns, conv_col, turn_col, role_col, text_col, piece)
+    way = F.pmod(F.xxhash64("conv_id", "position", "part"), F.lit(5))
+    wrong = F.reverse(F.substring("text", 1, draft))
+    event = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    nothing = F.lit(None).cast("string")
+    again, edited = [event(-6, "delta", wrong), event(-5, "regenerate", nothing)], [event(-2, "delta", wrong)]
+    gone = [event(-4, "delta", wrong), event(-3, "delete", nothing)]
+    first = F.when(way.isin(2, 4), "edit").otherwise("delta")
+    own = F.struct(F.col("seq"), F.when(F.col("seq") == 0, first).otherwise(F.lit("delta")).alias("kind"), F.col("text"))
+    before = F.when(way == 1, F.array(*again, own)).when(way == 2, F.array(*edited, own)).when(way == 3, F.array(*gone, own)).when(way == 4, F.array(*again, *gone, *edited, own))
+    events = F.when((F.col("seq") == 0) & (way > 0), before).otherwise(F.array(own))
+    return log.select("conv_id", "position", "part", "role", F.explode(events).alias("e")).select("conv_id", "position", "part", "role", "e.seq", "e.kind", "e.text")

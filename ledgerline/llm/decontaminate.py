@@ -30,7 +30,7 @@ WIDTH = 10
 BLOCK_WINDOWS = 400_000
 
 #: On UTF-8 bytes, _WORD is the class of words: digits, letters, and whatever is not ASCII.
-_FOUND = "n_words long, covered array<long>, items array<string>"
+_FOUND = "n_words long, covered array<long>, items array<string>, spans array<long>"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -75,7 +75,7 @@ def _automaton(block, width):
     return machine, number, [len(w) for w, _ in listed], [o for _, o in listed]
 
 
-def _scan(sent, width: int):
+def _scan(sent, width: int, places: bool):
     """The pandas UDF that scans with one block of items, and adds to what earlier blocks have found."""
 
     @F.pandas_udf(_FOUND)
@@ -90,8 +90,9 @@ def _scan(sent, width: int):
                 for end, k in machine.iter(tuple([known(w, 0) for w in words])) if lengths else ():
                     spans.append((end + 1 - lengths[k], end + 1))
                     items.update(owners[k])
-                out.append((len(words), [int(x) for span in _merged(spans) for x in span], sorted(x for x in items if x is not None)))
-            yield pd.DataFrame(out, columns=["n_words", "covered", "items"])
+                covered = [int(x) for span in _merged(spans) for x in span]
+                out.append((len(words), covered, sorted(x for x in items if x is not None), original_spans(text, covered) if places and covered else []))
+            yield pd.DataFrame(out, columns=["n_words", "covered", "items", "spans"])
 
     return scan
 
@@ -119,16 +120,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     if asked for, spans (start and end of each hit run in the original text, flat)."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != "contamination"]
-    found = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("covered"), F.array().cast("array<string>").alias("items"))
+    found = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("covered"), F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("spans"))
     for block in _blocks(items, item_id, item_text, width, block_windows):
-        found = _scan(spark.sparkContext.broadcast(block), width)(F.col(text_col), found)
+        found = _scan(spark.sparkContext.broadcast(block), width, spans)(F.col(text_col), found)
     out = docs.select(*[f"`{c}`" for c in keep], found.alias("contamination"))
     at = F.col("contamination")
     n_hit = F.aggregate(F.transform(at["covered"], lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     parts = [at["n_words"].alias("n_words"), n_hit.alias("n_hit"), at["items"].alias("items")]
     if spans:
-        place = F.pandas_udf(lambda t, c: pd.Series([original_spans(x, y) if len(y) else [] for x, y in zip(t, c, strict=True)]), "array<long>")
-        parts.append(place(F.col(text_col), at["covered"]).alias("spans"))
+        parts.append(at["spans"].alias("spans"))
     return out.withColumn("contamination", F.struct(*parts))
 
 

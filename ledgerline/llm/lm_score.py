@@ -1,20 +1,24 @@
 """Language-model scores by stupid backoff: count tables by hash, joined to the n-grams of documents.
 
-The model is the corpus itself: counts of words and of pairs of words over all documents, with an end mark
-after each text. Pairs seen fewer than LEAST times are not in the model. A word after another scores
-count(pair) / count(first), or, where the model doesn't have the pair, BACKOFF * count(word) / total; so
-does the first word of a text. The score of a document is the sum of the logarithms over its words and the
-end mark.
-
-An n-gram a row would shuffle several times the corpus, so rows carry many: documents are gathered into
-blocks of BLOCK words, kept as a table, and a block asks for the counts of its distinct words and pairs with
-one packed row for each partition of the hash space. A partition sums what all blocks report, which is the
-count table for its share of the hashes, and answers each block in the order it was asked; a block with its
-answers scores its documents. An n-gram costs a block one entry however often it occurs, so frequent words
-and pairs weigh no more than others, and partitions are as many as blocks, so none outgrows memory.
-
-Defined results: null and wordless texts have the end mark alone; rows that share an identifier are scored
-as one document, also those with none; an empty table gives an empty result; other columns are ignored.
+The model is the corpus itself, less the document that is scored: n-grams of one to ORDER words are counted
+over all rows, with an end mark after each text, and a row's own occurrences don't count for it. A word
+after others scores count(n-gram) / count(n-gram without its last word) for the longest n-gram that ends
+with it and occurs in another row, times BACKOFF for each word that had to be given up; a word that
+occurs in no other row scores BACKOFF ** ORDER over the words of the other rows and one. The score of a
+document is the sum of the logarithms over its words and the end mark.
+
+An n-gram a row would shuffle many times the corpus, so rows carry many: documents are gathered into
+blocks of BLOCK words, kept as a table, and a block asks for the counts of its distinct n-grams with one
+packed row for each partition of the count tables that it needs, sorted and packed as differences. A
+partition of the hash space sums what all blocks report, which is the count table for its share of the
+n-grams, and answers each block in the order it was asked; a block with its answers scores its documents.
+There are as many partitions as PART n-grams in each need, so none outgrows memory, and rows can't exceed
+the distinct n-grams of blocks. An n-gram costs a block one entry however often it occurs, so frequent
+words and phrases weigh no more than others.
+
+Defined results: null and wordless texts have the end mark alone; each row is scored as a document of its
+own, also where rows share an identifier or have none; an empty table gives an empty result; a single row
+has no other to count; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,39 +33,39 @@ from pyspark.sql import functions as F
 from .common import stage
 from .neardup import _Hashes, _mix
 
+ORDER = 3
 BACKOFF = 0.4
-LEAST = 2
 #: Words of a block; a longer document is a block of its own.
 BLOCK = 1_500_000
+#: n-grams that a partition of the count tables is asked for, on average.
+PART = 4_000_000
 
 _END = np.uint64(0)
-_BLOCKS = "block long, n long, ids array<long>, lengths array<int>, words binary, places binary"
-_ASKED = "block long, kind int, part int, keys binary, counts binary"
-_TOLD = "block long, kind int, part int, counts binary"
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
+_BLOCKS = "block long, n long, ids array<string>, lengths array<int>, words binary, places binary"
+_ASKED = "block long, part int, sizes array<int>, keys binary, counts binary"
+_TOLD = "block long, part int, counts binary"
 _SCORES = "doc_id long, n_words long, s double, n_backoff long"
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def _pack(a: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: equal planes and zeros cost next to nothing."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
-
-
-def _pack48(keys: np.ndarray) -> bytes:
-    """Six bytes of each key; the rest is what chose the partition."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _make_blocks(size: int):
@@ -72,11 +76,15 @@ def _make_blocks(size: int):
         ids, parts, held = [], [], 0
 
         def close() -> pd.DataFrame:
-            words, places = np.unique(np.concatenate(parts), return_inverse=True)
-            row = (uuid.uuid4().int >> 65, held, list(ids), [len(p) for p in parts], _pack(words), _pack(places.astype(np.int32)))
+            words, places, often = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            # frequent words get small numbers, which pack best
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            row = (uuid.uuid4().int >> 65, held, list(ids), [len(p) for p in parts], _pack(words[order]), _pack(rank[places]))
             ids.clear()
             parts.clear()
-            return pd.DataFrame([row], columns=[c.split()[0] for c in _BLOCKS.split(", ")])
+            return pd.DataFrame([row], columns=_names(_BLOCKS))
 
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -84,7 +92,7 @@ def _make_blocks(size: int):
                 coded = np.empty(len(words) + 1, np.uint64)
                 coded[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
                 coded[-1] = _END
-                ids.append(None if doc_id is None else int(doc_id))
+                ids.append(doc_id)
                 parts.append(coded)
                 held += len(coded)
                 if held >= size:
@@ -96,82 +104,114 @@ def _make_blocks(size: int):
     return run
 
 
-def _grams(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words and the place of each word among them, distinct pairs and each word's pair, and which words come first."""
+def _grams(row, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """For each length: distinct n-grams, the n-gram that ends at each word, and whether it lies in the text; then the row of each word, and row starts."""
     words, places = _unpack(row.words, np.uint64), _unpack(row.places, np.int32)
-    first = np.zeros(len(places), bool)
-    first[np.concatenate([[0], np.cumsum(row.lengths)[:-1]]).astype(int)] = True
+    lengths = np.asarray(row.lengths)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(places)) - starts[of]
     coded = words[places]
-    before = np.concatenate([[_END], coded[:-1]])
-    pairs, of = np.unique(_mix(before * np.uint64(0x9E3779B97F4A7C15) + coded), return_inverse=True)
-    return words, places, pairs, of, first
+    out, now = [], np.zeros(len(coded), np.uint64)
+    for n in range(1, order + 1):
+        now = coded if n == 1 else np.concatenate([[_END], now[:-1]]) * _TIMES + coded
+        keys, where = np.unique(_mix(now + np.uint64(n)), return_inverse=True)
+        out.append((keys, where, at >= n - 1))
+    return out, of, starts
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((_mix(keys) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where sorted keys pass from one partition to the next: partitions are ranges of the hash space."""
+    edges = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(int)
 
 
-def _ask(parts: int):
+def _ask(parts: int, order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                words, places, pairs, of, first = _grams(row)
+                grams, _, _ = _grams(row, order)
+                counts = [np.bincount(where[inside], minlength=len(keys)).astype(np.uint32) for keys, where, inside in grams]
+                cuts = [_cut(keys, parts) for keys, _, _ in grams]
                 out = []
-                for kind, keys, counts in ((0, words, np.bincount(places, minlength=len(words))), (1, pairs, np.bincount(of[~first], minlength=len(pairs)))):
-                    part = _part(keys, parts)
-                    order = np.argsort(part, kind="stable")
-                    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                    for p in range(parts):
-                        mine = order[cuts[p] : cuts[p + 1]]
-                        if len(mine):
-                            out.append((row.block, kind, p, _pack48(keys[mine]), _pack(counts[mine].astype(np.uint32))))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in _ASKED.split(", ")])
+                for p in range(parts):
+                    mine = [slice(c[p], c[p + 1]) for c in cuts]
+                    sizes = [m.stop - m.start for m in mine]
+                    if sum(sizes):
+                        # the upper 56 bits of a key, as the difference from the one before
+                        asked = [np.diff(keys[m] >> np.uint64(8), prepend=np.uint64(0)) for (keys, _, _), m in zip(grams, mine, strict=True)]
+                        out.append((row.block, p, sizes, _pack(np.concatenate(asked)), _pack(np.concatenate([c[m] for c, m in zip(counts, mine, strict=True)]))))
+                    if len(out) >= 500:
+                        yield pd.DataFrame(out, columns=_names(_ASKED))
+                        out = []
+                yield pd.DataFrame(out, columns=_names(_ASKED))
 
     return run
 
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sum what all blocks report of one partition, and answer each of them in its own order."""
-    keys = [_unpack48(b) for b in pdf["keys"]]
-    own = np.concatenate([_unpack(b, np.uint32) for b in pdf["counts"]])
-    _, of = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(of, weights=own).astype(np.uint64)[of]
-    cuts = np.cumsum([0] + [len(k) for k in keys])
-    return pdf[["block", "kind", "part"]].assign(counts=[_pack(total[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-
-
-def _score(total: int, parts: int, least: int, backoff: float):
+    sizes = np.array([list(s) for s in pdf["sizes"]])
+    asked = [np.split(_unpack(k, np.uint64), np.cumsum(s)[:-1]) for k, s in zip(pdf["keys"], sizes, strict=True)]
+    own = [np.split(_unpack(c, np.uint32), np.cumsum(s)[:-1]) for c, s in zip(pdf["counts"], sizes, strict=True)]
+    answers: list[list[np.ndarray]] = [[] for _ in asked]
+    for n in range(sizes.shape[1]):
+        keys = np.concatenate([np.cumsum(a[n], dtype=np.uint64) for a in asked])
+        _, of = np.unique(keys, return_inverse=True)
+        total = np.bincount(of, weights=np.concatenate([c[n] for c in own])).astype(np.uint64)[of] if len(keys) else keys
+        for mine, part in zip(answers, np.split(total, np.cumsum(sizes[:, n])[:-1]), strict=True):
+            mine.append(part)
+    return pdf[["block", "part"]].assign(counts=[_pack(np.concatenate(a)) for a in answers])
+
+
+def _own(of: np.ndarray, where: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """For each word how often its n-gram occurs in its own row."""
+    _, pair, times = np.unique(of * np.int64(where.max() + 1) + where, return_inverse=True, return_counts=True)
+    if not inside.all():
+        times = np.bincount(pair, weights=inside).astype(np.int64)
+    return times[pair]
+
+
+def _score(total: int, parts: int, order: int, backoff: float):
     def run(blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in blocks.itertuples(index=False):
-            words, places, pairs, of, first = _grams(row)
-            answers = []
-            for kind, keys in ((0, words), (1, pairs)):
-                part = _part(keys, parts)
-                order = np.argsort(part, kind="stable")
-                mine = told[told["kind"] == kind].sort_values("part")
-                counts = np.empty(len(keys), np.float64)
-                counts[order] = np.concatenate([_unpack(b, np.uint64) for b in mine["counts"]])
-                answers.append(counts)
-            single, both = answers[0][places], answers[1][of]
-            hit = ~first & (both >= least)
-            before = np.concatenate([[1.0], single[:-1]])
-            s = np.where(hit, np.log(np.maximum(both, 1) / before), np.log(backoff * single / total))
-            starts = np.concatenate([[0], np.cumsum(row.lengths)[:-1]]).astype(int)
-            out.append(pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "n_words": np.asarray(row.lengths, np.int64), "s": np.add.reduceat(s, starts), "n_backoff": np.add.reduceat((~hit).astype(np.int64), starts)}))
+            grams, of, starts = _grams(row, order)
+            cuts = [_cut(keys, parts) for keys, _, _ in grams]
+            counts = [np.zeros(len(keys)) for keys, _, _ in grams]
+            for part, packed in zip(told["part"], told["counts"], strict=True):
+                mine = [slice(c[part], c[part + 1]) for c in cuts]
+                for c, m, answer in zip(counts, mine, np.split(_unpack(packed, np.uint64), np.cumsum([m.stop - m.start for m in mine])[:-1]), strict=True):
+                    c[m] = answer
+            lengths = np.asarray(row.lengths)
+            others = (total - lengths)[of]
+            # what other rows have of each n-gram, by length
+            rest = [c[where] - _own(of, where, inside) for c, (_, where, inside) in zip(counts, grams, strict=True)]
+            score, done = np.full(len(of), order * np.log(backoff)) - np.log(others + 1), np.zeros(len(of), bool)
+            for n in range(order, 0, -1):
+                inside = grams[n - 1][2]
+                hit = inside & ~done & (rest[n - 1] > 0)
+                # the n-gram without its last word ends one word earlier
+                below = np.concatenate([[1.0], rest[n - 2][:-1]]) if n > 1 else others
+                score[hit] = np.log(rest[n - 1][hit] / below[hit]) + (order - n) * np.log(backoff)
+                if n == order:
+                    whole = hit
+                done |= hit
+            ids = pd.to_numeric(pd.Series(list(row.ids), dtype="string")).astype("Int64")
+            out.append(pd.DataFrame({"doc_id": ids, "n_words": lengths.astype(np.int64), "s": np.add.reduceat(score, starts), "n_backoff": np.add.reduceat((~whole).astype(np.int64), starts)}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_words": np.empty(0, np.int64), "s": np.empty(0), "n_backoff": np.empty(0, np.int64)})
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, backoff: float = BACKOFF, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_words, log_score, n_backoff): n_words counts the end mark, n_backoff the words that backed off."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """(doc_id, n_words, log_score, n_backoff): n_words counts the end mark, n_backoff the words whose longest n-gram no other row has."""
     # as text, since pandas makes floats of numbers with nulls
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = stage(rows.mapInPandas(_make_blocks(block), _BLOCKS))
-    counted = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n")).first()
-    parts, total = max(8, counted["blocks"]), counted["n"] or 0
-    asked = blocks.mapInPandas(_ask(parts), _ASKED)
-    told = asked.groupBy("kind", "part").applyInPandas(_count, _TOLD)
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_score(total, parts, least, backoff), _SCORES)
-    return scored.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"), F.sum("n_backoff").alias("n_backoff"))
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total * order // part))
+    asked = blocks.mapInPandas(_ask(parts, order), _ASKED)
+    told = asked.groupBy("part").applyInPandas(_count, _TOLD)
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_score(total, parts, order, backoff), _SCORES)
+    return scored.select("doc_id", "n_words", F.col("s").alias("log_score"), "n_backoff")

@@ -12,12 +12,13 @@ of all rows is many blocks; every block leaves one undecided document at most, a
 meet in a reduction tree whose fan-in is bounded.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; an empty
-table gives an empty result; repeated rows count as rows of their own; sources whose sizes are all 0
+table gives an empty result; repeated rows count as rows of their own, in blocks of their own; sources whose sizes are all 0
 have target 0. Reruns agree, because blocks, orders and draws all come from hashes of the rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -30,6 +31,8 @@ from .common import stage
 #: Most rows of a first-level block, on average, and the number of blocks that meet in one node of the tree.
 BLOCK_ROWS = 2_000
 FAN_IN = 64
+#: Repeated rows that one task numbers.
+REPEATS = 100_000
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -70,7 +73,8 @@ def _pivot(level: int, last: bool, seed: int):
 def _trade(pdf: pd.DataFrame, level: int, last: bool, seed: int) -> pd.DataFrame:
     """Trade within one block until one document at most is undecided; the last level draws for that one."""
     pdf = pdf.sort_values(["doc_id", "size", "copies", "part"], kind="stable", ignore_index=True)
-    name = 0 if pd.isna(pdf["source"].iloc[0]) else int.from_bytes(str(pdf["source"].iloc[0]).encode()[:64], "little") % (1 << 61)
+    source = pdf["source"].iloc[0]
+    name = 0 if pd.isna(source) else int.from_bytes(hashlib.sha256(str(source).encode("utf-8", "surrogatepass")).digest()[:16], "little")
     rng = np.random.default_rng([seed, level, name, int(pdf["block"].iloc[0])])
     size, part, copies = pdf["size"].to_numpy(np.float64), pdf["part"].to_numpy(np.float64).copy(), pdf["copies"].to_numpy(np.int64).copy()
     draws = rng.random(len(pdf))
@@ -115,9 +119,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
         )
     )
+    # repeated rows are counted and then numbered, so that each of them has a place of its own
+    counted = sizes.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("m"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / REPEATS))))
+    parts = parts.repartition("doc_id", "h", "part") if (counted.agg(F.max("m")).first()[0] or 0) > REPEATS else parts
+    last = F.least(F.col("m"), (F.col("part") + 1) * REPEATS) - 1
+    each = parts.select("doc_id", "source", "size", F.explode(F.sequence(F.col("part") * REPEATS, last)).alias("k"), "h").withColumn("h", F.xxhash64("h", "k"))
     targets = source_targets(sizes, cap).withColumn("blocks", F.ceil(F.col("n_docs") / block_rows)).withColumnRenamed("source", "of")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    first = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
+    first = each.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "source", "source_size", "target", "size", F.least(F.floor(ratio), F.lit(cap)).cast("long").alias("copies"),
         F.greatest(ratio - F.floor(ratio), F.lit(0.0)).alias("part"), F.pmod("h", F.col("blocks")).cast("long").alias("block"), F.lit(False).alias("open"),
     )

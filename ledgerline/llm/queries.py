@@ -48,30 +48,31 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff scores of all documents under the counts of all documents."""
+    """Stupid-backoff scores of all documents under the counts of all other documents."""
     small_batches(spark)
     out = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_backoff", F.round("log_score", 3).alias("log_score"))
 
 
 SQL2 = r"""
-WITH d AS (SELECT doc_id, list_append(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> ''), NULL) AS h FROM documents),
-pos AS (SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, h FROM d),
-p AS (SELECT doc_id, CASE WHEN i > 1 THEN h[i - 1] END AS v, i = 1 AS first, coalesce(h[i], chr(0)) AS w FROM pos),
-single AS (SELECT w, count(*) AS single FROM p GROUP BY w),
-both_ AS (SELECT v, w, count(*) AS both_ FROM p WHERE NOT first GROUP BY v, w HAVING count(*) >= 2),
-met AS (SELECT doc_id, p.v, p.w, both_ FROM p LEFT JOIN both_ ON NOT first AND p.v = both_.v AND p.w = both_.w),
-s AS (SELECT doc_id, both_ IS NULL AS off, CASE WHEN both_ IS NOT NULL THEN ln(both_ / single) ELSE ln(0.4 * single / (SELECT count(*) FROM p)) END AS s
-  FROM met JOIN single ON single.w = CASE WHEN both_ IS NOT NULL THEN met.v ELSE met.w END)
-SELECT doc_id, count(*) AS n_words, count(*) FILTER (off) AS n_backoff, round(sum(s), 3) AS log_score FROM s GROUP BY doc_id
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_append(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> ''), chr(0)) AS h FROM documents),
+pos AS (SELECT r, doc_id, len(h) AS n, unnest(range(1, len(h) + 1)) AS i, h FROM d),
+p AS (SELECT r, doc_id, n, i, CASE WHEN i > 2 THEN h[i - 2] END AS u, CASE WHEN i > 1 THEN h[i - 1] END AS v, h[i] AS w FROM pos),
+c AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS one,
+  count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY r, v, w) AS two,
+  count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY r, u, v, w) AS three, count(*) OVER () - n AS rest FROM p),
+k AS (SELECT *, lag(one) OVER (PARTITION BY r ORDER BY i) AS one_before, lag(two) OVER (PARTITION BY r ORDER BY i) AS two_before FROM c),
+s AS (SELECT r, doc_id, i > 2 AND three > 0 AS whole, CASE WHEN i > 2 AND three > 0 THEN ln(three / two_before)
+  WHEN i > 1 AND two > 0 THEN ln(0.4 * two / one_before) WHEN one > 0 THEN ln(0.4 * 0.4 * one / rest) ELSE ln(0.4 * 0.4 * 0.4 / (rest + 1)) END AS s FROM k)
+SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT whole) AS n_backoff, round(sum(s), 3) AS log_score FROM s GROUP BY r, doc_id
 """
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one whose texts look like control strings, through log, fold, template and back."""
+    """All conversations, and one whose texts look like control strings, through a log with drafts, edits, regenerations and deletions, fold, template and back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    log = chat.turns_as_events(rows.unionByName(odd))
+    log = chat.drafts_as_events(rows.unionByName(odd))
     back = chat.read_back(chat.render(chat.fold_events(log)))
     learned = F.array_join("learned", "")
     return back.select(
@@ -138,33 +139,42 @@ SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, least(doc.doc_id, coalesce(b, d
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of ten benchmark words in every whole document."""
+    """Windows of ten benchmark words in every whole document, with the places of hit words in the original text."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), spans=True)
     c = F.col("contamination")
     return found.select(
         "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"),
-        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"),
+        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"), F.array_join(c["spans"], ",").alias("spans"),
     )
 
 
 _WORDS6 = "regexp_extract_all(" + _LOWER + r", '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
+#: Words with what stands before each of them.
+_PIECES6 = "regexp_extract_all(" + _LOWER.format("text") + r", '[^0-9a-z\x{80}-\x{10FFFF}]*[0-9a-z\x{80}-\x{10FFFF}]+')"
+
 #: Windows as strings; each document word run of a window's length is looked up among them.
 SQL6 = rf"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS6.format('text')} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item WHERE len(w) > 0)),
-doc AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS6.format('text')} AS w FROM documents),
+doc AS (SELECT doc_id, text, row_number() OVER () AS r, {_WORDS6.format('text')} AS w FROM documents),
 lens AS (SELECT DISTINCT n FROM win),
 run AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lens WHERE len(w) >= n)),
 hit AS (SELECT r, i, run.n, item_id FROM run JOIN win ON run.n = win.n AND run.s = win.s),
-covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+meets AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM hit),
+covered AS (SELECT r, count(*) AS n_hit FROM meets GROUP BY r),
+island AS (SELECT r, min(p) AS a, max(p) AS b FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS g FROM meets) GROUP BY r, g),
+piece AS (SELECT r, text, {_PIECES6} AS g FROM doc WHERE r IN (SELECT r FROM meets)),
+place AS (SELECT r, i, sum(len(g)) OVER (PARTITION BY r ORDER BY i) AS stop, len(regexp_extract(g, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+$')) AS n
+  FROM (SELECT r, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS g FROM piece)),
+spans AS (SELECT r, string_agg((x.stop - x.n) || ',' || y.stop, ',' ORDER BY a) AS spans FROM island JOIN place x USING (r) JOIN place y USING (r) WHERE x.i = a AND y.i = b GROUP BY r),
 of AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN covered USING (r) LEFT JOIN of USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN covered USING (r) LEFT JOIN of USING (r) LEFT JOIN spans USING (r)
 """
 
 

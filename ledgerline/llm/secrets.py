@@ -8,7 +8,7 @@ is searched in every document.
 
 A pattern's matches are leftmost and don't overlap, as ``re.finditer`` gives them; matches whose
 measured group is too short are dropped afterwards. Spans are (start, end) in code points, end
-exclusive.
+exclusive. A private key reaches from its BEGIN line through its END line.
 
 Defined results: null texts are empty and have no spans; rows with a null or a repeated identifier are
 searched like others (the index only decides where to look, the search is per row); an empty table
@@ -41,14 +41,52 @@ def _either(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
 
-# Fixed patterns: the three base kinds, then kinds that this operator adds.
+_KEY = "PRIVATE KEY(?: BLOCK)?-----"
+
+# Fixed patterns: the three base kinds, then kinds that this operator adds, after the published forms of keys and tokens.
 RULES = (
     Rule("assign", "(" + "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("slack", "xox[abeprs]-[A-Za-z0-9-]+", 0, 15),
+    # through the END line; a key without one as far as lines of Base64 go
+    Rule("pem", rf"-----BEGIN [A-Z0-9 ]*{_KEY}(?:[A-Za-z0-9+/=:,.()\x20\t\r\n-]*?-----END [A-Z0-9 ]*{_KEY}|[\x20\t\r\n]*[A-Za-z0-9+/=\r\n]*)"),
+    Rule("putty", r"PuTTY-User-Key-File-[0-9][A-Za-z0-9+/=:,.()\x20\t\r\n-]*"),
+    Rule("temporary", "ASIA[A-Z0-9]+", 0, 20),
+    Rule("github_pat", "github_pat_[A-Za-z0-9_]+", 0, 33),
+    Rule("gitlab", "gl(?:pat|dt|rt|ptt|ft|soat)-[A-Za-z0-9_-]+", 0, 25),
+    Rule("slack_hook", r"hooks\.slack\.com/(?:services|workflows)/[A-Za-z0-9/_-]+", 0, 44),
+    Rule("discord_hook", r"discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+", 0, 60),
+    Rule("google", "AIza[A-Za-z0-9_-]+", 0, 39),
+    Rule("google_oauth", r"ya29\.[A-Za-z0-9_-]+", 0, 25),
+    Rule("google_client", "GOCSPX-[A-Za-z0-9_-]+", 0, 30),
+    Rule("stripe", "[prs]k_(?:live|test)_[A-Za-z0-9]+", 0, 24),
+    Rule("stripe_hook", "whsec_[A-Za-z0-9+/=]+", 0, 30),
+    Rule("square", "sq0(?:atp|csp|idp)-[A-Za-z0-9_-]+", 0, 29),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 60),
+    Rule("mailgun", "key-[0-9a-z]+", 0, 36),
+    Rule("npm", "npm_[A-Za-z0-9]+", 0, 40),
+    Rule("pypi", "pypi-[A-Za-z0-9_-]+", 0, 55),
+    Rule("rubygems", "rubygems_[0-9a-f]+", 0, 57),
+    Rule("docker", "dckr_pat_[A-Za-z0-9_-]+", 0, 30),
+    Rule("digitalocean", "do[opr]_v1_[0-9a-f]+", 0, 70),
+    Rule("shopify", "shp(?:at|ca|pa|ss)_[0-9a-fA-F]+", 0, 38),
+    Rule("hugging", "hf_[A-Za-z0-9]+", 0, 37),
+    Rule("vault", r"hv[bs]\.[A-Za-z0-9_-]+", 0, 28),
+    Rule("terraform", r"[A-Za-z0-9]{10,20}\.atlasv1\.[A-Za-z0-9_=-]+", 0, 70, r"\.atlasv1\."),
+    Rule("databricks", "dapi[0-9a-f]+", 0, 36),
+    Rule("grafana", "glsa_[A-Za-z0-9_]+", 0, 40),
+    Rule("newrelic", "NRAK-[A-Z0-9]+", 0, 32),
+    Rule("postman", "PMAK-[A-Za-z0-9-]+", 0, 60),
+    Rule("linear", "lin_api_[A-Za-z0-9]+", 0, 40),
+    Rule("telegram", "[0-9]{6,12}:AA[A-Za-z0-9_-]+", 0, 43, "[0-9]:AA[A-Za-z0-9_-]"),
+    Rule("age", "AGE-SECRET-KEY-1[A-Z0-9]+", 0, 60),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("azure", "AccountKey=([A-Za-z0-9+/=]+)", 1, 40),
+    Rule("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]+)", 1, 20),
+    Rule("basic", r"[Bb]asic\x20+([A-Za-z0-9+/=]+)", 1, 20),
+    Rule("address", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@\"'<>]+:([^\x00-\x20/:@\"'<>]+)@", 1, 3),
 )
 
 #: Strings kept apart while a pattern is read; beyond that their trigrams are settled and reading starts anew.
@@ -120,9 +158,15 @@ def trigram_query(pattern: str) -> list[Clause]:
     return clauses
 
 
+def asked(pattern: str, most: int = 3) -> list[Clause]:
+    """The trigram query with ``most`` trigrams of each set, those with the fewest letters first: it holds wherever the whole one does."""
+    rare = lambda g: (sum(c.isalpha() for c in g), g)
+    return [frozenset(frozenset(sorted(s, key=rare)[:most]) for s in c) for c in trigram_query(pattern)]
+
+
 def build_index(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(gram, doc_id): postings of the trigrams that the rules ask for."""
-    grams = sorted({g for r in rules for c in trigram_query(r.pattern) for s in c for g in s})
+    grams = sorted({g for r in rules for c in asked(r.pattern) for s in c for g in s})
     low = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
     return low.select("doc_id", F.explode(present).alias("gram"))
@@ -141,7 +185,7 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
 
     kinds = []
     for r in rules:
-        if query := trigram_query(r.pattern):
+        if query := asked(r.pattern):
             test = holds(query[0])
             for c in query[1:]:
                 test = test & holds(c)
