@@ -7,25 +7,55 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PREFIX = "ledgerline-"
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the folder that all executors share (spark.checkpoint.dir).
 
-    Where the setting is absent (tests, a local session) a temporary folder is made and set once.
-    """
+def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
+    return root.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors."""
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name under the folder that all executors share (spark.checkpoint.dir).
+
+    Where the setting is absent a local session makes a temporary folder and sets it once; a session on a
+    cluster raises an error, since its executors could not read a local folder.
+    """
+    return f"{_root(spark)}/{_PREFIX}{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    by: a column by which the table is in buckets, as many as a shuffle has partitions, so that joins and
+    groups on it don't shuffle the table again.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    name = f"staged_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalog alone; the files stay
+    return table
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this application has staged, once its results are written; gives the number of folders."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_root(spark))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    own = [f.getPath() for f in files.listStatus(root) if f.getPath().getName().startswith(f"{_PREFIX}{spark.sparkContext.applicationId}-")]
+    for path in own:
+        files.delete(path, True)
+    return len(own)
