@@ -9,7 +9,8 @@ document is the sum of the logarithms over its words and the end mark.
 
 An n-gram a row would shuffle many times the corpus, so rows carry many: documents are gathered into
 blocks of BLOCK words, kept as a table, and a block asks for the counts of its distinct n-grams with one
-packed row for each partition of the count tables that it needs, sorted and packed as differences. A
+packed row for each partition of the count tables that it needs, sorted and packed as differences. The
+table of blocks is in buckets, so that answers come to the blocks and blocks are never shuffled. A
 partition of the hash space sums what all blocks report, which is the count table for its share of the
 n-grams, and answers each block in the order it was asked; a block with its answers scores its documents.
 There are as many partitions as PART n-grams in each need, so none outgrows memory, and rows can't exceed
@@ -36,9 +37,11 @@ from .neardup import _Hashes, _mix
 ORDER = 3
 BACKOFF = 0.4
 #: Words of a block; a longer document is a block of its own.
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 #: n-grams that a partition of the count tables is asked for, on average.
 PART = 4_000_000
+#: Bits of an n-gram's hash beyond those that number all words: one count in 2 ** SPARE is another's, too.
+SPARE = 24
 
 _END = np.uint64(0)
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -126,7 +129,7 @@ def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(int)
 
 
-def _ask(parts: int, order: int):
+def _ask(parts: int, order: int, spare: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
@@ -138,8 +141,8 @@ def _ask(parts: int, order: int):
                     mine = [slice(c[p], c[p + 1]) for c in cuts]
                     sizes = [m.stop - m.start for m in mine]
                     if sum(sizes):
-                        # the upper 56 bits of a key, as the difference from the one before
-                        asked = [np.diff(keys[m] >> np.uint64(8), prepend=np.uint64(0)) for (keys, _, _), m in zip(grams, mine, strict=True)]
+                        # the upper bits of a key, as the difference from the one before
+                        asked = [np.diff(keys[m] >> np.uint64(spare), prepend=np.uint64(0)) for (keys, _, _), m in zip(grams, mine, strict=True)]
                         out.append((row.block, p, sizes, _pack(np.concatenate(asked)), _pack(np.concatenate([c[m] for c, m in zip(counts, mine, strict=True)]))))
                     if len(out) >= 500:
                         yield pd.DataFrame(out, columns=_names(_ASKED))
@@ -208,10 +211,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """(doc_id, n_words, log_score, n_backoff): n_words counts the end mark, n_backoff the words whose longest n-gram no other row has."""
     # as text, since pandas makes floats of numbers with nulls
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = stage(rows.mapInPandas(_make_blocks(block), _BLOCKS))
+    blocks = stage(rows.mapInPandas(_make_blocks(block), _BLOCKS), by="block")
     total = blocks.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total * order // part))
-    asked = blocks.mapInPandas(_ask(parts, order), _ASKED)
+    asked = blocks.mapInPandas(_ask(parts, order, max(0, 64 - SPARE - total.bit_length())), _ASKED)
     told = asked.groupBy("part").applyInPandas(_count, _TOLD)
     scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_score(total, parts, order, backoff), _SCORES)
     return scored.select("doc_id", "n_words", F.col("s").alias("log_score"), "n_backoff")
