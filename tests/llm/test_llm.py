@@ -509,6 +509,22 @@ def test_neighbours_of_few(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_every_length_is_searched_in_double_precision(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=3 if i % 3 else 7) * 10.0 ** rng.integers(-60, 60)]) for i in range(300)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, h string")
+    got = {}
+    for r in ann.nearest(df, df, share=40, leaf=8).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(300))
+    hit = 0
+    for q, v in rows:
+        mine = {i: float(np.dot(np.array(v) / np.linalg.norm(v), np.array(w) / np.linalg.norm(w))) for i, w in rows if i != q and len(w) == len(v)}
+        hit += len(set(sorted(mine, key=lambda i: -mine[i])[:5]) & {i for i, _ in got[q]})
+        assert all(abs(s - mine[i]) < 1e-12 for i, s in got[q])
+    assert hit >= 0.9 * 1500
+
+
 # 10
 
 
