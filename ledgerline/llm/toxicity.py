@@ -5,20 +5,22 @@ DECAY to the power of the letters it spans, up to SPAN of them; so a token with
 out or set apart by dots still resembles its plain form. Characters that are neither letter nor digit
 widen a span and are otherwise no part of it. Kernels are divided by the norms of both tokens, and
 values under LEAST count as none. Landmarks are tokens of the labelled texts that mark toxic ones best
-and don't resemble each other too much. A sentence has, for each landmark, the largest kernel with any
-of its tokens; beside each kernel counts a power of it, a kernel too, which tells a token from one that
-lacks a letter; the Nyström map turns these into the features of a linear machine with squared hinge
-loss. Sentences of clean texts are its negatives, sentences of toxic texts with any resemblance to a
+and don't resemble each other too much. The kernel of two sentences is the sum of the kernels of their
+distinct tokens, so a sentence has, for each landmark, the sum over its tokens; beside each kernel counts
+a power of it, a kernel too, which tells a token from one that lacks a letter; the Nyström map turns these
+into the features of a linear machine with squared hinge loss. Sentences of clean texts are its negatives, sentences of toxic texts with any resemblance to a
 landmark its positives. A text scores as its most toxic sentence, turned into a probability by a
 logistic curve fitted to the labelled texts. Landmarks with characters put between their letters are
 further positives.
 
 Fitting takes at most SAMPLE labelled rows of each class, those with the smallest hashes of their
-identifiers, and is done on the driver; scoring runs in the executors over whole texts.
+identifiers, of which texts of more than LONGEST characters don't take part and of a repeated identifier one
+text does, and is done on the driver; scoring runs in the executors over whole texts.
 
 Defined results: null, empty and wordless texts get the score of a sentence without any resemblance;
 labels that are null are left out, and an identifier with several labels counts as toxic if one says
-so; without labels of both classes every score is 0; repeated rows are scored alike.
+so; without labels of both classes every score is 0; repeated rows are scored alike; a column of docs with
+the name of the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ SHARP = 4
 CLEAR = 5.0
 #: Labelled rows of each class that are fitted at most.
 SAMPLE = 2_500
+#: Characters of a text that is fitted, at most; scoring reads whole texts of any length.
+LONGEST = 100_000
 #: Texts whose tokens are held at once while fitting.
 PART = 200
 #: Longest piece of a token that is compared as a whole; longer tokens are cut into overlapping pieces.
@@ -189,7 +193,7 @@ class Scorer:
         for i, tokens in enumerate(lists):
             if hot := self.hot.keys() & set(tokens):
                 rows = sentence_rows(texts[i], hot, self.hot)
-                out[i] = max(out[i], max((float(_both(r) @ self.direct) for r in rows), default=0.0) + self.offset)
+                out[i] = max(out[i], max((float(r @ self.direct) for r in rows), default=0.0) + self.offset)
         return out
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
@@ -197,11 +201,11 @@ class Scorer:
 
 
 def sentence_rows(text: str, hot: set[str], kernels: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """For each sentence with tokens of ``hot`` the largest kernel with each landmark."""
+    """For each sentence with tokens of ``hot`` the sums of kernels and of their powers with each landmark."""
     rows = []
     for sentence in _SENTENCE.split(text):
         if found := hot & set(tokens_of(sentence)):
-            rows.append(np.max([kernels[t] for t in found], axis=0))
+            rows.append(_both(np.array([kernels[t] for t in sorted(found)])).sum(axis=0))
     return rows
 
 
@@ -288,13 +292,13 @@ def fit(texts: list[str], toxic: list[int]) -> Scorer | None:
     kernels: dict[str, np.ndarray] = {}
     for part in parts:
         kernels.update(landmarks.measure_all({t for x in part for t in tokens_of(x or "")} - kernels.keys()))
-    rows, signs = [np.zeros(len(names))], [-1.0]
+    rows, signs = [np.zeros(2 * len(names))], [-1.0]
     for text, y in zip(texts, label, strict=True):
         found = sentence_rows(text or "", kernels.keys() & set(tokens_of(text or "")), kernels)
         rows += found
         signs += [1.0 if y else -1.0] * len(found)
     # what the kernel tolerates shall count: landmarks in disguise are positive too
-    disguised = [k for t in names for x in disguises(t) if (k := landmarks.measure(x)) is not None]
+    disguised = [_both(k) for t in names for x in disguises(t) if (k := landmarks.measure(x)) is not None]
     rows += disguised
     signs += [1.0] * len(disguised)
     gram = np.array([[kernel(a, b) for b in names] for a in names])
@@ -306,7 +310,7 @@ def fit(texts: list[str], toxic: list[int]) -> Scorer | None:
     # the sentence without resemblance stands for all clean ones like it
     weight = np.ones(len(signs_))
     weight[0] = max(1.0, (signs_ > 0).sum())
-    weights, offset = _machine(_both(np.asarray(rows)) @ map_, signs_, weight)
+    weights, offset = _machine(np.asarray(rows) @ map_, signs_, weight)
     scorer = Scorer(landmarks, map_, weights, offset, 1.0, 0.0)
     scorer.hot = kernels
     scorer.slope, scorer.shift = _curve(np.concatenate([scorer.margins(part, fresh=False) for part in parts]), label.astype(float))
@@ -319,14 +323,15 @@ def held_out(id_col: str | Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> Scorer | None:
     """A model from the labelled documents outside the held-out fold."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out("__id"))
     known = known.groupBy("__id").agg(F.max("__y").alias("__y"))
     by_hash = [F.xxhash64("__id"), F.col("__id")]
     some = known.filter("__y = 1").orderBy(*by_hash).limit(sample).unionByName(known.filter("__y <> 1").orderBy(*by_hash).limit(sample))
-    # at most 2 * sample rows: small enough to send whatever the size of the corpus
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(some), "__id").orderBy("__id", "__text").select("__text", "__y").collect()
+    # at most 2 * sample rows of bounded texts: small enough to send whatever the size of the corpus
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).filter(F.length("__text") <= longest)
+    rows = texts.join(F.broadcast(some), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy("__id").select("__text", "__y").collect()
     return fit([r["__text"] for r in rows], [int(r["__y"] == 1) for r in rows])
 
 

@@ -449,6 +449,37 @@ def test_toxicity_held_out_accuracy(spark):
     assert kept.columns == ["doc_id", "text", "__x"]
 
 
+def test_margins_equal_brute_force():
+    rows = toxic_corpus(160)
+    rows[3] = (3, "plain idiot. M-o-r-o-n and idxiot!\nstupid stupid scum", 1)
+    model = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    names, direct = model.landmarks.names, model.direct
+    best = lambda token, name: max([k if (k := toxicity.kernel(p, name)) >= toxicity.LEAST else 0.0 for p in toxicity.pieces(token)] or [0.0])
+
+    def margin(text):
+        out = [0.0]
+        for sentence in toxicity._SENTENCE.split(text):
+            row = np.array([[best(t, n) for n in names] for t in set(toxicity.tokens_of(sentence))]).reshape(-1, len(names))
+            out.append(float(np.concatenate([row.sum(axis=0), (row**toxicity.SHARP).sum(axis=0)]) @ direct))
+        return max(out) + model.offset
+
+    texts = [t for _, t, _ in rows[:25]] + ["", "a" * 300 + "idiot", "no such word here"]
+    assert np.allclose(model.margins(texts), [margin(t) for t in texts])
+    assert model.margins([None])[0] == pytest.approx(model.offset)
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = toxic_corpus(120)
+    docs = spark.createDataFrame([(*r[:2], 9.0) for r in rows] + [(0, "twice", 9.0), (200, "idiot " * 200_000, None)], DOCS + ", score double")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, model)
+    assert scored.columns == docs.columns and 0 <= scored.agg(F.min("score")).first()[0] <= scored.agg(F.max("score")).first()[0] <= 1
+    assert scored.filter("doc_id = 200").first()["score"] >= 0.5
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.train(docs.limit(0), labels) is None
+    assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+
+
 # 8
 
 
