@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -53,31 +54,65 @@ def create_companies(mentions: DataFrame) -> DataFrame:
     return firsts.groupBy("first_id").agg(F.min_by("name", F.struct("at", "id")).alias("name"), F.min_by("domain", F.struct(F.col("domain").isNull(), "at", "id")).alias("domain"), F.count(F.lit(1)).alias("mentions"))
 
 
-_ASSIGNED = "id string, company_id long, application string"
+ASSIGNED = "id string, company_id long, application string"
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fold one company's mentions, in order of time, into applications."""
-    stop = set(nz.TITLE_STOPWORDS)
-    words = lambda t: {w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if w and w not in stop}
-    span = pd.Timedelta(days=WINDOW_DAYS)
-    apps: list[dict] = []
-    out = []
-    for row in pdf.sort_values(["at", "id"]).itertuples(index=False):
-        role = row.role if isinstance(row.role, str) and row.role else None
-        near = [a for a in apps if a["start"] - span <= row.at and (a["end"] is None or row.at <= a["end"] + span)]
-        mine = words(role)
-        fits = [a for a in near if role and a["role"] and (t := words(a["role"])) and mine and len(t & mine) / len(t | mine) >= 0.6] or [a for a in near if not a["role"]]
+class Applications:
+    """The fold of one company's mentions, in order of time, into applications."""
+
+    SPAN = pd.Timedelta(days=WINDOW_DAYS)
+    STOP = frozenset(nz.TITLE_STOPWORDS)
+
+    def __init__(self) -> None:
+        self.open: list[dict] = []
+
+    @classmethod
+    def words(cls, title: str | None) -> set[str]:
+        return {w for w in re.split(r"[^a-z0-9]+", (title or "").lower()) if w and w not in cls.STOP}
+
+    def take(self, mention, company, at: pd.Timestamp, role: str | None, ends: bool) -> str:
+        """The application of one mention; a title that is missing is filled, an end that is missing is set."""
+        near = [a for a in self.open if a["start"] - self.SPAN <= at and (a["end"] is None or at <= a["end"] + self.SPAN)]
+        mine = self.words(role)
+        fits = [a for a in near if mine and (t := self.words(a["role"])) and len(t & mine) / len(t | mine) >= 0.6] or [a for a in near if not a["role"]]
         if fits:
-            chosen = min(fits, key=lambda a: (abs(a["start"] - row.at), -a["start"].value))
+            chosen = min(fits, key=lambda a: (abs(a["start"] - at), -a["start"].value))
         else:
-            chosen = {"start": row.at, "end": None, "role": role, "name": f"{row.company_id}-{row.id}"}
-            apps.append(chosen)
+            chosen = {"start": at, "end": None, "role": role, "name": f"{company}-{mention}"}
+            self.open.append(chosen)
         chosen["role"] = chosen["role"] or role
-        if row.ends and chosen["end"] is None:
-            chosen["end"] = row.at
-        out.append((row.id, row.company_id, chosen["name"]))
-    return pd.DataFrame(out, columns=["id", "company_id", "application"])
+        if ends and chosen["end"] is None:
+            chosen["end"] = at
+        return chosen["name"]
+
+    def add(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in pdf.sort_values(["at", "id"]).itertuples(index=False):
+            role = row.role if isinstance(row.role, str) and row.role else None
+            out.append((str(row.id), row.company_id, self.take(row.id, row.company_id, row.at, role, bool(row.ends))))
+        return pd.DataFrame(out, columns=["id", "company_id", "application"])
+
+    def dump(self) -> str:
+        return json.dumps([{**a, "start": a["start"].isoformat(), "end": a["end"] and a["end"].isoformat()} for a in self.open])
+
+    @classmethod
+    def load(cls, text: str) -> Applications:
+        fold = cls()
+        fold.open = [{**a, "start": pd.Timestamp(a["start"]), "end": a["end"] and pd.Timestamp(a["end"])} for a in json.loads(text)]
+        return fold
+
+
+def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mentions sorted by company and time, folded as they stream by: memory holds one company's applications and one batch."""
+    company, fold = object(), Applications()
+    for pdf in batches:
+        out = []
+        for name, part in pdf.groupby("company_id", sort=False, dropna=False):
+            if name != company:
+                company, fold = name, Applications()
+            out.append(fold.add(part))
+        if out:
+            yield pd.concat(out)
 
 
 def assign_applications(mentions: DataFrame) -> DataFrame:
@@ -85,9 +120,10 @@ def assign_applications(mentions: DataFrame) -> DataFrame:
 
     An application fits from 45 days before its start to 45 days after its end; one of the same role comes first, then
     an untitled one, then the nearest start, ties to the later. What a mention opens decides about later ones, so a
-    company's mentions are folded in one group. mentions: id, company_id, role, at, ends.
+    company's mentions are taken one after another, streamed in order. mentions: id, company_id, role, at, ends.
     """
-    return mentions.select("id", "company_id", "role", F.col("at").cast("timestamp_ntz").alias("at"), "ends").groupBy("company_id").applyInPandas(_assign, _ASSIGNED)
+    rows = mentions.select("id", "company_id", "role", F.col("at").cast("timestamp_ntz").alias("at"), "ends").filter("company_id IS NOT NULL")
+    return rows.repartition("company_id").sortWithinPartitions("company_id", "at", "id").mapInPandas(_assign, ASSIGNED)
 
 
 def merge_candidates(companies: DataFrame, limit: int | None = 200) -> DataFrame:

@@ -28,14 +28,21 @@ def match_rules(messages: DataFrame, rules: DataFrame, own_address: str = "") ->
     an address rule beats domain rules, an earlier address a later one, a longer suffix a shorter one. The own
     address is no correspondent.
     """
-    each = messages.select("id", F.posexplode("addresses").alias("pos", "address")).select("id", "pos", F.lower(F.trim("address")).alias("address")).filter(F.col("address") != own_address.lower())
-    by_address = each.select("id", F.lit("address").alias("match_type"), F.col("address").alias("value"), "pos", F.lit(0).alias("depth"))
+    address = lambda c: F.lower(F.trim(c))
+    each = messages.select("id", F.posexplode("addresses").alias("pos", "address")).withColumn("address", address("address")).filter(F.col("address") != own_address.lower())
+    # kind, position and depth in one number, the best the least, so that a plain aggregate finds it
+    code = lambda kind, depth: F.lit(kind << 40).cast("long") + F.shiftleft(F.col("pos").cast("long"), 8) + depth
+    by_address = each.select("id", F.lit("address").alias("match_type"), F.col("address").alias("value"), code(0, F.lit(0)).alias("code"))
     parents = each.select("id", "pos", F.posexplode(nz.suffixes(nz.domain_of(F.col("address")))).alias("depth", "value"))
-    by_domain = parents.select("id", F.lit("domain").alias("match_type"), "value", "pos", "depth")
+    by_domain = parents.select("id", F.lit("domain").alias("match_type"), "value", code(1, F.col("depth")).alias("code"))
     known = rules.select("match_type", F.lower("value").alias("value"), "verdict", "company_id", "category").groupBy("match_type", "value").agg(F.min(F.struct("verdict", "company_id", "category")).alias("rule"))
-    hits = by_address.unionByName(by_domain).join(known, ["match_type", "value"])
-    best = hits.groupBy("id").agg(F.min_by(F.struct("rule", "match_type", "value"), F.struct("match_type", "pos", "depth")).alias("hit"))
-    return best.select("id", "hit.rule.verdict", "hit.rule.company_id", "hit.rule.category", F.col("hit.match_type").alias("match_type"), F.col("hit.value").alias("matched"))
+    best = by_address.unionByName(by_domain).join(known.select("match_type", "value"), ["match_type", "value"], "left_semi").groupBy("id").agg(F.min("code").alias("code"))
+    place = F.shiftright(F.col("code"), 8).bitwiseAND(F.lit((1 << 32) - 1)).cast("int") + 1
+    met = best.join(messages.select("id", "addresses"), "id").withColumn("address", address(F.element_at("addresses", place)))
+    domain = F.element_at(nz.suffixes(nz.domain_of(F.col("address"))), F.col("code").bitwiseAND(F.lit(255)).cast("int") + 1)
+    is_address = F.col("code") < F.lit(1 << 40)
+    hit = met.select("id", F.when(is_address, "address").otherwise("domain").alias("match_type"), F.when(is_address, F.col("address")).otherwise(domain).alias("value"))
+    return hit.join(known, ["match_type", "value"]).select("id", "rule.verdict", "rule.company_id", "rule.category", "match_type", F.col("value").alias("matched"))
 
 
 def verdict(learned: Column, known_contact: Column, thread_positive: Column, labels: Column, bulk: Column) -> Column:
@@ -69,8 +76,9 @@ def carry_threads(messages: DataFrame) -> DataFrame:
 
 
 def domain_carry(messages: DataFrame, companies: DataFrame) -> DataFrame:
-    """(id, company_id): for mail without a company, the company with the longest domain equal to or above the sender's."""
-    parents = messages.filter("company_id IS NULL").select("id", F.explode(nz.suffixes(F.col("sender_domain"))).alias("domain"))
+    """(id, company_id): for mail without a company, the company with the longest domain equal to or above the sender's; bulk mail (is_bulk) is left out."""
+    own = messages.filter("company_id IS NULL")
+    parents = (own.filter(~F.coalesce("is_bulk", F.lit(False))) if "is_bulk" in own.columns else own).select("id", F.explode(nz.suffixes(F.col("sender_domain"))).alias("domain"))
     known = companies.filter("domain IS NOT NULL").select(F.lower("domain").alias("domain"), F.col("id").alias("company_id"))
     return parents.join(known, "domain").groupBy("id").agg(F.max_by("company_id", F.struct(F.length("domain"), -F.col("company_id"))).alias("company_id"))
 

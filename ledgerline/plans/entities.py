@@ -119,14 +119,15 @@ add_table("postings", "documents", lambda t: search.postings(t, "doc_id", "text"
 
 
 def _first_vector(t):
-    return t.filter("vec_id = 0").first()["embedding"]
+    row = t.filter("vec_id = 0").first()
+    return row["embedding"] if row else []
 
 
 _COS = "list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[])"
 add_table("semantic_search", "embeddings", lambda t: search.semantic(t, _first_vector(t), 10).select("id", F.round("similarity", 6).alias("similarity")), f"SELECT v.vec_id AS id, round({_COS.format('v.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY similarity DESC, id LIMIT 10")
 add_table("semantic_neighbours", "embeddings", lambda t: search.neighbours(t, 3, 10).select("id", F.round("similarity", 6).alias("similarity")), f"SELECT v.vec_id AS id, round({_COS.format('v.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE v.vec_id <> 3 ORDER BY similarity DESC, id LIMIT 10")
 add_table("similar_resolved", "embeddings", lambda t: search.semantic(t, _first_vector(t), 5, where=F.col("label") > 3).select("id", F.round("similarity", 6).alias("similarity")), f"SELECT v.vec_id AS id, round({_COS.format('v.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE v.label > 3 ORDER BY similarity DESC, id LIMIT 5")
-add_table("embedding_text", "documents", lambda t: t.select("doc_id", F.md5(search.embedding_text(F.when(F.col("lang") != "de", F.col("text")), F.col("source"), 2000).cast("binary")).alias("digest")), "SELECT doc_id, md5(coalesce(nullif(trim(substr(CASE WHEN lang <> 'de' THEN text END, 1, 2000)), ''), nullif(trim(source), ''), '(empty)')) AS digest FROM documents")
+add_table("embedding_text", "documents", lambda t: t.select("doc_id", F.md5(search.embedding_text(F.when(F.col("lang") != "de", F.col("text")), F.col("source")).cast("binary")).alias("digest")), "SELECT doc_id, md5(coalesce(nullif(trim(CASE WHEN lang <> 'de' THEN text END), ''), nullif(trim(source), ''), '(empty)')) AS digest FROM documents")
 # quality
 add(
     "constraint_violations", quality.violations,

@@ -106,7 +106,10 @@ QUERIES["ingest_health"] = lambda spark, sf_dir: env.ingest_health(_runs(spark,
 ORACLES["ingest_health"] = f"WITH {_RUNS} SELECT count(*) AS runs, count(*) FILTER (failed) AS failures, count(DISTINCT day) FILTER (NOT failed) AS days, min(day) FILTER (NOT failed) AS first_day, max(day) FILTER (NOT failed) AS last_day, (max(day) FILTER (NOT failed) - min(day) FILTER (NOT failed)) + 1 - count(DISTINCT day) FILTER (NOT failed) AS missing FROM runs"
 QUERIES["run_log"] = lambda spark, sf_dir: env.run_log(_runs(spark, sf_dir)).select("day", "id", "started_at", "status", "errors")
 ORACLES["run_log"] = f"WITH {_RUNS} SELECT day, id, started_at, CASE WHEN failed THEN 'FAILED' ELSE 'ok' END AS status, 0 AS errors FROM runs ORDER BY started_at DESC, id LIMIT 30"
-QUERIES["expand_seeds"] = lambda spark, sf_dir: (lambda r: expand.expand(r.message, r.message.filter("application_id = 7")))(record(spark, sf_dir))
+QUERIES["expand_seeds"] = lambda spark, sf_dir: (lambda r: expand.expand(r.message, r.message.filter("application_id % 500 = 7")))(record(spark, sf_dir))
+_HOPS = "".join(f", k{h} AS MATERIALIZED (SELECT DISTINCT key FROM links WHERE id IN (SELECT id FROM h{h - 1})), h{h} AS MATERIALIZED (SELECT DISTINCT id FROM links WHERE key IN (SELECT key FROM k{h})" + "".join(f" AND id NOT IN (SELECT id FROM h{g})" for g in range(h)) + ")" for h in range(1, 5))
+ORACLES["expand_seeds"] = over_record(f""", links AS MATERIALIZED (SELECT id, 't:' || thread_id AS key FROM message WHERE thread_id IN (SELECT thread_id FROM message WHERE direction = 'outbound') UNION ALL SELECT id, 'd:' || sender_domain FROM message),
+h0 AS MATERIALIZED (SELECT DISTINCT id FROM message WHERE application_id % 500 = 7){_HOPS} """ + " UNION ALL ".join(f"SELECT id, {h} AS hop FROM h{h}" for h in range(5)))
 
 
 def _events(spark, sf_dir):
@@ -132,13 +135,19 @@ QUERIES["stream_dedupe"] = stream_dedupe
 ORACLES["stream_dedupe"] = "SELECT event_id, any_value(user_id) AS user_id FROM events GROUP BY 1"
 
 
+def mentions_of_events(events):
+    return events.select(F.col("user_id").alias("company_id"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") != "view", F.concat_ws(" ", "event_type", F.col("event_id") % 3)).alias("role"), F.col("ts").cast("timestamp_ntz").alias("at"), (F.col("value") > 60).alias("ends"))
+
+
 def stream_applications(spark, sf_dir):
+    """Mentions as they arrive; what the batch fold gives of the same table."""
     work = shared_dir(spark)
-    rows = _events(spark, sf_dir).select(F.col("user_id").alias("company_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
-    return jobs.drain(jobs.follow_applications(rows, gap_days=1), f"{work}/out", f"{work}/checkpoint", "update")
+    return jobs.drain(jobs.follow_applications(mentions_of_events(_events(spark, sf_dir))), f"{work}/out", f"{work}/checkpoint", "append")
 
 
 QUERIES["stream_applications"] = stream_applications
+QUERIES["stream_seen_ranges"] = lambda spark, sf_dir: (lambda work: jobs.drain(jobs.seen_ranges(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts"), f"{work}/out", f"{work}/checkpoint").select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "n"))(shared_dir(spark))
+ORACLES["stream_seen_ranges"] = "SELECT user_id, min(ts)::TIMESTAMP AS first_at, max(ts)::TIMESTAMP AS last_at, count(*) AS n FROM events GROUP BY 1"
 
 
 def stream_ingest(spark, sf_dir):

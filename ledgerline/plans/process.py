@@ -168,8 +168,8 @@ _TITLE = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w:
 add_table("same_role", "part", lambda t: t.select("p_partkey", nz.same_role(F.col("p_name"), F.concat(F.lit("Senior "), F.col("p_name"))).alias("same"), nz.same_role(F.col("p_name"), F.col("p_type")).alias("other"), nz.same_role(F.lit(None).cast("string"), F.col("p_type")).alias("missing")),
     f"""SELECT p_partkey, len(a) > 0 AS same, len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.6 AS other, false AS missing
 FROM (SELECT p_partkey, list_distinct(list_filter({_TITLE.format('p_name')}, lambda w: NOT list_contains({list(nz.TITLE_STOPWORDS)}, w))) AS a, list_distinct(list_filter({_TITLE.format('p_type')}, lambda w: NOT list_contains({list(nz.TITLE_STOPWORDS)}, w))) AS b FROM part)""")
-add_table("html_text", "pages", lambda t: t.select("page_id", F.md5(nz.body_text(F.lit(None).cast("string"), F.col("html"), 20_000).cast("binary")).alias("text")),
-    r"""SELECT page_id, md5(substr(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(x, '\r\n?', chr(10), 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+$', ''), 1, 20000)) AS text FROM (
+add_table("html_text", "pages", lambda t: t.select("page_id", F.md5(nz.body_text(F.lit(None).cast("string"), F.col("html")).cast("binary")).alias("text")),
+    r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(x, '\r\n?', chr(10), 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+$', '')) AS text FROM (
   SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') AS x FROM pages)""")
 add_table("terminal_language", "documents", lambda t: t.select("doc_id", nz.looks_terminal(F.lit(None).cast("string"), F.col("text")).alias("terminal")),
     "SELECT doc_id, " + " OR ".join(f"contains(lower(coalesce(text, '')), '{x}')" for x in nz.TERMINAL_TERMS) + " AS terminal FROM documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, entities, intake, process, reporting
+from . import analytics, entities, intake, process, reporting, upkeep
 
-QUERIES: dict = {**analytics.QUERIES, **process.QUERIES, **entities.QUERIES, **intake.QUERIES, **reporting.QUERIES}
-ORACLES: dict = {**analytics.ORACLES, **process.ORACLES, **entities.ORACLES, **intake.ORACLES, **reporting.ORACLES}
+QUERIES: dict = {**analytics.QUERIES, **process.QUERIES, **entities.QUERIES, **intake.QUERIES, **reporting.QUERIES, **upkeep.QUERIES}
+ORACLES: dict = {**analytics.ORACLES, **process.ORACLES, **entities.ORACLES, **intake.ORACLES, **reporting.ORACLES, **upkeep.ORACLES}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize as nz
+from ledgerline.storage import stage
 
 VERSION = 1
 SCHEME = "raw-v1"
@@ -70,11 +71,11 @@ def days_to_run(spark: SparkSession, since: str, until: str, runs: DataFrame) ->
     return days.join(runs.filter("NOT failed").select("day"), "day", "left_anti")
 
 
-PARSED = "storage_key string, date string, subject string, message_id string, in_reply_to string, references string, reply_to string, senders array<string>, tos array<string>, ccs array<string>, bulk boolean, plain string, html string"
+PARSED = "storage_key string, account string, fetched_at timestamp, date string, subject string, message_id string, in_reply_to string, references string, reply_to string, senders array<string>, tos array<string>, ccs array<string>, bulk boolean, plain string, html string, broken boolean"
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Headers and body parts with the standard mail parser; what can't be parsed gives empty fields."""
+    """Headers and body parts with the standard mail parser; what can't be parsed gives empty fields and says so."""
     from email import message_from_bytes, policy
     from email.utils import getaddresses, parsedate_to_datetime
 
@@ -87,7 +88,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def addresses(message, name):
         return [a for _, a in getaddresses([str(v) for v in message.get_all(name, [])]) if a]
 
-    def one(key, payload):
+    def one(payload):
         try:
             message = message_from_bytes(bytes(payload), policy=policy.default)
             date = text(message, "Date")
@@ -101,18 +102,17 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 content = part.get_content() if part is not None else None
                 bodies[kind] = content if isinstance(content, str) else None
             bulk = message.get("List-Unsubscribe") is not None or str(message.get("Precedence", "")).strip().lower() in ("bulk", "list")
-            return (key, date, text(message, "Subject"), text(message, "Message-ID"), text(message, "In-Reply-To"), text(message, "References"), text(message, "Reply-To"), addresses(message, "From"), addresses(message, "To"), addresses(message, "Cc"), bulk, bodies["plain"], bodies["html"])
+            return (date, text(message, "Subject"), text(message, "Message-ID"), text(message, "In-Reply-To"), text(message, "References"), text(message, "Reply-To"), addresses(message, "From"), addresses(message, "To"), addresses(message, "Cc"), bulk, bodies["plain"], bodies["html"], False)
         except Exception:  # noqa: BLE001  an archive holds mail of every broken client
-            return (key, *[None] * 6, [], [], [], False, None, None)
+            return (*[None] * 6, [], [], [], False, None, None, True)
 
     for pdf in batches:
-        yield pd.DataFrame([one(k, p) for k, p in zip(pdf["storage_key"], pdf["payload"], strict=True)], columns=names)
+        yield pd.DataFrame([(k, a, f, *one(p)) for k, a, f, p in zip(pdf["storage_key"], pdf["account"], pdf["fetched_at"], pdf["payload"], strict=True)], columns=names)
 
 
 def parse_messages(envelopes: DataFrame) -> DataFrame:
     """Message rows: times, direction, addresses, threading headers, bulk flag and body text. One Python pass reads MIME; the rest are expressions."""
-    parsed = envelopes.select("storage_key", "payload").mapInPandas(_parse, PARSED)
-    rows = envelopes.select("storage_key", "account", "fetched_at").join(parsed, "storage_key")
+    rows = envelopes.select("storage_key", "account", "fetched_at", "payload").mapInPandas(_parse, PARSED)
     lower = lambda c: F.transform(c, lambda a: F.lower(a))
     others = F.array_distinct(F.filter(lower(F.concat("tos", "ccs")), lambda a: a != F.lower("account")))
     sender = F.try_element_at(lower(F.col("senders")), F.lit(1))
@@ -120,10 +120,30 @@ def parse_messages(envelopes: DataFrame) -> DataFrame:
         "storage_key", "account", F.coalesce(F.try_to_timestamp("date"), F.col("fetched_at")).alias("sent_at"), nz.direction(F.col("senders"), F.col("account")).alias("direction"),
         "subject", F.col("message_id").alias("message_id_header"), "in_reply_to", F.filter(F.split(F.coalesce("references", F.lit("")), r"\s+"), lambda x: x != "").alias("references_ids"),
         sender.alias("sender_address"), F.nullif(nz.domain_of(sender), F.lit("")).alias("sender_domain"), others.alias("recipient_addresses"), lower(F.col("ccs")).alias("cc_addresses"),
-        "reply_to", F.col("bulk").alias("is_bulk"), nz.body_text(F.col("plain"), F.col("html")).alias("body_text"),
+        "reply_to", F.col("bulk").alias("is_bulk"), nz.body_text(F.col("plain"), F.col("html")).alias("body_text"), F.col("broken").alias("is_broken"),
     )
 
 
+def backfill_days(spark: SparkSession, since: str, until: str, runs: DataFrame) -> DataFrame:
+    """(day, status) of a backfill: done, failed (every run of the day failed), or open. runs: day, failed."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(since).cast("date"), F.lit(until).cast("date"))).alias("day"))
+    by_day = runs.groupBy("day").agg(F.bool_and("failed").alias("bad"))
+    return days.join(by_day, "day", "left").select("day", F.when(F.col("bad").isNull(), "open").when(F.col("bad"), "failed").otherwise("done").alias("status"))
+
+
+def import_archive(archive: DataFrame, messages: DataFrame) -> DataFrame:
+    """Message rows of the envelopes that have none yet: parsing is paid once, and a run that ends early goes on where it was."""
+    return parse_messages(archive.join(messages.select("storage_key"), "storage_key", "left_anti"))
+
+
+def rebuild(archive: DataFrame) -> dict[str, DataFrame]:
+    """All that follows from the archive alone: messages, correspondents, and threads, derived anew."""
+    mail = stage(parse_messages(archive))
+    people = mail.filter("sender_address IS NOT NULL").groupBy("sender_address").agg(F.count(F.lit(1)).alias("n"), F.min("sent_at").alias("first_at"), F.max("sent_at").alias("last_at"))
+    threads = mail.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("direction") == "outbound").alias("sent"), F.max("sent_at").alias("last_at"))
+    return {"messages": mail, "people": people, "threads": threads}
+
+
 def backfill(messages: DataFrame, parsed: DataFrame, columns: list[str]) -> DataFrame:
     """Messages with missing values of some columns filled from a new parse of the same envelope."""
     new = parsed.select("storage_key", *[F.col(c).alias(f"_{c}") for c in columns])

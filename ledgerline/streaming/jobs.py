@@ -9,28 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerline.operators.resolve import ASSIGNED, Applications
 from ledgerline.sources import envelopes as env
+from ledgerline.storage import stage
 
 
 def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
     """New envelope files into the archive, each content once: the checkpoint is the cursor, the archive the memory.
 
-    A batch that runs again finds its own rows in the archive and adds nothing.
+    A batch that runs again finds its own rows in the archive and adds nothing; what can't be read is kept by batch.
     """
     lines = spark.readStream.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("line"))
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         good, bad = env.split_envelopes(batch)
-        keyed = env.with_keys(good).withColumn("year", F.date_format("occurred_at", "yyyy"))
+        keyed = stage(env.with_keys(good).withColumn("year", F.coalesce(F.date_format("occurred_at", "yyyy"), F.lit("unknown"))))
+        years = [r["year"] for r in keyed.select("year").distinct().collect()]  # a few; they prune the archive
         try:
-            archive = session.read.parquet(f"{out}/archive")
+            archive = session.read.schema(keyed.schema).parquet(f"{out}/archive").filter(F.col("year").isin(years))
         except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e):
                 raise
             archive = None
-        env.write_once(archive, keyed).write.mode("append").partitionBy("source", "year").parquet(f"{out}/archive")
-        bad.write.mode("append").parquet(f"{out}/quarantine")
+        # equal content has an equal key, in which its year is, so the other years need not be looked at
+        env.write_once(archive, keyed).write.mode("append").partitionBy("year", "source").parquet(f"{out}/archive")
+        bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
 
     return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
 
@@ -50,11 +54,12 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete")
     """Run a stream over what is there and give its result as a table."""
     spark = stream.sparkSession
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that runs again replaces what it wrote
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def classify_loop(backlog: Callable[[], DataFrame], classify: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame], None], most: int = 100) -> int:
@@ -67,28 +72,24 @@ def classify_loop(backlog: Callable[[], DataFrame], classify: Callable[[DataFram
     return most
 
 
-_SPANS = "application string, first_at timestamp, last_at timestamp, n long"
-_STATE = "application string, first_at timestamp, last_at timestamp, n long, opened long"
+def seen_ranges(stream: DataFrame, by: str, when: str) -> DataFrame:
+    """(by, first_at, last_at, n) as mail arrives: ranges widen both ways and nothing is too late, so there is no watermark."""
+    return stream.groupBy(by).agg(F.min(when).alias("first_at"), F.max(when).alias("last_at"), F.count(F.lit(1)).alias("n"))
 
 
-def _follow(gap_days: int):
-    def follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["at", "id"])
-        name, first, last, n, opened = state.get if state.exists else (None, None, None, 0, 0)
-        for row in pdf.itertuples(index=False):
-            if last is None or row.at - pd.Timestamp(last) > pd.Timedelta(days=gap_days):
-                opened += 1
-                name, first, n = f"{key[0]}-{opened}", row.at, 0
-            last, n = max(row.at, pd.Timestamp(last)) if last is not None and n else row.at, n + 1
-        state.update((name, pd.Timestamp(first).to_pydatetime(), pd.Timestamp(last).to_pydatetime(), n, opened))
-        yield pd.DataFrame([(name, first, last, n)], columns=["application", "first_at", "last_at", "n"])
+def _follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The batch fold of a company's mentions, from where the state stands."""
+    pdf = pd.concat(list(batches), ignore_index=True)
+    fold = Applications.load(state.get[0]) if state.exists else Applications()
+    out = fold.add(pdf)
+    state.update((fold.dump(),))
+    yield out
 
-    return follow
 
+def follow_applications(stream: DataFrame) -> DataFrame:
+    """(id, company_id, application) as mentions arrive, by the fold of ``assign_applications``.
 
-def follow_applications(stream: DataFrame, gap_days: int = 45) -> DataFrame:
-    """The current application of each company as mail arrives: a silence of ``gap_days`` opens the next one.
-
-    stream: company_id, id, at (timestamp). Mail that arrives late is counted where the state stands; the batch fold corrects it.
+    stream: company_id, id, role, at, ends. Mentions of one batch are taken in order of time; one that arrives after later
+    ones were folded is assigned among the applications as they stand, and the batch job puts that right.
     """
-    return stream.groupBy("company_id").applyInPandasWithState(_follow(gap_days), _SPANS, _STATE, "update", "NoTimeout")
+    return stream.groupBy("company_id").applyInPandasWithState(_follow, ASSIGNED, "applications string", "append", "NoTimeout")

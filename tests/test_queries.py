@@ -19,7 +19,7 @@ def test_query(spark, con, name):
     if name in registry.ORACLES:
         assert_equal(df, con, registry.ORACLES[name])
     else:
-        assert df.count() >= 0
+        assert df.count() > 0  # test_folds.py holds these against brute force
 
 
 def test_entry(spark):
