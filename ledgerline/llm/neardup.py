@@ -52,6 +52,8 @@ KEY = 12
 REGION = 512
 #: Classes from the middle of a dense region that are added to each of its runs.
 LEADERS = 8
+#: Tasks that the rows of one region are spread over at least, where they are joined by region.
+SALTS = 64
 #: Classes of a block, where all candidates of a cluster are compared in pairs of blocks.
 BLOCK = 256
 
@@ -387,7 +389,9 @@ def _forest(reps: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame | N
     dense = found.filter("dense").select("region").distinct()
     if not dense.limit(1).count():
         return runs, None
-    within = stage(found.join(dense, "region", "left_semi").select("region", "run", "rep"))
+    # a dense region may hold a third of all rows, so it meets its name in SALTS places
+    named = dense.select("region", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    within = stage(found.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(named, ["region", "salt"], "left_semi").select("region", "run", "rep"))
     parts = within.select("region", "rep").distinct().join(short, "rep").select("region", "rep", "low")
     parts = parts.repartitionByRange("region", "rep").sortWithinPartitions("region", "rep").mapInPandas(_leaders, "region long, rep long, like long")
     rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("like"), "rep"))
@@ -506,7 +510,7 @@ def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return full.join(of, ["f1", "f2", "n_shingles"]).select("node", "n_shingles", "comp").unionByName(alone.select("node", "n_shingles", F.col("node").alias("comp")))
 
 
-def _one_each(docs: DataFrame, id_col: str) -> bool:
+def one_each(docs: DataFrame, id_col: str) -> bool:
     """Whether every row has an identifier and none has that of another."""
     ids = docs.select(F.col(id_col).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     return not ids.filter("n > 1 OR i IS NULL").limit(1).count()
@@ -527,7 +531,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Links join documents whose sets have 100 * intersection >= percent * union.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if _one_each(rows, "doc_id"):
+    if one_each(rows, "doc_id"):
         found = _grouped(rows.withColumnRenamed("doc_id", "node"), width, percent)
         return found.select(F.col("node").alias("doc_id"), "n_shingles", F.col("comp").alias("component_id"), (F.col("node") == F.col("comp")).alias("kept"))
     rows = stage(rows.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
@@ -542,7 +546,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group; columns as they were."""
     own = [f"`{c}`" for c in docs.columns]
-    if _one_each(docs, id_col):
+    if one_each(docs, id_col):
         gone = _grouped(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), width, percent).filter("node <> comp").select(F.col("node").alias("__gone"))
         return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__gone"), "left_anti").select(*own)
     docs = stage(docs.withColumn("__node", F.monotonically_increasing_id()))

@@ -624,3 +624,31 @@ def test_pipeline(spark):
         assert docs_out.columns == docs.columns, name
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() <= docs.count() and out.agg(F.max("copies")).first()[0] <= 3
+
+
+def test_pipeline_of_odd_tables(spark):
+    import corpus_pipeline
+
+    read = lambda n: spark.read.parquet(f"{SF}/{n}.parquet")
+    schema = read("documents").schema
+    item = next(r["text"] for r in read("benchmark").collect() if len((r["text"] or "").split()) >= 12)
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [
+        (1, "one two three four five six seven", "en", "a", 5), (1, "one two three four five six seven", "en", "a", 5), (None, "one two three four five six seven", "en", "a", 5), (2, None, None, None, None), (2, None, None, None, None),
+        (3, "", "en", "b", 0), (4, long, "en", None, None), (5, long + " end", "de", "b", 1), (6, f"before {item} after", "en", "b", 9), (7, "my token=abcdef123456 is -----BEGIN PRIVATE KEY-----\nMIIEAAAA\n-----END PRIVATE KEY----- here", "en", "b", 9),
+        (None, "quite another text without a name", "en", "a", 3), (None, "and a third one that has none", "en", "a", 3),
+    ]
+    docs = spark.createDataFrame(rows, schema).withColumn("copies", F.lit("own")).withColumn("score", F.lit("own"))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        after = step(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        assert step(spark, docs.limit(0), SF).count() == 0, name
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    got = {(r["doc_id"], (r["text"] or "")[:20]) for r in docs.collect()}
+    assert {i for i, _ in got} == {1, 2, 3, 4, 7, None} and len(got) == docs.count() == 7
+    (secret,) = [r for r in docs.collect() if r["doc_id"] == 7]
+    assert secret["text"] == "my [secret] is [secret] here" and secret["n_chars"] == len(secret["text"]) and secret["copies"] == "own"
+    last = corpus_pipeline.STAGES[-1][1]
+    mixed = last(spark, docs, SF)
+    assert set(mixed.columns) == set(docs.columns) and mixed.count() <= docs.count() and last(spark, docs.limit(0), SF).count() == 0
+    assert all(1 <= r["copies"] <= 3 for r in mixed.collect())
