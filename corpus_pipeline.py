@@ -4,6 +4,12 @@ Toxic documents go; of each group of near-duplicates one document stays; documen
 go; secrets are blanked out; the rest is mixed to the weights of its sources. All stages but the last return
 the columns of documents; the last adds copies, the times that a document is taken, and leaves out documents
 that are not taken at all. It has no SQL: a trained score and random rounding decide.
+
+Defined results: a null text is clean, links with nothing, holds no secret and no benchmark passage, and has size
+0, so the mix takes it 0 to 3 times without a word; a null identifier is a document of its own, compared and mixed
+like others; of rows that repeat an identifier one stays; a null source is a source of its own; an empty table gives
+an empty result; other columns go through unchanged, but for n_chars, which follows the text, and a column named
+copies, which the mix replaces.
 """
 
 from __future__ import annotations
@@ -40,9 +46,14 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without an identifier get a number, so that each has its own copies."""
     small_batches(spark)
-    copies = mixing.mix_sources(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("copies"))
-    return docs.drop("copies").join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    key = "doc_id"
+    if not neardup.one_each(docs, key):
+        key = "__row"
+        docs = stage(docs.withColumn(key, F.monotonically_increasing_id()))
+    copies = mixing.mix_sources(docs, id_col=key).filter("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
+    return docs.drop("copies").join(copies.hint("shuffle_hash"), F.col(key) == F.col("__id")).drop("__id", "__row")
 
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", blank_secrets), ("mixing", mix)]
