@@ -193,13 +193,18 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALUES8 = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.TEMPLATES.items())
-_SHINGLES8 = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))"
+_RUNS8 = "list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))"
 _WORDS8 = r"regexp_extract_all(lower(coalesce({0}, '')), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+#: Shingles of each stretch of a document: a stretch starts at a block and is as long as its template asks for.
 SQL8 = f"""
-WITH t AS (SELECT license, {_SHINGLES8} AS s FROM (SELECT license, {_WORDS8.format('text')} AS w FROM (VALUES {_VALUES8}) v(license, text))),
-ts AS (SELECT license, len(s) AS n, unnest(s) AS x FROM t),
-d AS (SELECT r, doc_id, unnest({_SHINGLES8}) AS x FROM (SELECT row_number() OVER () AS r, doc_id, {_WORDS8.format('text')} AS w FROM documents))
-SELECT doc_id, license, count(*) AS n_found, n AS n_shingles FROM d JOIN ts USING (x) GROUP BY r, doc_id, license, n HAVING count(*) >= 0.8 * n
+WITH t AS (SELECT license, {_RUNS8} AS s FROM (SELECT license, {_WORDS8.format('text')} AS w FROM (VALUES {_VALUES8}) v(license, text))),
+ts AS (SELECT license, len(list_distinct(s)) AS n, CAST(ceil(1.25 * len(s) / {licenses.BLOCK}) AS BIGINT) + 1 AS blocks, unnest(list_distinct(s)) AS x FROM t),
+d AS (SELECT r, doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM (SELECT r, doc_id, {_RUNS8} AS s FROM (SELECT row_number() OVER () AS r, doc_id, {_WORDS8.format('text')} AS w FROM documents))),
+m AS (SELECT r, doc_id, license, n, blocks, x, (i - 1) // {licenses.BLOCK} AS b FROM d JOIN ts USING (x)),
+st AS (SELECT r, doc_id, license, n, x, unnest(range(greatest(b - blocks + 1, 0), b + 1)) AS start FROM m),
+c AS (SELECT r, doc_id, license, n, start, count(DISTINCT x) AS found FROM st GROUP BY ALL)
+SELECT doc_id, license, max(found) AS n_found, n AS n_shingles FROM c GROUP BY r, doc_id, license, n HAVING max(found) >= 0.8 * n
 """
 
 
