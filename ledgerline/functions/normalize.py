@@ -13,6 +13,12 @@ GENERIC_DOMAINS = (
     "acaciarecruits.com", "selbyjennings.com", "topfunneltalent.com", "brisktalent.com", "intelletec.com", "emaago.com",
 )
 
+# Domains of mail, calendars, meetings and signatures, which rules made from summaries never touch.
+NEVER_RULED = (
+    "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "icloud.com", "me.com", "aol.com", "proton.me",
+    "protonmail.com", "linkedin.com", "calendly.com", "cal.com", "zoom.us", "google.com", "docusign.net", "docusign.com",
+)
+
 # Legal suffixes of company names (after splitting on anything but letters and digits), and seniority words.
 SUFFIXES = ("inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "bv", "ag", "sa", "plc", "pty", "holdings", "group", "technologies", "technology", "labs", "software")
 TITLE_STOPWORDS = ("senior", "sr", "staff", "principal", "lead", "junior", "jr", "i", "ii", "iii", "iv", "the", "a", "an", "of", "and", "for", "at")
@@ -36,6 +42,7 @@ WELCOME = r"(?i)\bwelcome\s+to\b"
 ONBOARDING = r"(?i)\b(welcome\s+(?:to|aboard)|onboarding|new\s+hire|first\s+day|start\s+date|i-?9\b|w-?4\b|payroll|benefits\s+enrol|offer\s+letter|equity\s+grant|badge|laptop\s+setup)\b"
 AMBIGUOUS = r"(?i)\b(h-?1b|lca\s+posting|labor\s+condition|visa\s+(?:transfer|petition)|immigration|support\s+letter|background\s+check)\b"
 CORROBORATION = r"(?i)\b(filed|approved|receipt\s+notice|uscis|petition|congratulations|congrats|signed|countersigned|accepted|next\s+steps|employee)\b"
+OUTCOME_SUBJECT = r"(?i)\b(offer|welcome\s+to|congratulat|onboard|new\s+hire|start\s+date|background\s+check|i-9|w-4|payroll|equity|compensation|unfortunat|not\s+moving\s+forward|regret|declin|withdraw|h-?1b|lca|visa|immigration)\b"
 NOT_ONBOARDING = r"(?i)\b(newsletter|subscri|community|webinar|waitlist)\b"
 
 # Words without content, for shared words of a query and a message.
@@ -190,6 +197,21 @@ def unique_addresses(addresses: Column, drop: Column) -> Column:
     return F.filter(addresses, lambda a, i: (F.array_position(low, F.lower(a)) == i + 1) & ~F.array_contains(drop, F.lower(a)))
 
 
+def reply_recipients(reply_to: Column, sender: Column, to: Column, cc: Column, own: list[str]) -> Column:
+    """Struct of to and cc of an answer to all; an answer to the sender alone takes only to.
+
+    What the mail asks to reply to comes before its sender; mail of one's own is followed up to those it went to.
+    All are lists of addresses; a null one is empty.
+    """
+    none = F.array().cast("array<string>")
+    mine = F.array(*[F.lit(a.lower()) for a in own]) if own else none
+    some = lambda c: F.coalesce(c, none)
+    back = unique_addresses(F.when(F.size(some(reply_to)) > 0, reply_to).otherwise(some(sender)), none)
+    to_whom = F.when(F.forall(back, lambda a: F.array_contains(mine, F.lower(a))), unique_addresses(some(to), mine)).otherwise(back)
+    rest = unique_addresses(F.concat(some(to), some(cc)), F.concat(mine, F.transform(to_whom, lambda a: F.lower(a))))
+    return F.struct(to_whom.alias("to"), rest.alias("cc"))
+
+
 def welcome_names(subject: Column, company: Column) -> Column:
     """A welcome counts only if it names the employer; other subjects pass."""
     words = F.filter(F.transform(F.split(company, r"\s+"), lambda w: F.lower(w)), lambda w: (F.length(w) > 2) & ~w.isin("inc", "llc", "ltd", "the", "and"))

@@ -18,6 +18,22 @@ def render_chain(rows: DataFrame, key: str = "application_id", position: str = "
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), line.alias("l")))), lambda x: x["l"]), "\n").alias("chain"))
 
 
+def chain_digest(rows: DataFrame, key: str = "application_id", tail: int = 4, cut: int = 160, snippet: int = 300) -> DataFrame:
+    """(key, digest): a numbered, dated line a message, with the start of the body under the last few and under outcome-like subjects.
+
+    rows: the key, idx (order), sent_at, direction, sender, subject, body. Lines and starts of bodies alone are gathered, no bodies.
+    """
+    said = lambda c, instead: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(instead))
+    subject = F.replace(said(F.col("subject"), "(no subject)"), F.lit("\n"), F.lit(" "))
+    body = F.substring(F.trim(F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+", " ")), 1, snippet)
+    line = F.concat(F.coalesce(F.date_format("sent_at", "yyyy-MM-dd"), F.lit("unknown-date")), F.when(F.col("direction") == "outbound", " -> ").otherwise(" <- "), said(F.col("sender"), "?"), F.lit(": "), F.substring(subject, 1, cut))
+    one = F.struct(F.col("idx").alias("p"), line.alias("line"), F.when(body != "", body).alias("body"), F.regexp_like(subject, F.lit(nz.OUTCOME_SUBJECT)).alias("outcome"))
+    chains = rows.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("c"))
+    shown = lambda m, i: m["body"].isNotNull() & (m["outcome"] | (i >= F.size("c") - tail))
+    text = lambda m, i: F.concat((i + 1).cast("string"), F.lit(". "), m["line"], F.when(shown(m, i), F.concat(F.lit("\n     | "), m["body"])).otherwise(""))
+    return chains.select(key, F.array_join(F.transform("c", text), "\n").alias("digest"))
+
+
 def company_timelines(rec) -> DataFrame:
     """(company_id, applications, messages, unlinked, claims, first_at, last_at, years): all companies at once."""
     mail = rec.message.groupBy("company_id").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("application_id").isNull()).alias("unlinked"), F.min("sent_at").alias("first_at"), F.max("sent_at").alias("last_at"))

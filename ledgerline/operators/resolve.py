@@ -200,6 +200,19 @@ def people(messages: DataFrame, self_address: str = "") -> DataFrame:
     return grouped.select("company_id", "address", nz.automated(F.col("address")).alias("automated"), "n", "first_at", "last_at")
 
 
+def people_of_companies(mail: DataFrame, events: DataFrame, own_address: str = "") -> DataFrame:
+    """(company_id, address, automated, n, first_at, last_at, stages, companies): who writes for each company, what their mail evidences, and for how many companies they write.
+
+    mail: id, company_id, address, sent_at; events: evidence_message_id, stage.
+    """
+    rows = mail.filter(F.col("company_id").isNotNull() & (F.lower("address") != own_address.lower())).withColumn("address", F.lower("address"))
+    counted = people(rows, own_address)
+    staged = rows.join(events.select(F.col("evidence_message_id").alias("id"), "stage"), "id").groupBy("company_id", "address").agg(F.array_sort(F.collect_set("stage")).alias("stages"))
+    firms = counted.groupBy("address").agg(F.count(F.lit(1)).alias("companies"))
+    out = counted.join(staged, ["company_id", "address"], "left").join(firms, "address")
+    return out.select(*counted.columns, F.coalesce("stages", F.array().cast("array<string>")).alias("stages"), "companies")
+
+
 def derivation_chain(messages: DataFrame) -> DataFrame:
     """(application_id, id): an application's own mail, and its company's unattached mail where exactly one application of the company has more than one message."""
     own = messages.filter("application_id IS NOT NULL").select("application_id", "id", "company_id")

@@ -145,3 +145,29 @@ def distillation_candidates(messages: DataFrame, rules: DataFrame, own_domain: s
     )
     ruled = rules.filter("match_type = 'domain'").select(F.lower("value").alias("sender_domain"))
     return judged.filter((F.col("sender_domain") != own_domain) & ~nz.generic(F.col("sender_domain"))).join(ruled, "sender_domain", "left_anti")
+
+
+def domain_dossiers(messages: DataFrame, readings: DataFrame, queued: DataFrame, rules: DataFrame, own_domain: str = "", most: int = 400) -> DataFrame:
+    """What is known of each domain that was ever judged and that no domain rule covers, for distilling a rule.
+
+    (domain, messages, linked, bulk, senders, negative, positive, unclassified, relationships, kinds, reasoning). Judged is mail that a
+    model or an audit classified, that was queued, or whose thread was read; a reading speaks for its whole thread.
+    messages: id, thread_id, sender_domain, sender_address, company_id, is_bulk, classified_by; readings: thread_id, label,
+    relationship, company_kind, reasoning; queued: message_id.
+    """
+    mail = messages.filter("sender_domain <> ''").withColumn("domain", F.lower("sender_domain")).filter(~F.col("domain").isin(*nz.NEVER_RULED) & (F.col("domain") != own_domain.lower()))
+    mail = mail.join(rules.filter("match_type = 'domain'").select(F.lower("value").alias("domain")), "domain", "left_anti")
+    asked = queued.select(F.col("message_id").alias("id")).distinct().withColumn("_q", F.lit(True))
+    read = readings.select("thread_id").distinct().withColumn("_r", F.lit(True))
+    by_model = F.coalesce(F.col("classified_by").like("model%") | F.col("classified_by").like("audit:%"), F.lit(False))
+    judged = mail.join(asked, "id", "left").join(read, "thread_id", "left").filter(by_model | F.col("_q").isNotNull() | F.col("_r").isNotNull())
+    counted = judged.groupBy("domain").agg(F.count(F.lit(1)).alias("messages"), F.count("company_id").alias("linked"), F.count_if("is_bulk").alias("bulk"), F.count_distinct("sender_address").alias("senders"))
+    told = readings.join(mail.select("thread_id", "domain").distinct(), "thread_id")
+    threads = lambda label: F.count_distinct(F.when(F.col("label") == label, F.col("thread_id"))).alias(label)
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
+    labels = told.groupBy("domain").agg(*[threads(x) for x in ("negative", "positive", "unclassified")])
+    # relationships and kinds are small vocabularies; of reasons only as many as the text can hold are gathered
+    kinds = told.groupBy("domain").agg(listed("relationship").alias("relationships"), listed("company_kind").alias("kinds"))
+    reasons = told.filter("reasoning <> ''").select("domain", "reasoning").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("domain").orderBy("reasoning"))).filter(F.col("_k") <= most // 4 + 1)
+    reasons = reasons.groupBy("domain").agg(F.substring(F.array_join(F.array_sort(F.collect_list(F.substring("reasoning", 1, most))), " | "), 1, most).alias("reasoning"))
+    return counted.join(labels, "domain", "left").join(kinds, "domain", "left").join(reasons, "domain", "left").fillna(0, ["negative", "positive", "unclassified"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize as nz
 from ledgerline.operators import classify, lists, mutate, quality, search
+from ledgerline.operators import reports as rp
 from ledgerline.operators import resolve as rs
 from ledgerline.operators import rules as ru
 from ledgerline.operators import upkeep as up
@@ -146,7 +147,39 @@ add(
 SELECT identifier, count(*) AS companies, sum(n) AS messages, min(f) AS first_at, max(l) AS last_at, arg_max(company_id, n * 1000000 - company_id) AS busiest FROM e GROUP BY 1""",
 )
 add("automated_senders", lambda r: r.correspondence.select("id", nz.automated(F.expr("CASE WHEN bulk THEN concat('<No-Reply-', CAST(length(a2) AS STRING), '@x.example>') WHEN label IS NOT NULL THEN 'notifications@x.example' ELSE a2 END")).alias("automated")), "SELECT id, CASE WHEN bulk OR label IS NOT NULL THEN 'no-reply' END AS automated FROM correspondence")
+_SENT = lambda r: r.message.join(r.correspondence.select("id", F.col("a2").alias("address")), "id").select("id", "company_id", "address", "sent_at")
+add(
+    "people_of_companies", lambda r: rs.people_of_companies(_SENT(r), r.stage_event.filter("stage <> 'onsite'"), "P0@s0.example").withColumn("stages", F.array_join("stages", ",")),
+    """, f AS (SELECT id, company_id, a2 AS address, sent_at FROM message JOIN correspondence USING (id) WHERE a2 <> 'p0@s0.example'),
+n AS (SELECT company_id, address, count(*) AS n, min(sent_at) AS first_at, max(sent_at) AS last_at FROM f GROUP BY 1, 2),
+st AS (SELECT company_id, address, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages FROM f JOIN stage_event e ON e.evidence_message_id = f.id WHERE stage <> 'onsite' GROUP BY 1, 2)
+SELECT n.*, CAST(NULL AS VARCHAR) AS automated, coalesce(stages, '') AS stages, count(*) OVER (PARTITION BY address) AS companies FROM n LEFT JOIN st USING (company_id, address)""",
+)
+_TO = lambda r: r.subject.join(r.correspondence.select("id", "a1", "a2"), "id").select("id", nz.reply_recipients(F.expr("CASE WHEN idx % 3 = 0 THEN array('Desk@acme.example', 'desk@acme.example') END"), F.expr("array(CASE direction WHEN 'outbound' THEN 'Me@own.example' ELSE sender END)"), F.expr("array(a1, a2, 'ME@own.example')"), F.expr("array(upper(a2), 'boss@acme.example', lower(a1))"), ["me@OWN.example"]).alias("r"))
+add(
+    "reply_recipients", lambda r: _TO(r).select("id", F.array_join("r.to", ",").alias("to"), F.array_join("r.cc", ",").alias("cc")),
+    """SELECT id, CASE WHEN idx % 3 = 0 THEN 'Desk@acme.example' WHEN s.direction = 'outbound' THEN a1 || ',' || a2 ELSE sender END AS "to",
+  CASE WHEN idx % 3 > 0 AND s.direction = 'outbound' THEN '' ELSE a1 || ',' || a2 || ',' END || 'boss@acme.example' AS cc FROM subject s JOIN correspondence USING (id)""",
+)
+_BODIES = lambda r: r.subject.join(r.message.select("id", "sent_at"), "id").withColumn("body", F.expr("CASE WHEN idx % 3 > 0 THEN concat('We  write about ', subject, '\n in full') END"))
+add(
+    "chain_digest", lambda r: rp.chain_digest(_BODIES(r)),
+    """, l AS (SELECT s.*, m.sent_at, count(*) OVER (PARTITION BY s.application_id) - idx < 4 OR regexp_matches(lower(subject), 'welcome to|offer letter|h-1b|immigration|background check|payroll') AS shown FROM subject s JOIN message m USING (id))
+SELECT application_id, string_agg(concat(idx, '. ', strftime(sent_at, '%Y-%m-%d'), CASE WHEN direction = 'outbound' THEN ' -> ' ELSE ' <- ' END, sender, ': ', subject, CASE WHEN shown AND idx % 3 > 0 THEN concat(chr(10), '     | We write about ', subject, ' in full') ELSE '' END), chr(10) ORDER BY idx) AS digest FROM l GROUP BY 1""",
+)
 # readings and queues
+_JUDGED = lambda r: r.message.join(r.correspondence.select("id", F.col("bulk").alias("is_bulk"), F.col("a2").alias("sender_address")), "id")
+_TOLD = lambda r: r.application.filter("id % 4 < 2").select(F.concat(F.lit("t"), "id").alias("thread_id"), F.expr("CASE id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' ELSE 'unclassified' END").alias("label"), F.expr("CASE WHEN id % 5 > 0 THEN concat('rel', CAST(id % 5 AS STRING)) END").alias("relationship"), F.expr("concat('kind', CAST(id % 4 AS STRING))").alias("company_kind"), F.expr("concat('since ', CAST(id % 37 AS STRING))").alias("reasoning"))
+add(
+    "domain_dossiers", lambda r: ru.domain_dossiers(_JUDGED(r), _TOLD(r), r.review_queue.filter("status = 'pending'"), r.sender_rule, "s3.example"),
+    """, j AS (SELECT sender_domain AS domain, m.*, bulk, a2 FROM message m JOIN correspondence USING (id) WHERE sender_domain <> 's3.example' AND sender_domain NOT IN (SELECT value FROM sender_rule WHERE match_type = 'domain')),
+k AS (SELECT concat('t', id) AS thread_id, id % 3 AS label, CASE WHEN id % 5 > 0 THEN concat('rel', id % 5) END AS relationship, concat('kind', id % 4) AS kind, concat('since ', id % 37) AS reasoning FROM application WHERE id % 4 < 2),
+c AS (SELECT domain, count(*) AS messages, count(company_id) AS linked, count(*) FILTER (bulk) AS bulk, count(DISTINCT a2) AS senders FROM j
+  WHERE classified_by = 'model-x' OR id IN (SELECT message_id FROM review_queue WHERE status = 'pending') OR thread_id IN (SELECT thread_id FROM k) GROUP BY 1),
+t AS (SELECT domain, count(DISTINCT thread_id) FILTER (label = 0) AS negative, count(DISTINCT thread_id) FILTER (label = 1) AS positive, count(DISTINCT thread_id) FILTER (label = 2) AS unclassified,
+  coalesce(string_agg(DISTINCT relationship, ', ' ORDER BY relationship), '') AS relationships, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS kinds, left(string_agg(DISTINCT reasoning, ' | ' ORDER BY reasoning), 400) AS reasoning FROM k JOIN j USING (thread_id) GROUP BY 1)
+SELECT c.*, coalesce(negative, 0) AS negative, coalesce(positive, 0) AS positive, coalesce(unclassified, 0) AS unclassified, relationships, kinds, reasoning FROM c LEFT JOIN t USING (domain)""",
+)
 _READ = lambda r: r.application.filter("id % 2 = 0").select(F.concat(F.lit("t"), "id").alias("thread_id"), F.expr("CASE id % 3 WHEN 0 THEN 'positive' ELSE 'negative' END").alias("label"))
 add(
     "thread_readings", lambda r: up.thread_readings(_READ(r), r.message).select("thread_id", "label", "id", "direction", "of_label"),
