@@ -163,3 +163,20 @@ QUERIES["stream_ingest"] = stream_ingest
 ORACLES["stream_ingest"] = ORACLES["write_once"]
 QUERIES["reply_subjects"] = lambda spark, sf_dir: record(spark, sf_dir).subject.select("id", nz.reply_subject(F.col("subject")).alias("reply"), nz.references_chain(F.when(F.col("idx") % 2 == 0, F.lit("<a> <b>")), F.lit("<c>"), F.col("id")).alias("chain"))
 ORACLES["reply_subjects"] = over_record("SELECT id, CASE WHEN lower(subject) LIKE 're:%' THEN subject ELSE 'Re: ' || subject END AS reply, CASE WHEN idx % 2 = 0 THEN '<a> <b> ' ELSE '<c> ' END || id AS chain FROM subject")
+
+
+def envelope_extras(spark, sf_dir):
+    """Threading headers, folded ones too, and kept headers, long ones cut."""
+    more = "Reply-To: R <r@x.example>\r\nIn-Reply-To: <p>\r\nReferences: <a>\r\n <b>\r\nX-Mailer: " + "m" * 600 + "\r\nX-Other: no\r\n"
+    mail = _mail(spark, sf_dir).withColumn("payload", F.concat(F.encode(F.lit(more), "utf-8"), "payload"))
+    rows = env.parse_messages(env.write_once(None, env.with_keys(mail)))
+    kept = F.from_json("raw_headers", "map<string,string>")
+    return rows.select(
+        "message_id_header", "reply_to", "in_reply_to", F.array_join("references_ids", ",").alias("refs"), F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept"),
+        F.length(kept["X-Mailer"]).alias("mailer"), kept["List-Unsubscribe"].alias("unsubscribe"),
+    )
+
+
+QUERIES["envelope_extras"] = envelope_extras
+ORACLES["envelope_extras"] = """SELECT concat('<', conv_id, '.', turn, '@mail.example>') AS message_id_header, 'R <r@x.example>' AS reply_to, '<p>' AS in_reply_to, '<a>,<b>' AS refs,
+  CASE WHEN turn % 4 = 0 THEN 'List-Unsubscribe,X-Mailer' ELSE 'X-Mailer' END AS kept, 500 AS mailer, CASE WHEN turn % 4 = 0 THEN '<x>' END AS unsubscribe FROM conversations"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,7 +72,11 @@ def days_to_run(spark: SparkSession, since: str, until: str, runs: DataFrame) ->
     return days.join(runs.filter("NOT failed").select("day"), "day", "left_anti")
 
 
-PARSED = "storage_key string, account string, fetched_at timestamp, date string, subject string, message_id string, in_reply_to string, references string, reply_to string, senders array<string>, tos array<string>, ccs array<string>, bulk boolean, plain string, html string, broken boolean"
+PARSED = "storage_key string, account string, fetched_at timestamp, date string, subject string, message_id string, in_reply_to string, references string, reply_to string, senders array<string>, tos array<string>, ccs array<string>, bulk boolean, plain string, html string, headers string, broken boolean"
+
+# Headers that are kept with a message, up to 500 characters of each.
+KEPT_HEADERS = ("Return-Path", "Delivered-To", "Authentication-Results", "Received-SPF", "List-Unsubscribe", "Precedence", "X-Mailer", "X-SG-EID", "X-Entity-ID", "X-Mailgun-Sid", "X-SES-Outgoing")
+HEADER_CUT = 500
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,16 +107,18 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 content = part.get_content() if part is not None else None
                 bodies[kind] = content if isinstance(content, str) else None
             bulk = message.get("List-Unsubscribe") is not None or str(message.get("Precedence", "")).strip().lower() in ("bulk", "list")
-            return (date, text(message, "Subject"), text(message, "Message-ID"), text(message, "In-Reply-To"), text(message, "References"), text(message, "Reply-To"), addresses(message, "From"), addresses(message, "To"), addresses(message, "Cc"), bulk, bodies["plain"], bodies["html"], False)
+            held = {name: str(message[name]).strip() for name in KEPT_HEADERS if message[name] is not None}
+            headers = json.dumps({name: value[:HEADER_CUT] for name, value in held.items() if value})
+            return (date, text(message, "Subject"), text(message, "Message-ID"), text(message, "In-Reply-To"), text(message, "References"), text(message, "Reply-To"), addresses(message, "From"), addresses(message, "To"), addresses(message, "Cc"), bulk, bodies["plain"], bodies["html"], None if headers == "{}" else headers, False)
         except Exception:  # noqa: BLE001  an archive holds mail of every broken client
-            return (*[None] * 6, [], [], [], False, None, None, True)
+            return (*[None] * 6, [], [], [], False, None, None, None, True)
 
     for pdf in batches:
         yield pd.DataFrame([(k, a, f, *one(p)) for k, a, f, p in zip(pdf["storage_key"], pdf["account"], pdf["fetched_at"], pdf["payload"], strict=True)], columns=names)
 
 
 def parse_messages(envelopes: DataFrame) -> DataFrame:
-    """Message rows: times, direction, addresses, threading headers, bulk flag and body text. One Python pass reads MIME; the rest are expressions."""
+    """Message rows: times, direction, addresses, threading headers, kept headers (a JSON object), bulk flag and body text. One Python pass reads MIME; the rest are expressions."""
     rows = envelopes.select("storage_key", "account", "fetched_at", "payload").mapInPandas(_parse, PARSED)
     lower = lambda c: F.transform(c, lambda a: F.lower(a))
     others = F.array_distinct(F.filter(lower(F.concat("tos", "ccs")), lambda a: a != F.lower("account")))
@@ -120,7 +127,7 @@ def parse_messages(envelopes: DataFrame) -> DataFrame:
         "storage_key", "account", F.coalesce(F.try_to_timestamp("date"), F.col("fetched_at")).alias("sent_at"), nz.direction(F.col("senders"), F.col("account")).alias("direction"),
         "subject", F.col("message_id").alias("message_id_header"), "in_reply_to", F.filter(F.split(F.coalesce("references", F.lit("")), r"\s+"), lambda x: x != "").alias("references_ids"),
         sender.alias("sender_address"), F.nullif(nz.domain_of(sender), F.lit("")).alias("sender_domain"), others.alias("recipient_addresses"), lower(F.col("ccs")).alias("cc_addresses"),
-        "reply_to", F.col("bulk").alias("is_bulk"), nz.body_text(F.col("plain"), F.col("html")).alias("body_text"), F.col("broken").alias("is_broken"),
+        "reply_to", F.col("bulk").alias("is_bulk"), F.col("headers").alias("raw_headers"), nz.body_text(F.col("plain"), F.col("html")).alias("body_text"), F.col("broken").alias("is_broken"),
     )
 
 
