@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize as nz
 from ledgerline.schemas import STAGES
 
-from .stages import forward_order
+from .stages import accepted_index, forward_order
 
 LABELS = ("positive", "negative", "ambiguous", "unclassified")
 READING = "label string, company_name string, company_domain string, company_kind string, role_title string, stage string, contact_name string, contact_email string, occurred_at string"
@@ -104,6 +107,50 @@ def derivation_gates(claims: DataFrame, chain: DataFrame, company: str) -> DataF
     return forward_order(rows.select("id", "application_id", "stage", "occurred_at"))
 
 
+def onboarding_claims(claims: DataFrame, chain: DataFrame, company: str) -> DataFrame:
+    """Claims with the acceptance that onboarding mail proves, where an application claims none; in forward order.
+
+    What is added is named after its message, ``hire-`` before it, and comes after claims of the same time.
+    claims: id, application_id, stage, occurred_at; chain: application_id, idx, id, subject, occurred_at.
+    """
+    proof = chain.join(accepted_index(chain), ["application_id", "idx"]).filter(nz.welcome_names(F.col("subject"), F.lit(company)))
+    added = proof.join(claims.filter("stage = 'accepted'").select("application_id"), "application_id", "left_anti")
+    return forward_order(claims.select("id", "application_id", "stage", "occurred_at").unionByName(added.select(F.concat(F.lit("hire-"), "id").alias("id"), "application_id", F.lit("accepted").alias("stage"), "occurred_at")))
+
+
+def audit_applications(applications: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(id, action, target) for companies of more than one application: merge into another one of the same company, or delete.
+
+    applications: id, company_id; verdicts: id, verdict (merge, delete or keep), target. Merges into what is itself merged
+    or deleted are left out, so a plan can be applied in any order.
+    """
+    many = applications.groupBy("company_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = applications.join(many, "company_id").select("id", "company_id").join(verdicts.filter("verdict IN ('merge', 'delete')").select("id", "verdict", "target"), "id")
+    stays = applications.join(rows.select("id"), "id", "left_anti").select(F.col("id").alias("target"), F.col("company_id").alias("_c"))
+    merged = rows.filter("verdict = 'merge'").join(stays, "target").filter(F.col("company_id") == F.col("_c")).select("id", F.lit("merge").alias("action"), "target")
+    return merged.unionByName(rows.filter("verdict = 'delete'").select("id", F.lit("delete").alias("action"), F.lit(None).cast(applications.schema["id"].dataType).alias("target")))
+
+
+def audit_companies(companies: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(id, action, target, name): junk and newsletters are deleted, persons and misnamed ones renamed, duplicates merged.
+
+    companies: id, canonical_name; verdicts: id, verdict, target, name. A rename needs a new name, a merge a company that stays.
+    """
+    rows = companies.select("id", "canonical_name").join(verdicts.select("id", "verdict", "target", "name"), "id")
+    named = F.trim(F.coalesce("name", F.lit(""))) != ""
+    action = F.when(F.col("verdict").isin("junk", "newsletter"), "delete").when(F.col("verdict").isin("person", "misnamed") & named & (F.trim("name") != F.coalesce("canonical_name", F.lit(""))), "rename").when(F.col("verdict") == "duplicate", "merge")
+    plan = rows.withColumn("action", action).filter("action IS NOT NULL")
+    gone = plan.filter("action <> 'rename'").select("id")
+    stays = companies.select(F.col("id").alias("target")).join(gone.select(F.col("id").alias("target")), "target", "left_anti")
+    fine = plan.filter("action <> 'merge'").unionByName(plan.filter("action = 'merge'").join(stays, "target", "left_semi"))
+    return fine.select("id", "action", F.when(F.col("action") == "merge", F.col("target")).alias("target"), F.when(F.col("action") == "rename", F.trim("name")).alias("name"))
+
+
+def read(messages: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Readings that a user's function gives of batches of messages, for ``coerce`` and ``route``; it is called in the tasks."""
+    return messages.mapInPandas(lambda batches: (fn(pdf) for pdf in batches), schema)
+
+
 def audit_plan(messages: DataFrame, cheap: DataFrame, strong: DataFrame, evidence: DataFrame) -> DataFrame:
     """(id, action, target): unlink where both tiers say so; relink where they agree on a target that evidence confirms.
 

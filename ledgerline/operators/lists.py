@@ -60,9 +60,12 @@ def page(rows: DataFrame, sort: str = "recency", limit: int | None = None, offse
     return rows if limit is None else rows.limit(limit)
 
 
-def messages(rec, strict_sql: bool = False, direction: str | None = None, tag: str | None = None, evidence: bool | None = None, hide_negative: bool = False, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+def messages(rec, strict_sql: bool = False, direction: str | None = None, tag: str | None = None, evidence: bool | None = None, hide_negative: bool = False, since: datetime | None = None, until: datetime | None = None, company: int | None = None, application: int | None = None, recorded: bool | None = None, within: tuple[DataFrame, ...] = ()) -> DataFrame:
     """The message list with company, tag and the stages that each message is evidence of.
 
+    within: tables of ids that messages must be in: the mail of a contact, hits of a search, mail that secondary links
+    add to a company. recorded: whether a message has a company.
+
     strict_sql drops, with hide_negative, messages without company and class, as three-valued logic would.
     """
     stages = current_events(rec).filter("evidence_message_id IS NOT NULL").groupBy(F.col("evidence_message_id").alias("id")).agg(F.sort_array(F.collect_set("stage")).alias("stages"))
@@ -75,6 +78,14 @@ def messages(rec, strict_sql: bool = False, direction: str | None = None, tag: s
         rows = rows.filter(F.col("sent_at") >= F.lit(since))
     if until is not None:
         rows = rows.filter(F.col("sent_at") <= F.lit(until))
+    if company is not None:
+        rows = rows.filter(F.col("company_id") == company)
+    if application is not None:
+        rows = rows.filter(F.col("application_id") == application)
+    if recorded is not None:
+        rows = rows.filter(F.col("company_id").isNotNull() == recorded)
+    for ids in within:
+        rows = rows.join(ids.select("id"), "id", "left_semi")
     if hide_negative:
         rows = rows.filter(~negative(rows))
         if strict_sql:

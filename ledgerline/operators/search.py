@@ -6,7 +6,9 @@ import re
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,24 +70,62 @@ def full_text(index: DataFrame, query: str) -> DataFrame:
     return at.select("id", "rank")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+#: Queries and vectors of a block: their products take 64 MB.
+ASKED, SEARCHED = 512, 16_384
 
 
-def semantic(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", where: Column | None = None) -> DataFrame:
-    """(id, similarity): the k vectors nearest to one query by cosine, over all vectors or those that a condition keeps."""
-    rows = vectors if where is None else vectors.filter(where)
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    return rows.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), cosine(F.col(vector_col), asked).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+def _nearest(k: int, own: bool):
+    """The k nearest vectors of one block for each query of another."""
 
+    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        names = ["query", "id", "similarity"]
+        if asked.empty or held.empty:
+            return pd.DataFrame(columns=names)
+        q, v, ids = np.stack(asked["vector"].to_numpy()), np.stack(held["vector"].to_numpy()), held["id"].to_numpy()
+        near = np.round(q @ v.T / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)), 12)
+        out = []
+        for query, row in zip(asked["id"].to_numpy(), near, strict=True):
+            if not own:
+                row = np.where(ids == query, -np.inf, row)
+            least = np.partition(row, -k)[-k] if k < len(row) else -np.inf
+            at = np.flatnonzero((row >= least) & (row > -np.inf))
+            at = at[np.lexsort((ids[at], -row[at]))][:k]
+            out.append(pd.DataFrame({"query": query, "id": ids[at], "similarity": row[at]}, columns=names))
+        return pd.concat(out)
 
-def neighbours(vectors: DataFrame, seed, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest of one row; none if it has no vector."""
-    row = vectors.filter(F.col(id_col) == seed).filter(F.col(vector_col).isNotNull()).select(vector_col).first()
-    if row is None:
-        return vectors.select(F.col(id_col).alias("id"), F.lit(0.0).alias("similarity")).limit(0)
-    return semantic(vectors, row[0], k, id_col, vector_col, F.col(id_col) != seed)
+    return search
+
+
+def semantic(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", where: Column | None = None, own: bool = True) -> DataFrame:
+    """(query, rank, id, similarity): the k vectors nearest to each query by cosine, over all vectors or those that a condition keeps.
+
+    Blocks of queries meet blocks of vectors of their length, each pair of blocks in one task, and the k best of each
+    are merged. Cosines that are equal to twelve places tie, and the smaller identifier comes first. Vectors that are
+    null, zero or hold nulls or values that aren't finite take no part; without ``own`` a query doesn't find itself.
+    Identifiers are those of rows.
+    """
+    doubles = F.col(vector_col).cast("array<double>")
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)  # null or not a number if a component is
+
+    def usable(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(id_col).alias("id"), doubles.alias("vector"))
+        return rows.filter(F.col("id").isNotNull() & (norm > 0) & (norm < float("inf"))).withColumn("length", F.size("vector"))
+
+    asked, held = usable(queries), usable(vectors if where is None else vectors.filter(where))
+    q, v = max(1, -(-asked.count() // ASKED)), max(1, -(-held.count() // SEARCHED))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    asked = asked.withColumn("q", block(q)).withColumn("v", each(v))
+    held = held.withColumn("v", block(v)).withColumn("q", each(q))
+    kind = vectors.schema[id_col].dataType.simpleString()
+    found = asked.groupBy("length", "q", "v").cogroup(held.groupBy("length", "q", "v")).applyInPandas(_nearest(k, own), f"query {kind}, id {kind}, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "id", "similarity")
+
+
+def neighbours(vectors: DataFrame, seeds: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k nearest of each seed other than itself; none if it has no vector."""
+    return semantic(vectors, seeds, k, id_col, vector_col, own=False)
 
 
 def embedding_text(body: Column, subject: Column, limit: int | None = None) -> Column:

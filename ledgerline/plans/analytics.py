@@ -121,6 +121,10 @@ add(
 _MESSAGES = f"""messages AS (SELECT m.id, m.company_id, c.canonical_name, m.application_id, m.direction, m.sent_at, {TAG} AS tag, s.stages IS NOT NULL AS is_evidence, coalesce(s.stages, '') AS stages
   FROM message m LEFT JOIN (SELECT evidence_message_id, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages FROM cur GROUP BY 1) s ON s.evidence_message_id = m.id LEFT JOIN company c ON c.id = m.company_id)"""
 add("messages", lists.messages, f", {_MESSAGES} SELECT * FROM messages")
+add(
+    "messages_within", lambda r: lists.messages(r, recorded=True, within=(r.correspondence.filter("a2 LIKE 'p7@%' OR a2 LIKE 'p8@%'"), r.subject.filter("subject LIKE 'Welcome%'"))),
+    f", {_MESSAGES} SELECT * FROM messages WHERE company_id IS NOT NULL AND id IN (SELECT id FROM correspondence WHERE split_part(a2, '@', 1) IN ('p7', 'p8')) AND id IN (SELECT id FROM subject WHERE starts_with(subject, 'Welcome'))",
+)
 add("messages_filtered", lambda r: lists.messages(r, direction="inbound", tag="model", evidence=True, hide_negative=True, since=SINCE, until=UNTIL), f", {_MESSAGES} SELECT * FROM messages WHERE direction = 'inbound' AND tag = 'model' AND is_evidence AND sent_at BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-12-31'")
 add(
     "home_counts", lists.home_counts,

@@ -118,15 +118,22 @@ add_table("full_text_phrase", "documents", lambda t: search.full_text(search.pos
 add_table("postings", "documents", lambda t: search.postings(t, "doc_id", "text").select("term", "id", "tf"), f"SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY 1, 2")
 
 
-def _first_vector(t):
-    row = t.filter("vec_id = 0").first()
-    return row["embedding"] if row else []
+# every hundredth row asks all rows
+_COS = "list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+_ASKS = lambda t: t.filter("vec_id % 100 = 0")
 
 
-_COS = "list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[])"
-add_table("semantic_search", "embeddings", lambda t: search.semantic(t, _first_vector(t), 10).select("id", F.round("similarity", 6).alias("similarity")), f"SELECT v.vec_id AS id, round({_COS.format('v.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY similarity DESC, id LIMIT 10")
-add_table("semantic_neighbours", "embeddings", lambda t: search.neighbours(t, 3, 10).select("id", F.round("similarity", 6).alias("similarity")), f"SELECT v.vec_id AS id, round({_COS.format('v.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE v.vec_id <> 3 ORDER BY similarity DESC, id LIMIT 10")
-add_table("similar_resolved", "embeddings", lambda t: search.semantic(t, _first_vector(t), 5, where=F.col("label") > 3).select("id", F.round("similarity", 6).alias("similarity")), f"SELECT v.vec_id AS id, round({_COS.format('v.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE v.label > 3 ORDER BY similarity DESC, id LIMIT 5")
+def _add_search(name, build, k, where):
+    add_table(
+        name, "embeddings", lambda t: build(t).withColumn("similarity", F.round("similarity", 6)),
+        f"""SELECT query, rank, id, round(similarity, 6) AS similarity FROM (SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 12) DESC, id) AS rank FROM (
+  SELECT q.vec_id AS query, v.vec_id AS id, {_COS} AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL AND {where})) WHERE rank <= {k}""",
+    )
+
+
+_add_search("semantic_search", lambda t: search.semantic(t, _ASKS(t), 10), 10, "true")
+_add_search("semantic_neighbours", lambda t: search.neighbours(t, _ASKS(t), 10), 10, "v.vec_id <> q.vec_id")
+_add_search("similar_resolved", lambda t: search.semantic(t, _ASKS(t), 5, where=F.col("label") > 3), 5, "v.label > 3")
 add_table("embedding_text", "documents", lambda t: t.select("doc_id", F.md5(search.embedding_text(F.when(F.col("lang") != "de", F.col("text")), F.col("source")).cast("binary")).alias("digest")), "SELECT doc_id, md5(coalesce(nullif(trim(CASE WHEN lang <> 'de' THEN text END), ''), nullif(trim(source), ''), '(empty)')) AS digest FROM documents")
 # quality
 add(

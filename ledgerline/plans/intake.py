@@ -146,6 +146,27 @@ def stream_applications(spark, sf_dir):
 
 
 QUERIES["stream_applications"] = stream_applications
+
+
+def _carry(batch, known):
+    """Users of whom an earlier batch published something are known."""
+    if known is None:
+        return batch.withColumn("known", F.lit(False))
+    return batch.join(known.select("user_id").distinct().withColumn("known", F.lit(True)), "user_id", "left").fillna(False, ["known"])
+
+
+def stream_classification(spark, sf_dir):
+    """Events that arrive in three parts, each classified by what the parts before it published."""
+    work = shared_dir(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    for part in range(3):
+        events.filter(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(f"{work}/landing")
+        jobs.classify_stream(spark.readStream.schema(events.schema).parquet(f"{work}/landing"), _carry, f"{work}/store", f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/store").select("event_id", "known")
+
+
+QUERIES["stream_classification"] = stream_classification
+ORACLES["stream_classification"] = """SELECT event_id, event_id % 3 > min(event_id % 3) OVER (PARTITION BY user_id) AS known FROM events"""
 QUERIES["stream_seen_ranges"] = lambda spark, sf_dir: (lambda work: jobs.drain(jobs.seen_ranges(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts"), f"{work}/out", f"{work}/checkpoint").select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "n"))(shared_dir(spark))
 ORACLES["stream_seen_ranges"] = "SELECT user_id, min(ts)::TIMESTAMP AS first_at, max(ts)::TIMESTAMP AS last_at, count(*) AS n FROM events GROUP BY 1"
 

@@ -60,11 +60,11 @@ add(
     SELECT *, max(derived_at) OVER (PARTITION BY application_id) AS m FROM stage_event) WHERE derived_at IS NOT DISTINCT FROM m GROUP BY 1) c ON c.application_id = a.id""",
 )
 _RE = lambda column, pattern: f"regexp_matches({column}, '{pattern}')"
-add(
-    "onboarding_accepted", lambda r: st.accepted_index(r.subject),
+ONBOARDING = (
     f"""SELECT application_id, min(idx) AS idx FROM (SELECT *, bool_or({_RE('subject', nz.CORROBORATION)}) OVER (PARTITION BY application_id ORDER BY idx) AS so_far FROM subject)
-WHERE NOT {_RE('subject', nz.NOT_ONBOARDING)} AND ({_RE('subject', nz.ONBOARDING)} OR ({_RE('subject', nz.AMBIGUOUS)} AND so_far)) GROUP BY 1""",
-)
+WHERE NOT {_RE('subject', nz.NOT_ONBOARDING)} AND ({_RE('subject', nz.ONBOARDING)} OR ({_RE('subject', nz.AMBIGUOUS)} AND so_far)) GROUP BY 1"""
+)
+add("onboarding_accepted", lambda r: st.accepted_index(r.subject), ONBOARDING)
 add(
     "stage_conflicts", lambda r: st.stage_conflicts(r.stage_event.select(*_E)),
     f"""SELECT id, application_id, stage, occurred_at FROM (SELECT *, min(occurred_at) FILTER (stage IN {TERMINAL}) OVER (PARTITION BY application_id ORDER BY occurred_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM stage_event)

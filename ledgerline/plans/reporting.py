@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import classify as cl
 from ledgerline.operators import reports as rp
 
 from .adapters import record
+from .process import ONBOARDING
 from .sql import over_record
 
 QUERIES: dict = {}
@@ -73,7 +75,7 @@ add(
     "SELECT c.id AS company_id, c.domain, coalesce(n, 0) AS messages FROM company c LEFT JOIN (SELECT company_id, count(*) AS n FROM message GROUP BY 1) m ON m.company_id = c.id WHERE domain IS NOT NULL AND c.id % 4 <> 0",
 )
 add("find_company", lambda r: rp.find_company(r, "www.CO15.example"), "SELECT id, canonical_name, domain FROM company WHERE domain = 'co15.example'")
-add("verification_inputs", lambda r: rp.verification_inputs(r, r.company.filter("kind = 'agency'").select(F.col("id").alias("company_id")), 10), "SELECT company_id, id, CAST(least(n, 10) - b + 1 AS INTEGER) AS n FROM (SELECT m.company_id, m.id, row_number() OVER (PARTITION BY m.company_id ORDER BY sent_at DESC, m.id DESC) AS b, count(*) OVER (PARTITION BY m.company_id) AS n FROM message m JOIN company c ON c.id = m.company_id AND kind <> 'agency') WHERE b <= 10")
+add("verification_inputs", lambda r: rp.verification_inputs(r, r.company.filter("kind = 'agency'").select(F.col("id").alias("company_id"))), "SELECT company_id, id, CAST(least(n, 60) - b + 1 AS INTEGER) AS n FROM (SELECT m.company_id, m.id, row_number() OVER (PARTITION BY m.company_id ORDER BY sent_at DESC, m.id DESC) AS b, count(*) OVER (PARTITION BY m.company_id) AS n FROM message m JOIN company c ON c.id = m.company_id AND kind <> 'agency') WHERE b <= 60")
 # classifier
 _RAW = """CASE WHEN length(sender_domain) % 2 = 0 THEN '[' ELSE '' END || '{"label": "' || CASE WHEN direction = 'inbound' THEN 'positive' WHEN classified_by IS NULL THEN 'negative' ELSE 'odd' END || '", "company_name": "' || CASE WHEN application_id % 3 = 0 THEN ' N/A ' WHEN application_id % 3 = 1 THEN 'stealth startup' ELSE 'Acme' END
  || '", "stage": " Offer", "company_kind": "x", "company_domain": null, "occurred_at": "2024-01-02"}' || CASE WHEN length(sender_domain) % 2 = 0 THEN ', {}]' ELSE '' END"""
@@ -118,6 +120,32 @@ g2 AS (SELECT *, stage IN ('accepted', 'declined', 'rejected', 'withdrawn') AS t
 g3 AS (SELECT *, coalesce(bool_or(t) OVER b, false) AS ended, coalesce(max(p) OVER b, -1) AS high FROM g2 WINDOW b AS (PARTITION BY application_id ORDER BY occurred_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT id, application_id, stage FROM g3 WHERE t OR (NOT ended AND p > high)""",
 )
+_CLAIMS = lambda r: r.stage_event.filter("stage <> 'accepted' OR application_id % 2 = 0").select("id", "application_id", "stage", "occurred_at")
+add(
+    "onboarding_claims", lambda r: cl.onboarding_claims(_CLAIMS(r), r.subject.join(r.stage_event.select("id", "occurred_at"), "id"), "Acme Robotics").select("id", "application_id", "stage"),
+    f""", oa AS ({ONBOARDING}), c0 AS (SELECT id, application_id, stage, occurred_at FROM stage_event WHERE stage <> 'accepted' OR application_id % 2 = 0),
+c1 AS (SELECT * FROM c0 UNION ALL SELECT concat('hire-', s.id), s.application_id, 'accepted', e.occurred_at FROM oa JOIN subject s USING (application_id, idx) JOIN stage_event e ON e.id = s.id
+  WHERE s.subject <> 'Welcome to our newsletter' AND s.application_id NOT IN (SELECT application_id FROM c0 WHERE stage = 'accepted')),
+c2 AS (SELECT *, stage IN ('accepted', 'declined', 'rejected', 'withdrawn') AS t, CASE stage WHEN 'applied' THEN 0 WHEN 'recruiter_screen' THEN 1 WHEN 'phone_screen' THEN 2 WHEN 'technical' THEN 3 WHEN 'onsite' THEN 4 WHEN 'offer' THEN 5 END AS p FROM c1),
+c3 AS (SELECT *, coalesce(bool_or(t) OVER b, false) AS ended, coalesce(max(p) OVER b, -1) AS high FROM c2 WINDOW b AS (PARTITION BY application_id ORDER BY occurred_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT id, application_id, stage FROM c3 WHERE t OR (NOT ended AND p > high)""",
+)
+add(
+    "audit_applications",
+    lambda r: cl.audit_applications(r.application, r.application.select("id", F.expr("CASE id % 5 WHEN 1 THEN 'merge' WHEN 2 THEN 'delete' ELSE 'keep' END").alias("verdict"), F.min("id").over(Window.partitionBy("company_id")).alias("target"))),
+    """, v AS (SELECT id, company_id, id % 5 AS k, min(id) OVER (PARTITION BY company_id) AS target, count(*) OVER (PARTITION BY company_id) AS n FROM application)
+SELECT id, CASE k WHEN 1 THEN 'merge' ELSE 'delete' END AS action, CASE WHEN k = 1 THEN target END AS target FROM v WHERE n > 1 AND (k = 2 OR (k = 1 AND target % 5 NOT IN (1, 2)))""",
+)
+add(
+    "audit_companies",
+    lambda r: cl.audit_companies(r.company, r.company.select("id", F.expr("CASE id % 7 WHEN 0 THEN 'junk' WHEN 1 THEN 'newsletter' WHEN 2 THEN 'person' WHEN 3 THEN 'misnamed' WHEN 4 THEN 'duplicate' ELSE 'fine' END").alias("verdict"), (F.col("id") - F.expr("CASE WHEN id % 2 = 0 THEN 1 ELSE 3 END")).alias("target"), F.expr("CASE WHEN id % 3 = 0 THEN ' ' WHEN id % 3 = 1 THEN canonical_name ELSE concat(' N ', canonical_name) END").alias("name"))),
+    """SELECT id, CASE id % 7 WHEN 0 THEN 'delete' WHEN 1 THEN 'delete' WHEN 4 THEN 'merge' ELSE 'rename' END AS action, CASE WHEN id % 7 = 4 THEN id - CASE WHEN id % 2 = 0 THEN 1 ELSE 3 END END AS target, CASE WHEN id % 7 IN (2, 3) THEN 'N ' || canonical_name END AS name
+FROM company WHERE id % 7 IN (0, 1) OR (id % 7 IN (2, 3) AND id % 3 = 2) OR (id % 7 = 4 AND id % 2 = 0)""",
+)
+add(
+    "read_messages", lambda r: cl.read(r.subject.select("id", "subject"), lambda pdf: pdf.assign(label=pdf["subject"].str.contains("offer|Welcome").map({True: "positive", False: "negative"}))[["id", "label"]], "id string, label string").groupBy("label").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT CASE WHEN contains(subject, 'offer') OR contains(subject, 'Welcome') THEN 'positive' ELSE 'negative' END AS label, count(*) AS n FROM subject GROUP BY 1",
+)
 add(
     "audit_plan",
     lambda r: cl.audit_plan(r.message, r.message.select("id", F.expr("direction = 'inbound'").alias("belongs"), (F.col("company_id") + 1).alias("target")), r.message.select("id", F.expr("length(sender_domain) > 10").alias("belongs"), (F.col("company_id") + F.expr("CASE WHEN classified_by IS NULL THEN 2 ELSE 1 END")).alias("target")), r.correspondence.filter("known_contact OR bulk").select("id", F.lit("thread").alias("evidence"))),

@@ -72,6 +72,19 @@ def classify_loop(backlog: Callable[[], DataFrame], classify: Callable[[DataFram
     return most
 
 
+def classify_stream(stream: DataFrame, classify: Callable[[DataFrame, DataFrame | None], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Each batch of new mail through ``classify(batch, known)``; known is what earlier batches published, null before the first.
+
+    A batch that runs again sees what it saw the first time and replaces what it wrote.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        known = batch.sparkSession.read.parquet(out).filter(F.col("batch") < number) if number else None
+        classify(batch, known).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
+
+
 def seen_ranges(stream: DataFrame, by: str, when: str) -> DataFrame:
     """(by, first_at, last_at, n) as mail arrives: ranges widen both ways and nothing is too late, so there is no watermark."""
     return stream.groupBy(by).agg(F.min(when).alias("first_at"), F.max(when).alias("last_at"), F.count(F.lit(1)).alias("n"))

@@ -1,12 +1,14 @@
 """Small tables in, expected tables out."""
 
+import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize as nz
-from ledgerline.operators import mutate, quality, resolve, rules, search, stages
+from ledgerline.operators import classify, mutate, quality, resolve, rules, search, stages
 from ledgerline.sources import envelopes as env
 from ledgerline.streaming import jobs
 
@@ -182,7 +184,6 @@ def test_verdicts_name_their_reasons(spark):
 
 
 def test_readings_of_odd_shape_are_errors(spark):
-    from ledgerline.operators import classify
 
     raw = ['{"label": "positive", "stage": " OFFER ", "company_name": "None"}', '[{"label": "x"}]', '[{"label": "positive"}, {}]', "[]", "text", "", None, "3"]
     got = [(r["ok"], r["label"], r["stage"], r["company_name"]) for r in classify.coerce(spark.createDataFrame(list(enumerate(raw)), "id int, raw string")).orderBy("id").collect()]
@@ -200,3 +201,37 @@ def test_long_texts_stay_whole(spark):
     html = F.lit("<p>" + long + "</p>")
     row = spark.range(1).select(nz.body_text(F.lit(long), none), nz.body_text(none, html), search.embedding_text(F.lit(long), none), F.length(nz.body_text(none, html, 20_000))).first()
     assert tuple(row) == (long, long, long, 20_000)
+
+
+def test_semantic_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "ASKED", 3)
+    monkeypatch.setattr(search, "SEARCHED", 7)
+    draw = random.Random(5)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(4 if i % 5 else 3)]) for i in range(60)]
+    rows[9] = (9, list(rows[8][1]))  # a tie
+    odd = [(100, None), (101, [0.0] * 4), (102, [1.0, None, 0.0, 0.0]), (103, [float("nan"), 1.0, 0.0, 0.0]), (104, [float("inf"), 1.0, 0.0, 0.0]), (105, [])]
+    table = spark.createDataFrame(rows + odd, "vec_id int, embedding array<double>")
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 9)
+
+    def best(own):
+        return {q: [i for _, i in sorted((-cosine(a, b), i) for i, b in rows if len(a) == len(b) and (own or i != q))[:4]] for q, a in rows}
+
+    for own, found in ((True, search.semantic(table, table, 4)), (False, search.neighbours(table, table, 4))):
+        got = {}
+        for r in found.orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r["id"])
+        assert got == best(own)
+    assert search.semantic(table.limit(0), table, 4).count() == 0
+    assert search.neighbours(table, table.filter("vec_id >= 100"), 4).count() == 0
+
+
+def test_audit_plans(spark):
+    applications = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 3), (7, None)], "id int, company_id int")
+    verdicts = spark.createDataFrame([(1, "merge", 2), (3, "merge", 1), (4, "delete", None), (5, "merge", 1), (6, "delete", None)], "id int, verdict string, target int")
+    # 3 would go into what is merged itself, 4 is its company's only one, 5 would leave its company
+    assert sorted(map(tuple, classify.audit_applications(applications, verdicts).collect())) == [(1, "merge", 2), (6, "delete", None)]
+    companies = spark.createDataFrame([(1, "A"), (2, "B"), (3, None), (4, "D"), (5, "E")], "id int, canonical_name string")
+    said = spark.createDataFrame([(1, "junk", None, None), (2, "duplicate", 1, None), (3, "misnamed", None, " C "), (4, "duplicate", 3, "x"), (5, "person", None, "E"), (9, "junk", None, None)], "id int, verdict string, target int, name string")
+    assert sorted(map(tuple, classify.audit_companies(companies, said).collect()), key=lambda r: r[0]) == [(1, "delete", None, None), (3, "rename", None, "C"), (4, "merge", 3, None)]
