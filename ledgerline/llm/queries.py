@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, lm_score, mixing, neardup, secrets, toxicity, warc
+from . import ann, chat, decontaminate, licenses, lm_score, merkle, mixing, neardup, secrets, toxicity, warc
 from .common import shared_dir, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +221,51 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents, every document's proof, and rows with tampered texts among those verified."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    columns = {c: F.col(c) for c in merkle.COLUMNS}
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    claimed = F.when(chosen, merkle.leaf_digest(columns | {"text": lower})).otherwise(merkle.leaf_digest(columns))
+    manifest = merkle.build_manifest(docs, keep={"claimed": claimed})
+    return merkle.verify(manifest, manifest.leaves).withColumnRenamed("id", "doc_id")
+
+
+_FIELD12 = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF12 = "sha256(" + " || ".join(_FIELD12.format(c) for c in merkle.COLUMNS) + ")"
+
+#: CRC-32 bit by bit: DuckDB has none.
+_CRC12 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(d) + 1), lambda i: ascii(substr(d, i, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"""
+
+#: Nodes by tree, level and place; siblings of each; each document's walk through its language's tree, then through the upper one.
+_UP12 = """SELECT g, k + 1 AS k, pos // 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, max((n + 7) // 8) AS n FROM {0} WHERE n > 1 GROUP BY g, k, pos // 8"""
+_SIB12 = """SELECT g, k, pos, coalesce(string_agg(h, '') OVER (PARTITION BY g, k, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (PARTITION BY g, k, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {0} WHERE n > 1"""
+_WALK12 = """SELECT w.r, w.g, w.k + 1 AS k, w.pos // 8 AS pos, sha256(s.l || w.h || s.r) AS h, w.proof || s.l || s.r AS proof FROM {0} w JOIN {1} s ON s.g = w.g AND s.k = w.k AND s.pos = w.pos"""
+
+SQL12 = f"""
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, *, coalesce('=' || lang, '') AS g, CAST(doc_id AS VARCHAR) AS d FROM documents),
+crc AS (SELECT r, xor({_CRC12}, 4294967295) % 3 = 0 AS chosen FROM doc WHERE d IS NOT NULL),
+leaf AS (SELECT r, doc_id, g, {_LEAF12} AS h, {_LEAF12.replace("text", _LOWER.format("text"))} AS low FROM doc),
+base AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaf),
+node AS (SELECT g, 0 AS k, pos, h, n FROM base UNION ALL {_UP12.format("node")}),
+sub AS (SELECT g, h FROM node WHERE n = 1),
+topbase AS (SELECT g AS name, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM sub),
+topnode AS (SELECT '' AS g, 0 AS k, pos, h, n FROM topbase UNION ALL {_UP12.format("topnode")}),
+sib AS ({_SIB12.format("node")}),
+topsib AS ({_SIB12.format("topnode")}),
+walk AS (SELECT base.r, g, 0 AS k, pos, CASE WHEN coalesce(chosen, false) AND low IS NOT NULL THEN low ELSE h END AS h, '' AS proof FROM base LEFT JOIN crc USING (r) UNION ALL {_WALK12.format("walk", "sib")}),
+ends AS (SELECT r, g, max_by(h, k) AS h, max_by(proof, k) AS proof FROM walk GROUP BY r, g),
+topwalk AS (SELECT r, '' AS g, 0 AS k, t.pos, e.h, proof FROM ends e JOIN topbase t ON t.name = e.g UNION ALL {_WALK12.format("topwalk", "topsib")}),
+topends AS (SELECT r, max_by(h, k) AS h, max_by(proof, k) AS proof FROM topwalk GROUP BY r),
+whole AS (SELECT h FROM topnode WHERE n = 1)
+SELECT doc_id, base.h AS leaf, sub.h AS subroot, whole.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = whole.h AS verified
+FROM base JOIN sub USING (g) JOIN topends e USING (r), whole
+"""
+
+
+QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing, "op12_merkle": op12_merkle}
 
-ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op2_lm_score": SQL2, "op8_licenses": SQL8, "op3_chat": SQL3, "op4_warc": SQL4, "op5_near_duplicates": SQL5, "op6_decontamination": SQL6}
+ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op2_lm_score": SQL2, "op8_licenses": SQL8, "op3_chat": SQL3, "op4_warc": SQL4, "op5_near_duplicates": SQL5, "op6_decontamination": SQL6, "op12_merkle": SQL12}
