@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, lm_score, merkle, mixing, neardup, secrets, toxicity, warc
+from . import ann, chat, decontaminate, licenses, lm_score, merkle, mixing, neardup, secrets, toxicity, warc, whitening
 from .common import shared_dir, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +266,11 @@ FROM base JOIN sub USING (g) JOIN topends e USING (r), whole
 """
 
 
-QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing, "op12_merkle": op12_merkle}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their first eight components, scaled to unit covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("deviation_digits")
+
+
+QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing, "op12_merkle": op12_merkle, "op13_whitening": op13_whitening}
 
 ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op2_lm_score": SQL2, "op8_licenses": SQL8, "op3_chat": SQL3, "op4_warc": SQL4, "op5_near_duplicates": SQL5, "op6_decontamination": SQL6, "op12_merkle": SQL12}
