@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, lm_score, merkle, mixing, neardup, secrets, toxicity, warc, whitening
+from . import ann, chat, decontaminate, licenses, lm_score, merkle, mixing, neardup, pii, secrets, toxicity, warc, whitening
 from .common import shared_dir, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +221,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document: the base kinds, counted, and with them what the field adds."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal(docs, pii.train(docs)).select("doc_id", "pii_spans")
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii_spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(shown(base), 256).alias("base_sha256"), shown("pii_spans").alias("spans"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of all documents, every document's proof, and rows with tampered texts among those verified."""
     docs = table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
@@ -271,6 +282,6 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("deviation_digits")
 
 
-QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing, "op12_merkle": op12_merkle, "op13_whitening": op13_whitening}
+QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_warc": op4_warc, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_nearest": op9_nearest, "op10_mixing": op10_mixing, "op11_personal_data": op11_personal_data, "op12_merkle": op12_merkle, "op13_whitening": op13_whitening}
 
 ORACLES: dict[str, str] = {"op1_secrets": SQL1, "op2_lm_score": SQL2, "op8_licenses": SQL8, "op3_chat": SQL3, "op4_warc": SQL4, "op5_near_duplicates": SQL5, "op6_decontamination": SQL6, "op12_merkle": SQL12}
