@@ -62,8 +62,21 @@ def fold_events(events: DataFrame) -> DataFrame:
     return kept.select("conv_id", "position", "part", F.coalesce(role, F.lit("")).alias("role"), F.array_join(F.transform("live", lambda e: e["text"]), "").alias("text"))
 
 
+def _running(values: Column, block: int = CHUNK) -> Column:
+    """Sums of the values before each, in blocks, so that no long array is copied once a value."""
+    upto = lambda b, first: F.aggregate(b, F.array(first), lambda e, x: F.concat(e, F.array(F.element_at(e, -1) + x)))
+    zero = F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / block).cast("int") - 1), lambda i: F.slice(values, i * block + 1, block))
+    blocks = F.when(F.size(values) > 0, blocks).otherwise(F.array().cast("array<array<bigint>>"))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda e, x: e + x))
+    starts = F.slice(upto(sums, zero), F.lit(1), F.size(sums))
+    return F.flatten(F.zip_with(blocks, starts, lambda b, first: F.slice(upto(b, first), F.lit(1), F.size(b))))
+
+
 def render(messages: DataFrame, learner: str = "assistant", chunk: int = CHUNK) -> DataFrame:
-    """(conv_id, formatted, loss): the rendered conversation and the masked spans, as (start, length) in code points.
+    """(conv_id, formatted, loss, parts): the rendered conversation and the masked spans, as (start, length) in code points.
+
+    parts cuts the conversation: for each chunk its turns and its spans counted from its own start.
 
     messages: conv_id, position, part, role, text.
     """
@@ -86,26 +99,30 @@ def render(messages: DataFrame, learner: str = "assistant", chunk: int = CHUNK)
     # a chunk becomes one string, its length, and its spans counted from its own start
     pieces = chunks.select(
         "conv_id",
-        F.struct("chunk", F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("shown"), F.aggregate("turns", start, place).alias("held")).alias("piece"),
+        F.struct("chunk", F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("shown"), F.aggregate("turns", start, place).alias("held"), F.size("turns").alias("n")).alias("piece"),
     )
     whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-    ends = F.aggregate("pieces", F.array(F.lit(0).cast("long")), lambda e, p: F.concat(e, F.array(F.element_at(e, -1) + p["held"]["at"])))
+    whole = whole.withColumn("ends", _running(F.transform("pieces", lambda p: p["held"]["at"])))
     shifted = F.zip_with("pieces", "ends", lambda p, e: F.transform(p["held"]["spans"], lambda s: F.struct((s["start"] + e).alias("start"), s["length"].alias("length"))))
-    return (
-        whole.withColumn("ends", F.slice(ends, 1, F.size("pieces")))
-        .select("conv_id", F.array_join(F.transform("pieces", lambda p: p["shown"]), "").alias("formatted"), F.flatten(shifted).alias("loss"))
-    )
+    parts = F.transform("pieces", lambda p: F.struct(p["n"].alias("turns"), p["held"]["spans"].alias("spans")))
+    return whole.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["shown"]), "").alias("formatted"), F.flatten(shifted).alias("loss"), parts.alias("parts"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, learned): role and text of each turn and the masked text, recovered from the output."""
+    """(conv_id, turns, learned, formatted): role and text of each turn and the masked text, recovered from the output.
+
+    The text is split at the control strings once, and a span is cut out of its chunk, not out of the whole conversation.
+    """
     pieces = F.filter(F.split("formatted", r"<\|turn\|>", -1), lambda x, i: i > 0)
+    rows = formatted.withColumn("__pieces", pieces).withColumn("__first", _running(F.transform("parts", lambda p: p["turns"].cast("long"))))
     turn = lambda x: F.struct(
         unescape(F.split_part(x, F.lit(TEXT), F.lit(1))).alias("role"),
         unescape(F.split_part(F.split_part(x, F.lit(TEXT), F.lit(2)), F.lit(END), F.lit(1))).alias("text"),
     )
-    learned = F.transform("loss", lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.select("conv_id", F.transform(pieces, turn).alias("turns"), learned.alias("learned"), "formatted")
+    whole = lambda p, first: F.concat(F.lit(BEGIN), F.array_join(F.slice("__pieces", (first + 1).cast("int"), p["turns"]), BEGIN))
+    shown = rows.withColumn("__shown", F.zip_with("parts", "__first", lambda p, first: F.struct(whole(p, first).alias("text"), p["spans"].alias("spans"))))
+    learned = F.flatten(F.transform("__shown", lambda c: F.transform(c["spans"], lambda s: unescape(F.substring(c["text"], (s["start"] + 1).cast("int"), s["length"].cast("int"))))))
+    return shown.select("conv_id", F.transform("__pieces", turn).alias("turns"), learned.alias("learned"), "formatted")
 
 
 def turns_as_events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece: int = 512) -> DataFrame:
