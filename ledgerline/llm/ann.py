@@ -181,7 +181,12 @@ def calibrate(forest: list[Tree], points: np.ndarray, k: int, goal: float, rng:
 
 
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The cosine of each row with the query in double precision, components added in order."""
+    """The cosine of each row with the query in double precision, components added in order.
+
+    Vectors are brought near one by powers of two first, which changes no digit of theirs, so that no square over- or underflows.
+    """
+    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1]) if rows.size else rows
     dot, qq, rr = np.zeros(len(rows)), 0.0, np.zeros(len(rows))
     for d in range(len(query)):
         dot += query[d] * rows[:, d]

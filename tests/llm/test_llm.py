@@ -194,6 +194,24 @@ def test_empty_log_and_very_long_message(spark):
 # 4
 
 
+def test_a_conversation_of_many_turns(spark):
+    """50,000 turns of one conversation, at dense and at scattered positions, come back in time that follows the turns."""
+    turns = spark.range(50_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<"), F.repeat(F.lit("word "), 30), F.col("id").cast("string")).alias("text"))
+    for step in (1, 1000):
+        (r,) = chat.read_back(chat.render(chat.fold_events(chat.turns_as_events(turns.withColumn("turn", F.col("turn") * step))))).select(
+            F.size("turns").alias("n"), F.size("learned").alias("m"), F.md5(F.array_join("learned", "")).alias("h"), F.md5(F.array_join(F.transform("turns", lambda t: t["text"]), "")).alias("w")).collect()
+        text = ["é<" + "word " * 30 + str(i) for i in range(50_000)]
+        assert (r["n"], r["m"]) == (50_000, 25_000)
+        assert r["h"] == hashlib.md5("".join(text[1::2]).encode()).hexdigest() and r["w"] == hashlib.md5("".join(text).encode()).hexdigest()
+
+
+def test_chat_with_clashing_columns(spark):
+    rows = [(1, 0, "user", "a", "p", 7), (1, 1, "assistant", None, "q", 8)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parts string, loss int")
+    (r,) = chat.read_back(chat.render(chat.fold_events(chat.turns_as_events(turns)))).collect()
+    assert [tuple(t) for t in r["turns"]] == [("user", "a"), ("assistant", "")] and r["learned"] == [""]
+
+
 def test_archive_round_trip(spark):
     small_batches(spark)
     rows = [(i, f"http://x/{i}", "same" if i % 3 == 0 else f"page {i} \r\n\r\n é" * (i + 1)) for i in range(60)] + [(None, None, None), (None, "u", "same"), (3, "b", "same"), (3, "a", "same"), (100, "big", "z" * 700_000), (101, "empty", "")]
@@ -553,6 +571,15 @@ def test_neighbours_of_few(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_of_very_large_and_small_components(spark):
+    tiny = 5e-324
+    rows = [(1, [1e200, 0.0]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [0.0, -1e308]), (5, [tiny, 0.0]), (6, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(df, df).collect()}
+    unit = {1: (1, 0), 2: (0.5**0.5, 0.5**0.5), 3: (0.5**0.5, 0.5**0.5), 4: (0, -1), 5: (1, 0), 6: (0.5**0.5, 0.5**0.5)}
+    assert len(got) == 30 and all(math.isclose(s, unit[a][0] * unit[b][0] + unit[a][1] * unit[b][1], abs_tol=1e-15) for (a, b), s in got.items())
+
+
 def test_every_length_is_searched_in_double_precision(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=3 if i % 3 else 7) * 10.0 ** rng.integers(-60, 60)]) for i in range(300)]
