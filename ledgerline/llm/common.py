@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.storage import shared_dir, stage
 
-__all__ = ["shared_dir", "small_batches", "stage", "table"]
+__all__ = ["fresh", "shared_dir", "small_batches", "stage", "table"]
 
 #: Rows of an Arrow batch: documents can be long, so a batch holds few of them.
 BATCH_ROWS = 500
@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column of an operator's own that none of a table's has, letter case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers: few documents in an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

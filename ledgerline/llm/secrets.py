@@ -8,7 +8,8 @@ is searched in every document.
 
 A pattern's matches are leftmost and don't overlap, as ``re.finditer`` gives them; matches whose
 measured group is too short are dropped afterwards. Spans are (start, end) in code points, end
-exclusive. A private key reaches from its BEGIN line through its END line.
+exclusive. A private key reaches from its BEGIN line through its END line, also where its lines are quoted, indented or
+escaped; one without an END line as far as its headers and lines of Base64 go, and the word after them.
 
 Defined results: null texts are empty and have no spans; rows with a null or a repeated identifier are
 searched like others (the index only decides where to look, the search is per row); an empty table
@@ -24,6 +25,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,7 +44,13 @@ def _either(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
 
+# What a private key is made of. Between two of its lines may stand an escaped line end, quotation marks of a program or of a mail, and indentation.
 _KEY = "PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"[\x20\t\"'+,;]*(?:\\+[nr]|[\r\n])(?:\\+[nrt]|[\x20\t\r\n>|*#\"'+,;])*"
+_GAP = r"(?:\\+[nrt]|[\x20\t\r\n>|*#\"'+,;])*"
+_HEADER = r"[A-Z][A-Za-z0-9-]{2,30}:\x20[^\r\n\\]{0,200}"
+# all up to the END line, whatever it is, but for five hyphens; a key without that line: its headers, runs of 16 Base64 characters and more, and the start of a last line
+_BODY = rf"(?:[^-]*(?:-{{1,4}}[^-]+){{0,200}}-----END [A-Z0-9 ]*{_KEY}|(?:{_BREAK}{_HEADER})*(?:{_GAP}[A-Za-z0-9+/=]{{16,}})*(?:{_BREAK}[A-Za-z0-9+/=]+)?)"
 
 # Fixed patterns: the three base kinds, then kinds that this operator adds, after the published forms of keys and tokens.
 RULES = (
@@ -50,8 +59,7 @@ RULES = (
     Rule("hex", "[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", "xox[abeprs]-[A-Za-z0-9-]+", 0, 15),
-    # through the END line; a key without one as far as lines of Base64 go
-    Rule("pem", rf"-----BEGIN [A-Z0-9 ]*{_KEY}(?:[A-Za-z0-9+/=:,.()\x20\t\r\n-]*?-----END [A-Z0-9 ]*{_KEY}|[\x20\t\r\n]*[A-Za-z0-9+/=\r\n]*)"),
+    Rule("pem", rf"-----BEGIN [A-Z0-9 ]*{_KEY}{_BODY}"),
     Rule("putty", r"PuTTY-User-Key-File-[0-9][A-Za-z0-9+/=:,.()\x20\t\r\n-]*"),
     Rule("temporary", "ASIA[A-Z0-9]+", 0, 20),
     Rule("github_pat", "github_pat_[A-Za-z0-9_]+", 0, 33),
@@ -214,26 +222,28 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda held: held["spans"])
 
 
-def find_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one more column, ``secret_spans``: (start, rank, stop) by start, then rule; rank is the rule's place."""
+def find_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "secret_spans") -> DataFrame:
+    """docs with one more column, or with that column replaced: (start, rank, stop) by start, then rule; rank is the rule's place."""
     none = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-    held = candidates(build_index(docs, rules, id_col, text_col), rules).select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
-    rows = docs.drop("secret_spans").join(held.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
+    own, kinds = fresh(docs, "__id"), fresh(docs, "__kinds")
+    held = candidates(build_index(docs, rules, id_col, text_col), rules).select(F.col("doc_id").alias(own), F.col("kinds").alias(kinds))
+    rows = docs.join(held.hint("shuffle_hash"), F.col(id_col) == F.col(own), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = []
     for rank, rule in enumerate(rules):
         if trigram_query(rule.pattern):
             # the index has no say about rows without an identifier
-            look = F.when(F.col(id_col).isNull(), True).otherwise(F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)))
+            look = F.when(F.col(id_col).isNull(), True).otherwise(F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False)))
         else:
             look = F.regexp_like(text, F.lit(rule.quick or rule.pattern))
         found.append(F.when(look, _spans(text, rule, rank)).otherwise(none))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat(*found))).drop("__id", "__kinds")
+    return rows.withColumn(out, F.array_sort(F.concat(*found))).drop(own, kinds)
 
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span, and what overlapping spans cover together, replaced by a mark; columns as they were."""
-    rows = find_secrets(docs, rules, id_col, text_col)
+    spans = fresh(docs, "secret_spans")
+    rows = find_secrets(docs, rules, id_col, text_col, spans)
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -242,6 +252,6 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]", id_col: str = "
         return F.struct(F.greatest(held["at"], s["stop"]).alias("at"), F.when(s["start"] >= held["at"], piece).otherwise(held["out"]).alias("out"))
 
     # a span that begins inside the one before it extends what that one's mark stands for
-    done = F.aggregate("secret_spans", start, cut, lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.length(text))))
-    clean = F.when(F.size("secret_spans") > 0, done).otherwise(text)
+    done = F.aggregate(spans, start, cut, lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.length(text))))
+    clean = F.when(F.size(spans) > 0, done).otherwise(text)
     return rows.withColumn(text_col, clean).select(*[f"`{c}`" for c in docs.columns])
