@@ -481,8 +481,11 @@ def stretches(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, win
     """What is fitted: a bounded number of documents, by hash of their texts, and of each a bounded stretch from a place by hash."""
     text = F.col(text_col)
     h = F.xxhash64(text)
-    rows = docs.filter(F.length(text) > 0).select(h.alias("h"), F.substring(text, (1 + F.pmod(h, F.greatest(F.length(text) - window + 1, F.lit(1)))).cast("int"), F.lit(window)).alias("t"))
-    return [r["t"] for r in rows.distinct().orderBy("h", "t").limit(sample).collect()]
+    some = docs.filter(F.length(text) > 0)
+    least = [r["h"] for r in some.select(h.alias("h")).distinct().orderBy("h").limit(sample).collect()]
+    start = (1 + F.pmod(h, F.greatest(F.length(text) - window + 1, F.lit(1)))).cast("int")
+    rows = some.filter(h.isin(least)).select(h.alias("h"), F.substring(text, start, F.lit(window)).alias("t"))
+    return [r["t"] for r in rows.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()]
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Field:
