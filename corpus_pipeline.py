@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, mixing, neardup, secrets, toxicity
-from ledgerline.llm.common import small_batches, stage, table
+from ledgerline.llm.common import fresh, small_batches, stage, table
 
 ORACLE_SQL = None
 
@@ -48,12 +48,13 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without an identifier get a number, so that each has its own copies."""
     small_batches(spark)
-    key = "doc_id"
+    key, other = "doc_id", fresh(docs, "__id")
     if not neardup.one_each(docs, key):
-        key = "__row"
+        key = fresh(docs, "__row")
         docs = stage(docs.withColumn(key, F.monotonically_increasing_id()))
-    copies = mixing.mix_sources(docs, id_col=key).filter("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    return docs.drop("copies").join(copies.hint("shuffle_hash"), F.col(key) == F.col("__id")).drop("__id", "__row")
+    copies = mixing.mix_sources(docs, id_col=key).filter("copies > 0").select(F.col("doc_id").alias(other), "copies")
+    mixed = docs.drop("copies").join(copies.hint("shuffle_hash"), F.col(key) == F.col(other)).drop(other)
+    return mixed if key == "doc_id" else mixed.drop(key)
 
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", blank_secrets), ("mixing", mix)]

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WIDTH = 10
 #: Windows in one automaton; about 0.5 KB each.
 BLOCK_WINDOWS = 400_000
@@ -115,26 +117,27 @@ def original_spans(text: str | None, covered) -> list[int]:
     return [len(raw[:x].decode("utf-8", "surrogatepass")) for x in flat]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, spans: bool = False) -> DataFrame:
-    """docs with one more column, ``contamination``: a struct of n_words, n_hit, items (as sorted strings) and,
+def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, spans: bool = False, column: str = "contamination") -> DataFrame:
+    """docs with one more column, or with that column replaced: a struct of n_words, n_hit, items (as sorted strings) and,
     if asked for, spans (start and end of each hit run in the original text, flat)."""
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c != "contamination"]
+    keep = [c for c in docs.columns if c.lower() != column.lower()]
     found = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("covered"), F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("spans"))
     for block in _blocks(items, item_id, item_text, width, block_windows):
         found = _scan(spark.sparkContext.broadcast(block), width, spans)(F.col(text_col), found)
-    out = docs.select(*[f"`{c}`" for c in keep], found.alias("contamination"))
-    at = F.col("contamination")
+    out = docs.select(*[f"`{c}`" for c in keep], found.alias(column))
+    at = F.col(column)
     n_hit = F.aggregate(F.transform(at["covered"], lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     parts = [at["n_words"].alias("n_words"), n_hit.alias("n_hit"), at["items"].alias("items")]
     if spans:
         parts.append(at["spans"].alias("spans"))
-    return out.withColumn("contamination", F.struct(*parts))
+    return out.withColumn(column, F.struct(*parts))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs without a word of any window; their columns as they were."""
-    return find_contamination(docs, items, **options).filter("contamination.n_hit = 0").select(*[f"`{c}`" for c in docs.columns])
+    own = fresh(docs, "contamination")
+    return find_contamination(docs, items, column=own, **options).filter(F.col(own)["n_hit"] == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(items: list[str]) -> str:

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 
 TREES, DEPTH = 24, 4
 SIZE = TREES * DEPTH
@@ -546,11 +546,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group; columns as they were."""
     own = [f"`{c}`" for c in docs.columns]
+    other, row = fresh(docs, "__other"), fresh(docs, "__node")
     if one_each(docs, id_col):
-        gone = _grouped(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), width, percent).filter("node <> comp").select(F.col("node").alias("__gone"))
-        return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__gone"), "left_anti").select(*own)
-    docs = stage(docs.withColumn("__node", F.monotonically_increasing_id()))
-    found = _grouped(docs.select(F.col("__node").alias("node"), F.col(text_col).alias("text")), width, percent)
-    found = stage(_united(found.join(docs.select(F.col("__node").alias("node"), F.col(id_col).cast("long").alias("doc_id")), "node")))
-    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("m")).select(F.col("m.node").alias("__first"))
-    return docs.join(first.hint("shuffle_hash"), F.col("__node") == F.col("__first"), "left_semi").select(*own)
+        gone = _grouped(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), width, percent).filter("node <> comp").select(F.col("node").alias(other))
+        return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(other), "left_anti").select(*own)
+    docs = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = _grouped(docs.select(F.col(row).alias("node"), F.col(text_col).alias("text")), width, percent)
+    found = stage(_united(found.join(docs.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("doc_id")), "node")))
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("m")).select(F.col("m.node").alias(other))
+    return docs.join(first.hint("shuffle_hash"), F.col(row) == F.col(other), "left_semi").select(*own)

@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 DECAY, SPAN, LEAST = 0.8, 6, 0.45
 LANDMARKS, ALIKE = 96, 0.8
 #: A power of the kernel that counts beside it: it tells a token from another that lacks a letter.
@@ -356,4 +358,5 @@ def score(docs: DataFrame, model: Scorer | None, text_col: str = "text", out_col
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that score under 0.5; their columns as they were."""
     model = train(docs, labels, text_col=text_col, **options)
-    return score(docs, model, text_col, "__toxic").filter(F.col("__toxic") < 0.5).select(*[f"`{c}`" for c in docs.columns])
+    own = fresh(docs, "toxic")
+    return score(docs, model, text_col, own).filter(F.col(own) < 0.5).select(*[f"`{c}`" for c in docs.columns])
