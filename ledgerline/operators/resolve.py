@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -57,33 +60,99 @@ def create_companies(mentions: DataFrame) -> DataFrame:
 ASSIGNED = "id string, company_id long, application string"
 
 
+@dataclass(eq=False)
+class Application:
+    """An application that can still take mail. order: how many its company had opened before it."""
+
+    start: datetime
+    end: datetime | None
+    role: str | None
+    name: str
+    order: int
+
+
 class Applications:
-    """The fold of one company's mentions, in order of time, into applications."""
+    """The fold of one company's mentions, in order of time, into applications, through an index of those that are near.
+
+    Near is what has no end, or one at most 45 days ago; an application that ended longer ago is forgotten, so memory
+    holds open applications alone. Of those without a role, and of those with one set of words, one at most is near. An
+    application with a role is found by the rarest of the mention's words of which a match must have one, among sets of a
+    fitting size, and not by a walk over all.
+    """
 
-    SPAN = pd.Timedelta(days=WINDOW_DAYS)
+    SPAN = timedelta(days=WINDOW_DAYS)
     STOP = frozenset(nz.TITLE_STOPWORDS)
 
-    def __init__(self) -> None:
-        self.open: list[dict] = []
+    def __init__(self, open_: Iterable[Application] = (), opened: int = 0) -> None:
+        self.opened = opened
+        self.untitled: Application | None = None
+        self.titled: dict[frozenset[str], Application] = {}
+        self.having: dict[tuple[str, int], dict[frozenset[str], None]] = {}
+        self.ends: list[tuple[datetime, int, Application]] = []
+        for a in open_:
+            self._hold(a)
+            if a.end is not None:
+                heapq.heappush(self.ends, (a.end, a.order, a))
 
     @classmethod
-    def words(cls, title: str | None) -> set[str]:
-        return {w for w in re.split(r"[^a-z0-9]+", (title or "").lower()) if w and w not in cls.STOP}
-
-    def take(self, mention, company, at: pd.Timestamp, role: str | None, ends: bool) -> str:
+    def words(cls, title: str | None) -> frozenset[str]:
+        return frozenset(w for w in re.split(r"[^a-z0-9]+", (title or "").lower()) if w and w not in cls.STOP)
+
+    def _hold(self, a: Application) -> None:
+        if not a.role:
+            self.untitled = a
+        elif own := self.words(a.role):  # a title of stop words alone matches nothing
+            self.titled[own] = a
+            for w in own:
+                self.having.setdefault((w, len(own)), {})[own] = None
+
+    def _forget(self, at: datetime) -> None:
+        while self.ends and self.ends[0][0] + self.SPAN < at:
+            a = heapq.heappop(self.ends)[2]
+            if self.untitled is a:
+                self.untitled = None
+            own = self.words(a.role)
+            if self.titled.get(own) is a:
+                del self.titled[own]
+                for w in own:
+                    sets = self.having[w, len(own)]
+                    del sets[own]
+                    if not sets:
+                        del self.having[w, len(own)]
+
+    def _same(self, mine: frozenset[str]) -> Application | None:
+        """The latest near application of a similar role: three fifths of all words of both are shared."""
+        best = None
+        least = -(-3 * len(mine) // 5)
+        sizes = range(least, 5 * len(mine) // 3 + 1)
+        held = sorted(mine, key=lambda w: sum(len(self.having.get((w, n), ())) for n in sizes))[: len(mine) - least + 1]
+        for own in {own for w in held for n in sizes for own in self.having.get((w, n), ())}:
+            if 5 * len(own & mine) >= 3 * len(own | mine):
+                a = self.titled[own]
+                if best is None or (a.start, -a.order) > (best.start, -best.order):
+                    best = a
+        return best
+
+    def take(self, mention, company, at: datetime, role: str | None, ends: bool) -> str:
         """The application of one mention; a title that is missing is filled, an end that is missing is set."""
-        near = [a for a in self.open if a["start"] - self.SPAN <= at and (a["end"] is None or at <= a["end"] + self.SPAN)]
+        self._forget(at)
         mine = self.words(role)
-        fits = [a for a in near if mine and (t := self.words(a["role"])) and len(t & mine) / len(t | mine) >= 0.6] or [a for a in near if not a["role"]]
-        if fits:
-            chosen = min(fits, key=lambda a: (abs(a["start"] - at), -a["start"].value))
-        else:
-            chosen = {"start": at, "end": None, "role": role, "name": f"{company}-{mention}"}
-            self.open.append(chosen)
-        chosen["role"] = chosen["role"] or role
-        if ends and chosen["end"] is None:
-            chosen["end"] = at
-        return chosen["name"]
+        chosen = (self._same(mine) if mine else None) or self.untitled
+        if chosen is None:
+            chosen = Application(at, None, role, f"{company}-{mention}", self.opened)
+            self.opened += 1
+            self._hold(chosen)
+        elif role and not chosen.role:
+            self.untitled, chosen.role = None, role
+            self._hold(chosen)
+        if ends and chosen.end is None:
+            chosen.end = at
+            heapq.heappush(self.ends, (at, chosen.order, chosen))
+        return chosen.name
+
+    def near(self) -> list[Application]:
+        """What the next mention can meet, in the order in which it was opened."""
+        return sorted([*self.titled.values(), *([self.untitled] if self.untitled else [])], key=lambda a: a.order)
 
     def add(self, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -93,37 +162,57 @@ class Applications:
         return pd.DataFrame(out, columns=["id", "company_id", "application"])
 
     def dump(self) -> str:
-        return json.dumps([{**a, "start": a["start"].isoformat(), "end": a["end"] and a["end"].isoformat()} for a in self.open])
+        return json.dumps([self.opened, [[a.start.isoformat(), a.end and a.end.isoformat(), a.role, a.name, a.order] for a in self.near()]])
 
     @classmethod
     def load(cls, text: str) -> Applications:
-        fold = cls()
-        fold.open = [{**a, "start": pd.Timestamp(a["start"]), "end": a["end"] and pd.Timestamp(a["end"])} for a in json.loads(text)]
-        return fold
+        opened, rows = json.loads(text)
+        return cls([Application(pd.Timestamp(s), e and pd.Timestamp(e), *rest) for s, e, *rest in rows], opened)
 
 
 def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mentions sorted by company and time, folded as they stream by: memory holds one company's applications and one batch."""
-    company, fold = object(), Applications()
+    """Mentions sorted by company, segment and time, folded as they stream by: memory holds one segment's open applications and one batch."""
+    key, fold = object(), Applications()
     for pdf in batches:
         out = []
-        for name, part in pdf.groupby("company_id", sort=False, dropna=False):
-            if name != company:
-                company, fold = name, Applications()
+        for name, part in pdf.groupby(["company_id", "segment"], sort=False, dropna=False):
+            if name != key:
+                key, fold = name, Applications()
             out.append(fold.add(part))
         if out:
             yield pd.concat(out)
 
 
+def cut_mentions(mentions: DataFrame) -> DataFrame:
+    """mentions with a segment: a company is cut where nothing that came before can be near.
+
+    Silences of more than 45 days make blocks. A block leaves nothing open if all its mentions are endings, or if it has one role,
+    or none, throughout and its last mention is an ending (then one application at most is near at any time, and that
+    mention ends it). As long as all blocks of a company so far are like that, the next begins a segment of its own.
+    """
+    by_time = Window.partitionBy("company_id").orderBy("at", "id")
+    gap = F.col("at") > F.lag("at").over(by_time) + F.make_dt_interval(F.lit(WINDOW_DAYS))
+    rows = mentions.withColumn("block", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    role = F.coalesce("role", F.lit(""))
+    ends = F.coalesce("ends", F.lit(False))
+    blocks = rows.groupBy("company_id", "block").agg((F.bool_and(ends) | ((F.min(role) == F.max(role)) & F.max_by(ends, F.struct("at", "id")))).alias("closed"))
+    before = Window.partitionBy("company_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("company_id", "block", F.when(F.coalesce(F.bool_and("closed").over(before), F.lit(True)), F.col("block")).alias("own"))
+    since = Window.partitionBy("company_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.select("company_id", "block", F.last("own", ignorenulls=True).over(since).alias("segment"))
+    return rows.join(blocks, ["company_id", "block"]).drop("block")
+
+
 def assign_applications(mentions: DataFrame) -> DataFrame:
     """(id, company_id, application): each mention's application, opened where none fits.
 
     An application fits from 45 days before its start to 45 days after its end; one of the same role comes first, then
     an untitled one, then the nearest start, ties to the later. What a mention opens decides about later ones, so a
-    company's mentions are taken one after another, streamed in order. mentions: id, company_id, role, at, ends.
+    company's mentions are taken one after another, streamed in order, in as many tasks as the company can be cut for.
+    mentions: id, company_id, role, at, ends.
     """
     rows = mentions.select("id", "company_id", "role", F.col("at").cast("timestamp_ntz").alias("at"), "ends").filter("company_id IS NOT NULL")
-    return rows.repartition("company_id").sortWithinPartitions("company_id", "at", "id").mapInPandas(_assign, ASSIGNED)
+    return cut_mentions(rows).repartition("company_id", "segment").sortWithinPartitions("company_id", "segment", "at", "id").mapInPandas(_assign, ASSIGNED)
 
 
 def merge_candidates(companies: DataFrame, limit: int | None = 200) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions import normalize as nz
 from ledgerline.operators import expand
 from ledgerline.sources import envelopes as env
+from ledgerline.schemas import GHOSTED_AFTER, TERMINAL
 from ledgerline.storage import shared_dir
-from ledgerline.streaming import jobs
+from ledgerline.streaming import jobs, state
 
 from .adapters import record
 from .sql import over_record
@@ -139,13 +140,64 @@ def mentions_of_events(events):
     return events.select(F.col("user_id").alias("company_id"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") != "view", F.concat_ws(" ", "event_type", F.col("event_id") % 3)).alias("role"), F.col("ts").cast("timestamp_ntz").alias("at"), (F.col("value") > 60).alias("ends"))
 
 
-def stream_applications(spark, sf_dir):
-    """Mentions as they arrive; what the batch fold gives of the same table."""
+def _landed(df, parts, part):
+    """Rows as files, a part each, that streams read one at a time in their order; gives the folder."""
+    path = f"{shared_dir(df.sparkSession)}/landing"
+    for k in range(parts):
+        df.filter(F.pmod(part, F.lit(parts)) == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _arriving(spark, df, path):
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+
+
+def _said(spark, stream, schema):
     work = shared_dir(spark)
-    return jobs.drain(jobs.follow_applications(mentions_of_events(_events(spark, sf_dir))), f"{work}/out", f"{work}/checkpoint", "append")
+    state.run_keyed(stream, state.append_batches(f"{work}/said"), f"{work}/checkpoint").awaitTermination()
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{work}/said")
+
+
+def mentions_of_mail(r):
+    roles = r.application.select(F.col("id").alias("application_id"), F.col("role_title").alias("role"))
+    return r.message.join(roles, "application_id").select("company_id", "id", "role", F.col("sent_at").cast("timestamp_ntz").alias("at"), (F.col("direction") == "outbound").alias("ends"))
+
+
+def stream_applications(spark, sf_dir):
+    """Mentions that arrive in five batches, out of order; what the batch fold gives of the same table."""
+    rows = mentions_of_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    said = _said(spark, state.follow_applications(_arriving(spark, rows, _landed(rows, 5, F.crc32("id")))), state.FOLLOWED)
+    return state.settled_applications(said)
+
+
+def stream_applications_late(spark, sf_dir):
+    """Mail that arrives year by year, some of it a year late, with a state that keeps sixty days of it; companies with later mail are folded anew."""
+    rows = mentions_of_mail(record(spark, sf_dir))
+    order = F.year("at") - 1995 + F.when(F.crc32("id") % 100 == 0, 1).otherwise(0)
+    said = _said(spark, state.follow_applications(_arriving(spark, rows, _landed(rows, 8, order)), 60), state.FOLLOWED)
+    return state.settled_applications(said, rows)
 
 
 QUERIES["stream_applications"] = stream_applications
+QUERIES["stream_applications_late"] = stream_applications_late
+
+
+def stream_silences(spark, sf_dir):
+    """Mail that arrives year by year; what silence made of applications, each state once, by timers."""
+    r = record(spark, sf_dir)
+    ends = r.stage_event.filter(F.col("stage").isin(*TERMINAL)).select(F.col("evidence_message_id").alias("id")).distinct().withColumn("ends", F.lit(True))
+    rows = r.message.select("application_id", "id", F.col("sent_at").cast("timestamp").alias("sent_at"), "direction").join(ends, "id", "left").fillna(False, ["ends"])
+    said = _said(spark, state.watch_silences(_arriving(spark, rows, _landed(rows, 8, F.year("sent_at") - 1995))), state.SILENT)
+    return said.select("application_id", "state", F.col("since").cast("timestamp_ntz").alias("since"))
+
+
+QUERIES["stream_silences"] = stream_silences
+_TERMINAL_SQL = ", ".join(f"'{x}'" for x in TERMINAL)
+ORACLES["stream_silences"] = over_record(f"""SELECT application_id, state, sent_at + days * INTERVAL 1 DAY AS since FROM (
+  SELECT application_id, sent_at, direction, lead(sent_at) OVER w AS answer, bool_or(ends) OVER (w ROWS UNBOUNDED PRECEDING) AS ended, max(sent_at) OVER () AS clock
+  FROM (SELECT m.*, EXISTS (SELECT 1 FROM stage_event e WHERE e.evidence_message_id = m.id AND e.stage IN ({_TERMINAL_SQL})) AS ends FROM message m) WINDOW w AS (PARTITION BY application_id ORDER BY sent_at, id)),
+  (VALUES ('going_cold', {GHOSTED_AFTER - 7}), ('ghosted', {GHOSTED_AFTER})) s(state, days)
+WHERE direction = 'outbound' AND NOT ended AND sent_at + days * INTERVAL 1 DAY < coalesce(answer, clock)""")
 
 
 def _carry(batch, known):

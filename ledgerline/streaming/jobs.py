@@ -1,15 +1,13 @@
-"""Streaming jobs: ingest, short-horizon dedupe, live counters, classification loop, application state."""
+"""Streaming jobs: ingest, short-horizon dedupe, live counters, classification loop."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerline.operators.resolve import ASSIGNED, Applications
 from ledgerline.sources import envelopes as env
 from ledgerline.storage import stage
 
@@ -88,21 +86,3 @@ def classify_stream(stream: DataFrame, classify: Callable[[DataFrame, DataFrame
 def seen_ranges(stream: DataFrame, by: str, when: str) -> DataFrame:
     """(by, first_at, last_at, n) as mail arrives: ranges widen both ways and nothing is too late, so there is no watermark."""
     return stream.groupBy(by).agg(F.min(when).alias("first_at"), F.max(when).alias("last_at"), F.count(F.lit(1)).alias("n"))
-
-
-def _follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The batch fold of a company's mentions, from where the state stands."""
-    pdf = pd.concat(list(batches), ignore_index=True)
-    fold = Applications.load(state.get[0]) if state.exists else Applications()
-    out = fold.add(pdf)
-    state.update((fold.dump(),))
-    yield out
-
-
-def follow_applications(stream: DataFrame) -> DataFrame:
-    """(id, company_id, application) as mentions arrive, by the fold of ``assign_applications``.
-
-    stream: company_id, id, role, at, ends. Mentions of one batch are taken in order of time; one that arrives after later
-    ones were folded is assigned among the applications as they stand, and the batch job puts that right.
-    """
-    return stream.groupBy("company_id").applyInPandasWithState(_follow, ASSIGNED, "applications string", "append", "NoTimeout")
