@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions import normalize as nz
 from ledgerline.schemas import GHOSTED_AFTER, OFFER_RANK, TERMINAL
 
+from ledgerline.storage import stage
+
 from . import mutate, rules
+from .graphs import resolve_chains
 from .scope import as_of, last_message, latest, latest_stage
 
 
@@ -94,6 +97,104 @@ def merge_companies(companies: DataFrame, applications: DataFrame, messages: Dat
     return kept, mutate.remap(applications, "company_id", mapping), mutate.remap(messages, "company_id", mapping), carried
 
 
+def apply_company_audit(tables: dict[str, DataFrame], plan: DataFrame) -> dict[str, DataFrame]:
+    """The record after an audit of companies (id, action, target, name): merges, deletions and renames in one pass over seven tables.
+
+    Merges are followed to their ends first; one that ends at a company that is deleted or unknown isn't made, and what is merged isn't
+    deleted. Mail of deleted companies goes back to the backlog, their applications, events, aliases and links go, and
+    rules lose their company. Old names of merged and renamed companies stay aliases.
+    tables: companies, applications, events, messages, aliases (company_id, alias), links (message_id, company_id), rules.
+    """
+    companies = tables["companies"]
+    asked = resolve_chains(plan.filter("action = 'merge' AND target IS NOT NULL").select(F.col("id").alias("old"), F.col("target").alias("new")))
+    dead = plan.filter("action = 'delete'").select("id").join(asked.select(F.col("old").alias("id")), "id", "left_anti")
+    stays = companies.select(F.col("id").alias("new")).join(dead.select(F.col("id").alias("new")), "new", "left_anti")
+    mapping = stage(asked.join(stays, "new", "left_semi").join(companies.select(F.col("id").alias("old")), "old", "left_semi").select("old", "new"))
+    # a deletion that gave way to a merge which isn't made after all is made
+    gone = stage(plan.filter("action = 'delete'").select("id").distinct().join(mapping.select(F.col("old").alias("id")), "id", "left_anti"))
+    gone_company = gone.select(F.col("id").alias("company_id"))
+    names = plan.filter("action = 'rename'").groupBy("id").agg(F.min("name").alias("name")).withColumn("kind", F.lit(None).cast("string"))
+    left, named = rename_companies(companies, tables["aliases"], names)
+    kept, apps, mail, aliases = merge_companies(left, tables["applications"], tables["messages"], named, mapping)
+    kept, apps, events, mail = mutate.delete_companies(kept, apps, tables["events"], mail, gone)
+    links = mutate.remap(tables["links"], "company_id", mapping).join(gone_company, "company_id", "left_anti").select(*tables["links"].columns).distinct()
+    rows = mutate.remap(tables["rules"], "company_id", mapping).join(gone_company.withColumn("_gone", F.lit(True)), "company_id", "left")
+    cleared = rows.withColumn("company_id", F.when(F.col("_gone").isNull(), F.col("company_id"))).select(*tables["rules"].columns)
+    return {"companies": kept, "applications": apps, "events": events, "messages": mail, "aliases": aliases.join(gone_company, "company_id", "left_anti").select(*tables["aliases"].columns), "links": links, "rules": cleared}
+
+
+def apply_application_audit(applications: DataFrame, events: DataFrame, messages: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(applications, events, messages) after an audit (id, action, target): merges within a company, followed to their ends, then deletions.
+
+    A merge that ends at an application of another company, or at one that is deleted, isn't made; what is merged isn't deleted. Deleted
+    ones take their events with them, and their mail loses its application.
+    """
+    asked = resolve_chains(plan.filter("action = 'merge' AND target IS NOT NULL").select(F.col("id").alias("old"), F.col("target").alias("new")))
+    dead = plan.filter("action = 'delete'").select("id").distinct()
+    home = applications.select("id", "company_id")
+    pairs = asked.join(home.select(F.col("id").alias("old"), F.col("company_id").alias("_a")), "old").join(home.select(F.col("id").alias("new"), F.col("company_id").alias("_b")), "new")
+    mapping = pairs.filter("_a = _b").join(dead.join(asked.select(F.col("old").alias("id")), "id", "left_anti").select(F.col("id").alias("new")), "new", "left_anti").select("old", "new")
+    mapping = stage(mapping)
+    gone = stage(dead.join(mapping.select(F.col("old").alias("id")), "id", "left_anti"))
+    apps, moved, mail = mutate.merge_applications(applications, events, messages, mapping)
+    lost = gone.select(F.col("id").alias("application_id"), F.lit(True).alias("_gone"))
+    rows = mail.join(lost, "application_id", "left").withColumn("application_id", F.when(F.col("_gone").isNull(), F.col("application_id"))).select(*messages.columns)
+    return apps.join(gone, "id", "left_anti"), moved.join(lost.drop("_gone"), "application_id", "left_anti").select(*events.columns), rows
+
+
+_TEACH = ["id", "at", "match_type", "value", "verdict", "company", "company_domain", "category", "kind"]
+
+
+def teach_batch(taught: DataFrame, companies: DataFrame, aliases: DataFrame, known: DataFrame, cats: DataFrame, messages: DataFrame, own_address: str = "") -> dict[str, DataFrame]:
+    """The record after a person taught rules (id, at, match_type, value, verdict, company, company_domain, category, kind), in order of time.
+
+    A positive rule needs a company: that of the domain given (else the rule's own), else one that is called so, else a new one; what one
+    teaching creates later ones find, so two of one new company make one. New companies are named after the teaching, ``new-`` before its id. A
+    rule with a category becomes a member, and the category takes verdict and company; others carry them themselves. The last teaching of a key counts,
+    and rules fan out over the backlog. Teachings about nothing to go by (positive, without name and domain) are left out.
+
+    A teaching can be settled when its domain is known, or no earlier open one shares it and its name is known or shared by none; each round
+    settles all such. companies: id (text), canonical_name, domain, kind; aliases: company_id, alias.
+    """
+    low = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    rows = taught.select(*_TEACH).withColumn("_d", F.coalesce(low("company_domain"), F.when(F.col("match_type") == "domain", low("value")))).withColumn("_n", low("company"))
+    rows = rows.withColumn("_at", F.struct("at", "id"))
+    asks = stage(rows.filter("verdict = 'positive' AND (_n IS NOT NULL OR company_domain IS NOT NULL)").select("id", "_at", "_d", "_n", "company", "value", "kind"))
+    domains = companies.filter("domain IS NOT NULL").groupBy(F.lower("domain").alias("_d")).agg(F.min("id").alias("_by_d"))
+    called = aliases.groupBy(F.lower("alias").alias("_n")).agg(F.min("company_id").alias("_by_n"))
+    done, made, open_ = None, None, asks
+    while open_.limit(1).count():
+        first_d = open_.filter("_d IS NOT NULL").groupBy("_d").agg(F.min("_at").alias("_first_d"))
+        first_n = open_.filter("_n IS NOT NULL").groupBy("_n").agg(F.min("_at").alias("_first_n"))
+        met = open_.join(domains, "_d", "left").join(called, "_n", "left").join(first_d, "_d", "left").join(first_n, "_n", "left")
+        alone_d = F.col("_first_d").isNull() | (F.col("_first_d") == F.col("_at"))
+        alone_n = F.col("_by_n").isNotNull() | F.col("_first_n").isNull() | (F.col("_first_n") == F.col("_at"))
+        found = F.coalesce("_by_d", "_by_n")
+        ready = F.col("_by_d").isNotNull() | (alone_d & alone_n)
+        settled = stage(met.filter(ready).select("id", "_at", "_d", "_n", "company", "value", "kind", found.alias("_found")))
+        fresh = settled.filter("_found IS NULL").select(F.concat(F.lit("new-"), "id").alias("id"), F.coalesce(F.trim("company"), "_d", "value").alias("canonical_name"), F.col("_d").alias("domain"), F.coalesce("kind", F.lit("employer")).alias("kind"), "_n", "_d")
+        done = settled if done is None else done.unionByName(settled)
+        made = fresh if made is None else made.unionByName(fresh)
+        domains = domains.unionByName(fresh.filter("_d IS NOT NULL").select("_d", F.col("id").alias("_by_d")))
+        called = called.unionByName(fresh.select(F.lower("canonical_name").alias("_n"), F.col("id").alias("_by_n")).join(called.select("_n"), "_n", "left_anti"))
+        open_ = stage(open_.join(settled.select("id"), "id", "left_anti"))
+    if done is None:
+        target = rows.select("id", F.lit(None).cast("string").alias("company_id")).limit(0)
+        all_companies, all_aliases = companies, aliases
+    else:
+        target = done.select("id", F.coalesce("_found", F.concat(F.lit("new-"), "id")).alias("company_id"))
+        all_companies = companies.unionByName(made.select(*companies.columns))
+        all_aliases = aliases.unionByName(made.select(F.col("id").alias("company_id"), F.lower("canonical_name").alias("alias"))).distinct()
+    fine = rows.join(target, "id", "left").filter("verdict <> 'positive' OR company_id IS NOT NULL").filter(~F.lower(F.trim("value")).isin(*_own(own_address)))
+    member = F.col("category").isNotNull()
+    newest = fine.groupBy("match_type", F.lower(F.trim("value")).alias("value")).agg(F.max_by(F.struct("verdict", "company_id", "category"), "_at").alias("r"))
+    told = newest.select("match_type", "value", F.when(F.col("r.category").isNull(), F.col("r.verdict")).alias("verdict"), "r.category", F.when(F.col("r.category").isNull(), F.col("r.company_id")).alias("company_id"), F.lit("human").alias("source"))
+    rules_after = known.join(told.select("match_type", "value"), ["match_type", "value"], "left_anti").unionByName(told.select(*known.columns))
+    groups = fine.filter(member).groupBy("category").agg(F.max_by(F.struct("verdict", "company_id"), "_at").alias("r")).select("category", "r.verdict", "r.company_id")
+    cats_after = cats.join(groups.select("category"), "category", "left_anti").unionByName(groups.select(*cats.columns))
+    return {"companies": all_companies, "aliases": all_aliases, "rules": rules_after, "categories": cats_after, "messages": fan_out(messages, rules.effective_rules(told, cats_after), own_address)}
+
+
 def rename_companies(companies: DataFrame, aliases: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(companies, aliases) after renames (id, name, kind): old and new names both stay aliases; a null leaves what is there."""
     held = renames.select("id", F.col("name").alias("_name"), F.col("kind").alias("_kind"))
@@ -104,17 +205,34 @@ def rename_companies(companies: DataFrame, aliases: DataFrame, renames: DataFram
     return after, aliases.unionByName(more).distinct()
 
 
-def apply_verifications(companies: DataFrame, applications: DataFrame, events: DataFrame, messages: DataFrame, known: DataFrame, aliases: DataFrame, verdicts: DataFrame, own_address: str = "") -> dict[str, DataFrame]:
+def _own(address: str) -> tuple[str, ...]:
+    """The own address and its domain; a value that nothing equals where there is none."""
+    low = address.strip().lower()
+    return (low, low.rsplit("@", 1)[-1]) if "@" in low else (low or "@",)
+
+
+def apply_verifications(companies: DataFrame, applications: DataFrame, events: DataFrame, messages: DataFrame, known: DataFrame, aliases: DataFrame, verdicts: DataFrame, own_address: str = "", links: DataFrame | None = None, model: str = "") -> dict[str, DataFrame]:
     """The record after verifications (company_id, negative, name, kind, rules): companies that don't matter go and their mail is marked;
-    others take name and kind; suggested rules are added where none stands, but never for the own address."""
+    others take name and kind; suggested rules are added where none stands, but never for the own address or its domain, which all
+    mail carries: such a rule would decide a whole mailbox.
+
+    Of secondary links (message_id, company_id) those to companies that go go, and all of mail that was theirs. What was verified is itself a table,
+    ``verifications``: a row for each verdict, with the rules it suggested, taken or not.
+    """
     gone = verdicts.filter("negative").select(F.col("company_id").alias("id"))
     mail, _ = mutate.mark_negative(messages, messages.limit(0), gone)
+    if links is None:
+        links = messages.select(F.col("id").alias("message_id"), "company_id").limit(0)
+    dead = messages.join(gone.select(F.col("id").alias("company_id")), "company_id", "left_semi").select(F.col("id").alias("message_id"))
+    kept = links.join(gone.select(F.col("id").alias("company_id")), "company_id", "left_anti").join(dead, "message_id", "left_anti").select(*links.columns)
+    audit = verdicts.select("company_id", F.lit(model).alias("model"), (~F.col("negative")).alias("correct"), F.col("name").alias("verified_name"), F.col("kind").alias("verified_kind"), F.col("rules").alias("suggested"))
     left, apps, stages, _ = mutate.delete_companies(companies, applications, events, messages.limit(0), gone)
     renamed, named = rename_companies(left, aliases.join(gone.select(F.col("id").alias("company_id")), "company_id", "left_anti"), verdicts.filter("NOT negative").select(F.col("company_id").alias("id"), "name", "kind"))
-    told = verdicts.select("company_id", F.explode("rules").alias("r")).select("r.match_type", "r.value", "r.verdict", F.when(F.col("r.verdict") == "positive", F.col("company_id")).alias("company_id")).filter(F.col("value") != own_address.lower())
+    told = verdicts.select("company_id", F.explode("rules").alias("r")).select("r.match_type", "r.value", "r.verdict", F.when(F.col("r.verdict") == "positive", F.col("company_id")).alias("company_id"))
+    told = told.filter(~F.lower(F.trim("value")).isin(*_own(own_address)))
     new = told.select(*[F.lit("verification").alias(c) if c == "source" else F.col(c) if c in told.columns else F.lit(None).cast("string").alias(c) for c in known.columns])
     order = ["verdict", F.col("company_id").asc_nulls_last()]
-    return {"companies": renamed, "applications": apps, "events": stages, "messages": mail, "aliases": named, "rules": mutate.insert_absent(known, new, ["match_type", "value"], order)}
+    return {"companies": renamed, "applications": apps, "events": stages, "messages": mail, "aliases": named, "links": kept, "verifications": audit, "rules": mutate.insert_absent(known, new, ["match_type", "value"], order)}
 
 
 def close_by_reason(queue: DataFrame, reason: str, status: str) -> DataFrame:
@@ -167,13 +285,17 @@ def sender_coverage(mail: DataFrame, known: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("address").alias("senders"), F.count_distinct(F.when(F.col("_hit") == 1, F.col("address"))).alias("covered"), F.count(F.lit(1)).alias("messages"), F.count("_hit").alias("covered_messages"))
 
 
-def distilled(readings: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """Rules after a distillation: readings (domain, verdict) of candidate domains, negative or undecided, on no shared provider.
+def distilled(readings: DataFrame, candidates: DataFrame, known: DataFrame, own_address: str = "") -> DataFrame:
+    """Rules after a distillation: readings (domain, verdict) of candidate domains, negative or undecided.
 
-    A negative verdict falls if any mail of the domain is linked to a company; a standing rule stays.
+    No rule is made for a shared provider, the own domain, or services that all kinds of senders use. A negative verdict falls if any
+    mail of the domain is linked to a company or was read as positive (candidates may have that count, ``positive``); a standing rule stays.
     """
-    fine = readings.filter(F.col("verdict").isin("negative", "undecided") & ~nz.generic(F.col("domain"))).join(candidates.select(F.col("sender_domain").alias("domain"), "linked"), "domain")
-    fine = fine.filter((F.col("verdict") != "negative") | (F.col("linked") == 0))
+    low = readings.withColumn("domain", F.lower(F.trim("domain")))
+    fine = low.filter(F.col("verdict").isin("negative", "undecided") & ~nz.generic(F.col("domain")) & ~F.col("domain").isin(*nz.NEVER_RULED, *_own(own_address)))
+    spoken = F.coalesce("positive", F.lit(0)) if "positive" in candidates.columns else F.lit(0)
+    fine = fine.join(candidates.select(F.lower("sender_domain").alias("domain"), "linked", spoken.alias("spoken")), "domain")
+    fine = fine.filter((F.col("verdict") != "negative") | ((F.col("linked") == 0) & (F.col("spoken") == 0)))
     new = fine.select(*[F.lit("domain").alias(c) if c == "match_type" else F.col("domain").alias(c) if c == "value" else F.col(c) if c == "verdict" else F.lit("distilled").alias(c) if c == "source" else F.lit(None).cast(known.schema[c].dataType).alias(c) for c in known.columns])
     return mutate.insert_absent(known, new, ["match_type", "value"], ["verdict"])
 

@@ -187,7 +187,7 @@ def stream_silences(spark, sf_dir):
     r = record(spark, sf_dir)
     ends = r.stage_event.filter(F.col("stage").isin(*TERMINAL)).select(F.col("evidence_message_id").alias("id")).distinct().withColumn("ends", F.lit(True))
     rows = r.message.select("application_id", "id", F.col("sent_at").cast("timestamp").alias("sent_at"), "direction").join(ends, "id", "left").fillna(False, ["ends"])
-    said = _said(spark, state.watch_silences(_arriving(spark, rows, _landed(rows, 8, F.year("sent_at") - 1995))), state.SILENT)
+    said = _said(spark, state.watch_silences(_arriving(spark, rows, _landed(rows, 4, F.floor((F.year("sent_at") - 1995) / 2)))), state.SILENT)
     return said.select("application_id", "state", F.col("since").cast("timestamp_ntz").alias("since"))
 
 

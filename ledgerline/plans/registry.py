@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, entities, intake, process, reporting, upkeep
+from . import analytics, changes, entities, intake, process, reporting, upkeep
 
-QUERIES: dict = {**analytics.QUERIES, **process.QUERIES, **entities.QUERIES, **intake.QUERIES, **reporting.QUERIES, **upkeep.QUERIES}
-ORACLES: dict = {**analytics.ORACLES, **process.ORACLES, **entities.ORACLES, **intake.ORACLES, **reporting.ORACLES, **upkeep.ORACLES}
+_PARTS = (analytics, process, entities, intake, reporting, upkeep, changes)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
