@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import UTC
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,7 +99,9 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             message = message_from_bytes(bytes(payload), policy=policy.default)
             date = text(message, "Date")
             try:
-                date = parsedate_to_datetime(date).isoformat() if date else None
+                sent = parsedate_to_datetime(date) if date else None
+                # a time without a zone is UTC, whatever the session's zone
+                date = sent and (sent if sent.tzinfo else sent.replace(tzinfo=UTC)).isoformat()
             except (TypeError, ValueError):
                 date = None
             bodies = {}
