@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.stem import stem, stems
+
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, id, tf, positions): lower-case runs of letters and digits."""
@@ -41,12 +43,13 @@ def parse_query(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
     return clauses, without
 
 
-def full_text(index: DataFrame, query: str) -> DataFrame:
+def full_text(index: DataFrame, query: str, form=lambda word: word) -> DataFrame:
     """(id, rank): documents that meet every clause and no exclusion; rank is the sum of ln(1 + tf) of the words asked for.
 
-    The postings of the query's words alone are read, and grouped once by document.
+    The postings of the query's words alone are read, and grouped once by document. form: what the index has for a word.
     """
     clauses, without = parse_query(query)
+    clauses, without = [[[form(t) for t in alt] for alt in c] for c in clauses], [[form(t) for t in alt] for alt in without]
     wanted = sorted({t for c in clauses for alt in c for t in alt})
     if not wanted:
         return index.select("id", F.lit(0.0).alias("rank")).limit(0)
@@ -70,6 +73,56 @@ def full_text(index: DataFrame, query: str) -> DataFrame:
     return at.select("id", "rank")
 
 
+#: Parts of a kept index; a query reads those of its words.
+PARTS = 64
+
+
+class TextIndex:
+    """Postings kept as a table, so that any number of queries share one pass over the documents.
+
+    ``postings`` lies in parts by hash of the term, and each part in files by document, so that a frequent term isn't one task's; ``dictionary`` has each
+    term once, with its stem and the documents that have it. A query reads the parts of its words alone.
+    """
+
+    def __init__(self, spark, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str, text_col: str, path: str) -> TextIndex:
+        """Write the index of some documents."""
+        rows = postings(docs, id_col, text_col).withColumn("part", cls._part(F.col("term"))).withColumn("_file", F.pmod(F.xxhash64("id"), F.lit(8)))
+        rows.repartition("part", "_file").drop("_file").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        index = cls(docs.sparkSession, path)
+        words = index._table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+        words.withColumn("stem", stems(F.col("term"))).withColumn("part", cls._part(F.col("stem"))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/dictionary")
+        return index
+
+    @staticmethod
+    def _part(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def _of(self, name: str, column: str, words: list[str]) -> DataFrame:
+        """Rows of some words; the parts are constants, so the others aren't read."""
+        return self._table(name).filter(F.col("part").isin([self._part(F.lit(w)) for w in words]) & F.col(column).isin(words))
+
+    def search(self, query: str, stemmed: bool = True) -> DataFrame:
+        """(id, rank) as ``full_text`` has it; stemmed: words stand for all words of their stem, and so in phrases."""
+        clauses, without = parse_query(query)
+        asked = sorted({t for alt in [*[a for c in clauses for a in c], *without] for t in alt})
+        if not asked:
+            return full_text(self._table("postings").drop("part"), query)
+        if not stemmed:
+            return full_text(self._of("postings", "term", asked).drop("part"), query)
+        forms = self._of("dictionary", "stem", sorted({stem(t) for t in asked})).select("term", "stem")
+        listed = [r["term"] for r in forms.collect()]  # inflections of the words asked for
+        found = self._of("postings", "term", listed).drop("part") if listed else self._table("postings").drop("part").limit(0)
+        merged = found.join(F.broadcast(forms), "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+        return full_text(merged, query, stem)
+
+
 #: Queries and vectors of a block: their products take 64 MB.
 ASKED, SEARCHED = 512, 16_384
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import lists, mutate, quality, search
 from ledgerline.operators import resolve as rs
 from ledgerline.schemas import TERMINAL as TERMINAL_STAGES
+from ledgerline.storage import shared_dir
 
 from .adapters import record
 from .process import _NORM
@@ -111,10 +112,36 @@ add("resolve_reviews", lambda r: mutate.resolve_reviews(r.review_queue, r.messag
 _TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 _HAS = "list_contains(t, '{0}')"
 _LN = "ln(1 + len(list_filter(t, lambda x: x = '{0}')))"
-add_table("full_text_search", "documents", lambda t: search.full_text(search.postings(t, "doc_id", "text"), "license OR token version -gpl").select("id", F.round("rank", 6).alias("rank")),
+#: Kept indexes, by application and folder: the searches below share one.
+_INDEXES: dict = {}
+
+
+def _index(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.TextIndex.build(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", f"{shared_dir(spark)}/text")
+    return _INDEXES[key]
+
+
+QUERIES["full_text_search"] = lambda spark, sf_dir: _index(spark, sf_dir).search("license OR token version -gpl", stemmed=False).select("id", F.round("rank", 6).alias("rank"))
+ORACLES["full_text_search"] = (
     f"SELECT doc_id AS id, round({' + '.join(_LN.format(w) for w in ('license', 'token', 'version'))}, 6) AS rank FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE ({_HAS.format('license')} OR {_HAS.format('token')}) AND {_HAS.format('version')} AND NOT {_HAS.format('gpl')}")
-add_table("full_text_phrase", "documents", lambda t: search.full_text(search.postings(t, "doc_id", "text"), '"licensed under the" -apache').select("id", F.round("rank", 6).alias("rank")),
+QUERIES["full_text_phrase"] = lambda spark, sf_dir: _index(spark, sf_dir).search('"licensed under the" -apache', stemmed=False).select("id", F.round("rank", 6).alias("rank"))
+ORACLES["full_text_phrase"] = (
     f"SELECT doc_id AS id, round({' + '.join(_LN.format(w) for w in ('licensed', 'under', 'the'))}, 6) AS rank FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' licensed under the ') AND NOT {_HAS.format('apache')}")
+def _add_text(name, query, sql):
+    QUERIES[name] = lambda spark, sf_dir: _index(spark, sf_dir).search(query).select("id", F.round("rank", 6).alias("rank"))
+    ORACLES[name] = f"SELECT doc_id AS id, round({sql[0]}, 6) AS rank FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE {sql[1]}"
+
+
+# the forms of each stem that an English text can have
+_FORM = {"licens": "license licensed licenses licensing", "token": "token tokens tokenize tokenized", "version": "version versions", "grant": "grant grants granted granting"}
+_ANY = lambda s: "len(list_intersect(t, [" + ", ".join(f"'{w}'" for w in _FORM[s].split()) + "])) > 0"
+_LOG = lambda s: "ln(1 + len(list_filter(t, lambda x: x IN (" + ", ".join(f"'{w}'" for w in _FORM[s].split()) + "))))"
+_add_text("stemmed_search", "licensing versions OR tokens -granting", (" + ".join(map(_LOG, ("licens", "token", "version"))), f"{_ANY('licens')} AND ({_ANY('version')} OR {_ANY('token')}) AND NOT {_ANY('grant')}"))
+_PHRASE = "len(list_filter(range(1, len(t) - 1), lambda i: t[i] IN ('license', 'licensed', 'licenses', 'licensing') AND t[i + 1] = 'under' AND t[i + 2] = 'the')) > 0"
+QUERIES["stemmed_phrase"] = lambda spark, sf_dir: _index(spark, sf_dir).search('"licensing under the" -tokens').select("id")
+ORACLES["stemmed_phrase"] = f"SELECT doc_id AS id FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE {_PHRASE} AND NOT {_ANY('token')}"
 add_table("postings", "documents", lambda t: search.postings(t, "doc_id", "text").select("term", "id", "tf"), f"SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY 1, 2")
 
 
