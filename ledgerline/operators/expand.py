@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerline.functions import normalize as nz
 from ledgerline.storage import stage
 
+from .upkeep import residual
+
 
 def phrase_family(text: Column, phrases: list[str], labels: Column | None = None, noise: tuple[str, ...] = ()) -> Column:
     """Any of some phrases, outside the mail that carries a noise label."""
@@ -42,3 +44,42 @@ def expand(messages: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
         used = keys if used is None else used.unionByName(keys)
         seen = seen.unionByName(fresh)
     return seen
+
+
+#: Kinds of what a frontier holds, in the order in which a message is put down to them.
+KINDS = {"d": "domain", "a": "address", "t": "thread"}
+
+
+def expand_record(messages: DataFrame, seeds: DataFrame, own_address: str = "", hops: int = 4) -> DataFrame:
+    """(id, hop, via): mail found by seeds, then through domains, addresses and threads of what was found and matters, and at last by one residual pass.
+
+    What matters in a hop offers its correspondents' domains, their addresses, and its thread; domains of shared providers and of services that all use lead nowhere, and
+    neither do automated addresses, the own one, and threads without own outbound mail. A domain finds mail of the domains under it too. When nothing new is offered, or after so many hops,
+    mail that is addressed to the own account and carries no noise label is taken in, once; nothing is harvested from that.
+    via: seed, domain, address, thread (the first of these) or residual. messages: id, thread_id, direction, addresses (sender first), labels, matters.
+    """
+    own = own_address.lower()
+    each = messages.select("id", "matters", F.explode("addresses").alias("address")).withColumn("address", F.lower(F.trim("address"))).filter(F.contains("address", F.lit("@")) & (F.col("address") != own))
+    each = each.withColumn("domain", nz.domain_of(F.col("address")))
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), c).alias("key")
+    answered = messages.filter("direction = 'outbound'").select("thread_id").distinct()
+    threads = messages.filter("thread_id IS NOT NULL").join(answered, "thread_id", "left_semi").select("id", "matters", key("t", F.col("thread_id")))
+    leads = (F.col("domain") != "") & ~nz.generic(F.col("domain")) & ~F.col("domain").isin(*nz.NEVER_RULED)
+    offers = each.filter(leads).select("id", "matters", key("d", F.col("domain"))).unionByName(each.filter(nz.automated(F.col("address")).isNull()).select("id", "matters", key("a", F.col("address")))).unionByName(threads)
+    offers = stage(offers.filter("matters").select("id", "key").distinct())
+    meets = each.select("id", F.explode(nz.suffixes(F.col("domain"))).alias("d")).select("id", key("d", F.col("d"))).unionByName(each.select("id", key("a", F.col("address")))).unionByName(threads.select("id", "key"))
+    meets = stage(meets.distinct())
+    seen = stage(seeds.select("id").distinct().withColumn("hop", F.lit(0)).withColumn("via", F.lit("seed")))
+    used, last = None, 0
+    for hop in range(1, hops + 1):
+        keys = offers.join(seen.filter(F.col("hop") == hop - 1).select("id"), "id", "left_semi").select("key").distinct()
+        keys = stage(keys if used is None else keys.join(used, "key", "left_anti"))
+        order = F.when(F.col("key").startswith("d:"), 0).when(F.col("key").startswith("a:"), 1).otherwise(2)
+        found = meets.join(keys, "key").join(seen, "id", "left_anti").groupBy("id").agg(F.min(order).alias("k"))
+        fresh = stage(found.select("id", F.lit(hop).alias("hop"), F.element_at(F.array(*map(F.lit, KINDS.values())), F.col("k") + 1).alias("via")))
+        if not fresh.limit(1).count():
+            break
+        used = keys if used is None else used.unionByName(keys)
+        seen, last = seen.unionByName(fresh), hop
+    rest = messages.filter(residual(own_address)).select("id").distinct().join(seen, "id", "left_anti")
+    return seen.unionByName(rest.select("id", F.lit(last + 1).alias("hop"), F.lit("residual").alias("via")))

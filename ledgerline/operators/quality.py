@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions import normalize as nz
 from ledgerline.schemas import STAGES
 
 
@@ -62,3 +63,36 @@ def retrieval_scorecard(flagged: DataFrame, families: list[str], gold: str) -> D
     counts = each.groupBy("layer", "family").agg(F.count_if("hit").alias("fetched"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("hit") & F.col("gold")).alias("found"), F.count_if("gold").alias("wanted"))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return counts.select("layer", "family", "fetched", rate("fetched", "n").alias("share"), rate("found", "wanted").alias("recall"), rate("found", "fetched").alias("precision"))
+
+
+def same_company(one: Column, other: Column) -> Column:
+    """Whether two names mean one company: of their letters and digits one begins with the other; without a name nothing matches."""
+    flat = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "")
+    a, b = flat(one), flat(other)
+    return (a != "") & (b != "") & (a.startswith(b) | b.startswith(a))
+
+
+def classification_scorecard(rows: DataFrame) -> DataFrame:
+    """One row: how predictions do against gold, pooled over all mail.
+
+    Precision, recall and F1 of what isn't called negative; the share that is resolved either way; right stages and companies of job mail (null where there is
+    none of a stage); recall on automated senders; noise that was dropped; and the webmail guard: job mail from a shared provider's address whose company isn't the provider. A part without
+    mail scores 1, and its count says so. rows: label, stage, company, sender_address, gold_related, gold_stage, gold_company.
+    """
+    called, related = F.coalesce(F.col("label") != "negative", F.lit(True)), F.col("gold_related")
+    domain = nz.domain_of(F.lower("sender_address"))
+    automated = related & nz.automated(F.lower("sender_address")).isNotNull()
+    webmail = related & nz.generic(domain)
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    counts = rows.agg(
+        n(called & related).alias("tp"), n(called & ~related).alias("fp"), n(~called & related).alias("fn"), F.count(F.lit(1)).alias("n"), n(F.col("label").isin("positive", "negative")).alias("resolved"), n(related).alias("jobs"),
+        n(related & F.col("stage").eqNullSafe(F.col("gold_stage"))).alias("stages"), n(related & same_company(F.col("company"), F.col("gold_company"))).alias("companies"), n(automated).alias("automated_n"), n(automated & called).alias("kept"),
+        n(~related).alias("noise_n"), n(~related & ~called).alias("dropped"), n(webmail).alias("webmail_n"), n(webmail & ~same_company(F.col("company"), F.substring_index(domain, ".", 1))).alias("guarded"),
+    )
+    share = lambda hit, of, none: F.when(F.col(of) > 0, F.col(hit) / F.col(of)).otherwise(F.lit(none))
+    precision, recall = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0), F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
+    return counts.select(
+        precision.alias("precision"), recall.alias("recall"), F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0).alias("f1"), share("resolved", "n", 0.0).alias("resolution_rate"),
+        share("stages", "jobs", 0.0).alias("stage_accuracy"), share("companies", "jobs", 0.0).alias("company_accuracy"), share("kept", "automated_n", 1.0).alias("automated_recall"), "automated_n",
+        share("dropped", "noise_n", 1.0).alias("noise_accuracy"), "noise_n", share("guarded", "webmail_n", 1.0).alias("webmail_guard"), "webmail_n",
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import expand
 from ledgerline.operators import upkeep as up
 
 from .adapters import record
@@ -135,3 +136,32 @@ add("teach_batch_mail", lambda r: _taught(r)["messages"].select("id", "company_i
     _TEACHES + """, eff AS (SELECT d, CASE WHEN k IS NULL THEN l.w.v ELSE cat.w.v END AS v, CASE WHEN k IS NULL THEN l.w.c ELSE cat.w.c END AS c FROM (SELECT d, w, w.k AS k FROM last) l LEFT JOIN cat ON cat.category = l.k)
 SELECT m.id, CASE WHEN classified_by IS DISTINCT FROM 'model-x' AND v = 'positive' THEN c END AS company_id,
   CASE WHEN classified_by = 'model-x' THEN 'model-x' WHEN v = 'positive' THEN 'rule:learned' WHEN v = 'negative' THEN 'rule:negative' END AS classified_by FROM message m LEFT JOIN eff ON d = m.company_id % 300""")
+
+
+# expansion over domains, addresses and threads, with one residual pass
+def _retrieval(r):
+    mail = r.message.join(r.correspondence.select("id", "a1", "a2", "label"), "id")
+    own = F.lit("Me@own.example")
+    people = F.when(F.col("direction") == "outbound", F.array(own, "a1")).when(F.col("application_id") % 40 == 0, F.array("a1", own)).otherwise(F.array("a1", F.lit("list@lists.example")))
+    return mail.select("id", "thread_id", "direction", people.alias("addresses"), F.array_compact(F.array("label")).alias("labels"), (F.col("application_id") % 97 == 3).alias("matters"), "application_id")
+
+
+def _expanded(r):
+    mail = _retrieval(r)
+    return expand.expand_record(mail, mail.filter("application_id % 97 = 3 AND application_id % 5 = 3 AND direction = 'outbound'"), "me@own.example")
+
+
+_HOP = """, k{h} AS MATERIALIZED (SELECT DISTINCT key FROM offers WHERE id IN (SELECT id FROM h{p}){used}),
+h{h} AS MATERIALIZED (SELECT id, min(CASE WHEN key LIKE 'd:%' THEN 0 WHEN key LIKE 'a:%' THEN 1 ELSE 2 END) AS k FROM meets WHERE key IN (SELECT key FROM k{h}){seen} GROUP BY 1)"""
+_HOPS = "".join(_HOP.format(h=h, p=h - 1, used="".join(f" AND key NOT IN (SELECT key FROM k{g})" for g in range(1, h)), seen="".join(f" AND id NOT IN (SELECT id FROM h{g})" for g in range(h))) for h in range(1, 5))
+add(
+    "expand_record", _expanded,
+    f""", x AS (SELECT m.id, thread_id, direction, application_id AS app, lower(a1) AS a1, label, direction <> 'outbound' AND application_id % 40 = 0 AS mine, direction <> 'outbound' AND application_id % 40 <> 0 AS listed FROM message m JOIN correspondence USING (id)),
+p AS (SELECT id, app, a1 AS address, split_part(a1, '@', 2) AS domain FROM x UNION ALL SELECT id, app, 'list@lists.example', 'lists.example' FROM x WHERE listed),
+th AS (SELECT id, app, 't:' || thread_id AS key FROM x WHERE thread_id IN (SELECT thread_id FROM x WHERE direction = 'outbound')),
+offers AS MATERIALIZED (SELECT DISTINCT id, key FROM (SELECT id, app, 'd:' || domain AS key FROM p UNION ALL SELECT id, app, 'a:' || address FROM p UNION ALL SELECT id, app, key FROM th) WHERE app % 97 = 3),
+meets AS MATERIALIZED (SELECT DISTINCT id, key FROM (SELECT id, 'd:' || domain AS key FROM p UNION ALL SELECT id, 'd:' || replace(domain, 'mail.', '') FROM p UNION ALL SELECT id, 'a:' || address FROM p UNION ALL SELECT id, key FROM th)),
+h0 AS MATERIALIZED (SELECT DISTINCT id FROM x WHERE app % 97 = 3 AND app % 5 = 3 AND direction = 'outbound'){_HOPS},
+seen AS MATERIALIZED (SELECT id, 0 AS hop, 'seed' AS via FROM h0 {"".join(f" UNION ALL SELECT id, {h}, ['domain', 'address', 'thread'][k + 1] FROM h{h}" for h in range(1, 5))})
+SELECT id, hop, via FROM seen UNION ALL SELECT id, (SELECT coalesce(max(hop), 0) FROM seen) + 1, 'residual' FROM x WHERE mine AND label IS NULL AND id NOT IN (SELECT id FROM seen)""",
+)
