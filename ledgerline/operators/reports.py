@@ -43,6 +43,22 @@ def company_timelines(rec) -> DataFrame:
     return rows.fillna(0, ["messages", "unlinked", "applications", "claims"]).withColumn("years", F.year("last_at") - F.year("first_at") + 1)
 
 
+def timeline_entries(rec, contacts: DataFrame | None = None) -> DataFrame:
+    """(company_id, kind, application_id, at, name, evidence): what each company's timeline is made of, a row an entry.
+
+    Applications with what settled them, the claims of the generation that each application shows, with their evidence, and people (contacts: company_id, identifier). Rows, and no nested
+    arrays: a company with a large share of all mail has as many as it needs, and a page of one company is a filter.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    apps = rec.application.select("company_id", F.lit("application").alias("kind"), F.col("id").alias("application_id"), F.col("started_at").alias("at"), F.coalesce("outcome", "role_title").alias("name"), none("string").alias("evidence"))
+    claims = current_events(rec).select("company_id", F.lit("claim").alias("kind"), "application_id", F.col("occurred_at").alias("at"), F.col("stage").alias("name"), F.col("evidence_message_id").alias("evidence"))
+    out = apps.unionByName(claims)
+    if contacts is not None:
+        people = contacts.select("company_id", F.lit("person").alias("kind"), none("long").alias("application_id"), none(claims.schema["at"].dataType).alias("at"), F.col("identifier").alias("name"), none("string").alias("evidence")).distinct()
+        out = out.unionByName(people)
+    return out
+
+
 def fingerprints(rec) -> DataFrame:
     """(company_id, fingerprint) that changes when a company's mail or stages do."""
     mail = rec.message.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.max("sent_at").alias("sent"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize as nz
@@ -335,8 +335,62 @@ def silences(rec, at=None, cold_after: int = GHOSTED_AFTER - 7, ghosted_after: i
 def briefing_order(rows: DataFrame, by: str = "stage") -> DataFrame:
     """Rows of a briefing with their position: by company, stage (the furthest first), silence (the longest first) or touch (the newest first).
 
-    Columns: application_id, canonical_name, stage, sent_at. A position is a global order, so a briefing is small: one row an open application.
+    Columns: application_id, canonical_name, stage, sent_at. Positions are counted over ranges of the order, in as many tasks as there are.
     """
     rank = F.coalesce(F.create_map(*[x for i, s in enumerate(OFFER_RANK) for x in (F.lit(s), F.lit(i))])[F.col("stage")], F.lit(-1))
     order = {"company": [F.lower("canonical_name")], "stage": [F.desc(rank)], "silence": [F.asc_nulls_last("sent_at")], "touch": [F.desc_nulls_last("sent_at")]}[by]
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order, "application_id")))
+    return numbered(rows, [*order, F.col("application_id").asc()])
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """rows with their place, from 1, in a global order: dealt by ranges of it, and the counts of the ranges before are added. Ties beyond the order have no defined place."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stage(dealt).withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).orderBy("_part").collect()  # a row for each task
+    shifts, before = [], 0
+    for r in counts:
+        shifts.append((r["_part"], before - r["first"] + 1))
+        before += r["n"]
+    held = rows.sparkSession.createDataFrame(shifts, "_part long, _shift long")
+    return placed.join(held, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
+def carry_people(messages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, links) with company, application and contact, and the agency beside them, from the newest resolved mail of the thread where a message has no company.
+
+    links: message_id, company_id, role; of a message's agencies the smallest is carried. messages: id, thread_id, sent_at, company_id, application_id, contact_id.
+    """
+    agency = links.filter("role = 'agency'").groupBy(F.col("message_id").alias("id")).agg(F.min("company_id").alias("_agency"))
+    top = messages.filter("company_id IS NOT NULL AND thread_id IS NOT NULL").groupBy("thread_id").agg(F.max_by(F.struct("id", "company_id", "application_id", "contact_id"), F.struct("sent_at", "id")).alias("_top"))
+    held = top.join(agency, F.col("_top.id") == F.col("id"), "left").select("thread_id", "_top", "_agency")
+    rows = messages.join(held, "thread_id", "left").withColumn("_open", F.col("company_id").isNull() & F.col("_top").isNotNull())
+    given = lambda c: F.when(F.col("_open"), F.col(f"_top.{c}")).otherwise(F.col(c)).alias(c)
+    carried = rows.select(*[given(c) if c in ("company_id", "application_id", "contact_id") else F.col(c) for c in messages.columns])
+    more = rows.filter("_open AND _agency IS NOT NULL").select(F.col("id").alias("message_id"), F.col("_agency").alias("company_id"), F.lit("agency").alias("role"))
+    return carried, links.unionByName(more.select(*links.columns)).distinct()
+
+
+def triage_negatives(rejected: DataFrame, known: DataFrame, own_address: str = "") -> DataFrame:
+    """known with address rules for senders that triage rejected: a glance at a few words never rules out a domain, and senders that a rule covers are left alone.
+
+    rejected: id, sender_address.
+    """
+    low = rejected.select("id", F.lower(F.trim("sender_address")).alias("address")).filter(F.contains("address", F.lit("@")) & (F.col("address") != own_address.lower()))
+    covered = rules.match_rules(low.select("id", F.array("address").alias("addresses")), known).select("id")
+    values = low.join(covered, "id", "left_anti").select("address").distinct()
+    given = {"match_type": F.lit("address"), "value": F.col("address"), "verdict": F.lit("negative"), "source": F.lit("auto")}
+    return known.unionByName(values.select(*[given.get(c, F.lit(None).cast(known.schema[c].dataType)).alias(c) for c in known.columns]))
+
+
+def teach_from_misses(misses: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
+    """known after an audit's misses (id, sender_address): addresses missed ``most`` times or more get a negative rule where none stands, and positive domain rules
+    that the machine made and that linked missed mail become undecided: content is read again, nothing is silenced."""
+    low = misses.select(F.lower(F.trim("sender_address")).alias("address")).filter(F.contains("address", F.lit("@")))
+    often = low.groupBy("address").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most)
+    domains = low.select(nz.domain_of(F.col("address")).alias("_d")).distinct().withColumn("_missed", F.lit(True))
+    rows = known.withColumn("_d", F.lower("value")).join(domains, "_d", "left")
+    doubtful = F.col("_missed").isNotNull() & (F.col("match_type") == "domain") & (F.col("verdict") == "positive") & (F.col("source") == "auto")
+    held = rows.withColumn("verdict", F.when(F.coalesce(doubtful, F.lit(False)), "undecided").otherwise(F.col("verdict"))).select(*known.columns)
+    given = {"match_type": F.lit("address"), "value": F.col("address"), "verdict": F.lit("negative"), "source": F.lit("audit")}
+    new = often.select(*[given.get(c, F.lit(None).cast(known.schema[c].dataType)).alias(c) for c in known.columns])
+    return mutate.insert_absent(held, new, ["match_type", "value"], ["verdict"])

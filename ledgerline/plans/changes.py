@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import expand
+from ledgerline.operators import reports as rp
 from ledgerline.operators import upkeep as up
 
 from .adapters import record
@@ -165,3 +166,38 @@ h0 AS MATERIALIZED (SELECT DISTINCT id FROM x WHERE app % 97 = 3 AND app % 5 = 3
 seen AS MATERIALIZED (SELECT id, 0 AS hop, 'seed' AS via FROM h0 {"".join(f" UNION ALL SELECT id, {h}, ['domain', 'address', 'thread'][k + 1] FROM h{h}" for h in range(1, 5))})
 SELECT id, hop, via FROM seen UNION ALL SELECT id, (SELECT coalesce(max(hop), 0) FROM seen) + 1, 'residual' FROM x WHERE mine AND label IS NULL AND id NOT IN (SELECT id FROM seen)""",
 )
+
+
+# what a thread carries beside company and application
+def _people_mail(r):
+    mail = r.message.select("id", F.expr("CASE WHEN application_id % 2 = 0 THEN concat('c', CAST(company_id AS STRING)) ELSE thread_id END").alias("thread_id"), "sent_at", F.expr("CASE WHEN classified_by = 'model-x' THEN company_id END").alias("company_id"),
+                            F.expr("CASE WHEN classified_by = 'model-x' THEN application_id END").alias("application_id"), F.expr("CASE WHEN classified_by = 'model-x' AND application_id % 3 = 0 THEN concat('p', CAST(application_id AS STRING)) END").alias("contact_id"))
+    links = mail.filter("company_id % 5 = 0").select(F.col("id").alias("message_id"), (F.col("company_id") + 1).alias("company_id"), F.expr("CASE WHEN application_id % 4 = 0 THEN 'other' ELSE 'agency' END").alias("role"))
+    return up.carry_people(mail, links)
+
+
+_PEOPLE = """, f AS (SELECT id, CASE WHEN application_id % 2 = 0 THEN concat('c', company_id) ELSE thread_id END AS t, sent_at, CASE WHEN classified_by = 'model-x' THEN company_id END AS c, CASE WHEN classified_by = 'model-x' THEN application_id END AS a,
+  CASE WHEN classified_by = 'model-x' AND application_id % 3 = 0 THEN concat('p', application_id) END AS p FROM message),
+l AS (SELECT id, c + 1 AS agency, CASE WHEN a % 4 = 0 THEN 'other' ELSE 'agency' END AS role FROM f WHERE c % 5 = 0),
+top AS (SELECT t, arg_max({'i': id, 'c': c, 'a': a, 'p': p}, {'s': sent_at, 'i': id}) AS r FROM f WHERE c IS NOT NULL GROUP BY 1)"""
+add("carry_people", lambda r: _people_mail(r)[0].select("id", "company_id", "application_id", "contact_id"), _PEOPLE + " SELECT id, coalesce(c, r.c) AS company_id, CASE WHEN c IS NULL THEN r.a ELSE a END AS application_id, CASE WHEN c IS NULL THEN r.p ELSE p END AS contact_id FROM f LEFT JOIN top USING (t)")
+add("carry_agencies", lambda r: _people_mail(r)[1], _PEOPLE + " SELECT id AS message_id, agency AS company_id, role FROM l UNION SELECT f.id, l.agency, 'agency' FROM f JOIN top USING (t) JOIN l ON l.id = top.r.i WHERE f.c IS NULL AND l.role = 'agency'")
+# rules from triage and from audits
+_BY = lambda r: r.correspondence.select("id", F.col("a2").alias("sender_address"), "bulk", "known_contact")
+add(
+    "triage_negatives", lambda r: up.triage_negatives(_BY(r).filter("bulk"), r.sender_rule, "p3@s3.example").select("match_type", "value", "verdict", "source"),
+    """SELECT match_type, value, verdict, source FROM sender_rule UNION ALL SELECT 'address', a, 'negative', 'auto' FROM (SELECT DISTINCT a2 AS a, split_part(a2, '@', 2) AS d FROM correspondence WHERE bulk AND a2 <> 'p3@s3.example')
+WHERE NOT EXISTS (SELECT 1 FROM sender_rule u WHERE (u.match_type = 'domain' AND u.value = d) OR (u.match_type = 'address' AND u.value = a))""",
+)
+_AUTO = lambda r: r.sender_rule.withColumn("source", F.when(F.col("source") == "llm", "auto").otherwise(F.col("source"))).withColumn("verdict", F.when(F.col("source") == "auto", "positive").otherwise(F.col("verdict")))
+add(
+    "rules_after_misses", lambda r: up.teach_from_misses(_BY(r).filter("known_contact AND bulk"), _AUTO(r)).select("match_type", "value", "verdict", "source"),
+    """, miss AS (SELECT a2 AS a, split_part(a2, '@', 2) AS d FROM correspondence WHERE known_contact AND bulk), auto AS (SELECT match_type, value, CASE WHEN source = 'llm' THEN 'positive' ELSE verdict END AS verdict, CASE WHEN source = 'llm' THEN 'auto' ELSE source END AS source FROM sender_rule)
+SELECT match_type, value, CASE WHEN match_type = 'domain' AND verdict = 'positive' AND source = 'auto' AND value IN (SELECT d FROM miss) THEN 'undecided' ELSE verdict END AS verdict, source FROM auto
+UNION ALL SELECT 'address', a, 'negative', 'audit' FROM miss WHERE a NOT IN (SELECT value FROM auto WHERE match_type = 'address') GROUP BY a HAVING count(*) >= 3""",
+)
+add(
+    "timeline_entries", lambda r: rp.timeline_entries(r, r.message.select("company_id", F.concat(F.lit("hr@"), "sender_domain").alias("identifier"))).select("company_id", "kind", "application_id", "at", "name", "evidence"),
+    """SELECT company_id, 'application' AS kind, id AS application_id, CAST(started_at AS TIMESTAMP) AS at, coalesce(outcome, role_title) AS name, NULL AS evidence FROM application
+UNION ALL SELECT company_id, 'claim', application_id, occurred_at, stage, evidence_message_id FROM cur UNION ALL SELECT DISTINCT company_id, 'person', NULL, NULL, 'hr@' || sender_domain, NULL FROM message""",
+)
