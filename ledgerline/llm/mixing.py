@@ -23,7 +23,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -46,26 +46,38 @@ def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     cap * size / weight, the ones that stop at their cap come first; ``level`` is the words a unit of
     weight gets when the first k stop, and the right k is the first at which the next one doesn't.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    ranked = by_source.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = ranked.select(
-        "*",
-        (
-            (F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-            / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        ).alias("level"),
-    )
-    fits = level.withColumn("fits", F.when(F.col("level") * F.col("weight") <= cap * F.col("source_size"), F.col("level")))
-    chosen = F.first("fits", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return fits.select(
+    by_source = stage(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
+    named, _ = _ordered(by_source, [F.col("source").asc_nulls_last()], [])
+    ranked = named.withColumn("weight", F.col("before_rows") % 3 + 1).drop("before_rows")
+    ratio = F.col("source_size") / F.col("weight")
+    rows, (size, weight) = _ordered(ranked, [ratio.asc(), F.col("source").asc_nulls_last()], ["source_size", "weight"])
+    level = (F.lit(size) - cap * F.col("before_source_size")) / (F.lit(weight) - F.col("before_weight"))
+    fits = rows.withColumn("level", level).filter(F.col("level") * F.col("weight") <= cap * F.col("source_size"))
+    chosen = fits.agg(F.min_by("level", "before_rows")).first()[0]
+    return rows.select(
         "source", "source_size", "n_docs", "weight",
-        F.coalesce(F.least(cap * F.col("source_size").cast("double"), chosen * F.col("weight")), F.lit(0.0)).alias("target"),
+        F.coalesce(F.least(cap * F.col("source_size").cast("double"), F.lit(chosen).cast("double") * F.col("weight")), F.lit(0.0)).alias("target"),
     )
 
 
+def _ordered(rows: DataFrame, order: list[Column], columns: list[str]) -> tuple[DataFrame, list[int]]:
+    """rows with before_rows and the sums of columns before each in a global order, and the sums of all.
+
+    Rows are dealt by ranges of the order, so that any number of sources lies in many tasks; what each range adds up to, a row for each task, says what the next ones begin with.
+    """
+    placed = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    sums = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in columns]).orderBy("__part").collect()
+    names, held, base = ["rows", *columns], [0] * (1 + len(columns)), []
+    for r in sums:
+        base.append((r["__part"], *held))
+        held = [h + (r[n] or 0) for h, n in zip(held, names, strict=True)]
+    starts = rows.sparkSession.createDataFrame(base, "__part long, " + ", ".join(f"__{n} long" for n in names))
+    own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = {n: F.coalesce((F.count(F.lit(1)) if n == "rows" else F.sum(n)).over(own), F.lit(0)) for n in names}
+    out = placed.join(starts, "__part").select(*rows.columns, *[(F.col(f"__{n}") + ahead[n]).alias(f"before_{n}") for n in names])
+    return out, held[1:]
+
+
 def _pivot(level: int, last: bool, seed: int):
     return lambda pdf: _trade(pdf, level, last, seed)
 
