@@ -14,8 +14,8 @@ logistic curve fitted to the labelled texts. Landmarks with characters put betwe
 further positives.
 
 Fitting takes at most SAMPLE labelled rows of each class, those with the smallest hashes of their
-identifiers, of which texts of more than LONGEST characters don't take part and of a repeated identifier one
-text does, and is done on the driver; scoring runs in the executors over whole texts.
+identifiers, of longer texts a stretch of LONGEST characters from a place by hash and of a repeated identifier one
+text, and is done on the driver; scoring runs in the executors over whole texts.
 
 Defined results: null, empty and wordless texts get the score of a sentence without any resemblance;
 labels that are null are left out, and an identifier with several labels counts as toxic if one says
@@ -332,7 +332,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_hash = [F.xxhash64("__id"), F.col("__id")]
     some = known.filter("__y = 1").orderBy(*by_hash).limit(sample).unionByName(known.filter("__y <> 1").orderBy(*by_hash).limit(sample))
     # at most 2 * sample rows of bounded texts: small enough to send whatever the size of the corpus
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).filter(F.length("__text") <= longest)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # of a longer text a stretch from a place by hash
+    start = (1 + F.pmod(F.xxhash64(text), F.greatest(F.length(text) - longest + 1, F.lit(1)))).cast("int")
+    texts = docs.select(F.col(id_col).alias("__id"), F.when(F.length(text) <= longest, text).otherwise(F.substring(text, start, F.lit(longest))).alias("__text"))
     rows = texts.join(F.broadcast(some), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy("__id").select("__text", "__y").collect()
     return fit([r["__text"] for r in rows], [int(r["__y"] == 1) for r in rows])
 

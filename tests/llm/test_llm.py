@@ -674,6 +674,31 @@ def test_mix_comes_near_its_targets(spark, block):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    """Sources like hosts, more than a task should hold: weights by name, targets by water level, as for few."""
+    rng = random.Random(12)
+    sizes = {f"host{rng.randrange(10**6)}.example": rng.choice([0, 1, 5, 100, 10_000]) for _ in range(3000)} | {None: 77}
+    rows = [(s, n) for s, n in sizes.items()]
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    want = brute_targets({s: sizes[s] for s in names})
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
+    assert mixing.source_targets(spark.createDataFrame([("a", 0), (None, 0)], "source string, size long")).select("target").distinct().first()["target"] == 0.0
+    long = spark.createDataFrame([(1, "w " * 2_000_000, "a"), (2, "x", "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_sources(long).collect()} == {1: 2_000_000, 2: 1}
+
+
+def test_long_labelled_texts_take_part_in_fitting(spark):
+    """Where all toxic texts are long, a stretch of each is fitted, and texts are still told apart."""
+    insult = "you are a worthless idiot . "
+    rows = [(i, (insult if i % 2 else "the house is green today . ") * 60, int(i % 2)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, longest=300)
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == bool(y) for i, _, y in rows)
+
+
 def test_repeated_rows_are_dealt_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "REPEATS", 7)
     rows = [(1, "a b", "https://x/1", 5)] * 400 + [(i, "c d e", "https://x/2", 6) for i in range(50)]
