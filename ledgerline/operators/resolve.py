@@ -175,12 +175,12 @@ def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, fold = object(), Applications()
     for pdf in batches:
         out = []
-        for name, part in pdf.groupby(["company_id", "segment"], sort=False, dropna=False):
-            if name != key:
-                key, fold = name, Applications()
-            out.append(fold.add(part))
-        if out:
-            yield pd.concat(out)
+        times = pd.DatetimeIndex(pdf["at"]).to_pydatetime()
+        for mention, company, segment, role, at, ends in zip(pdf["id"], pdf["company_id"], pdf["segment"], pdf["role"], times, pdf["ends"], strict=True):
+            if (company, segment) != key:
+                key, fold = (company, segment), Applications()
+            out.append(fold.take(mention, company, at, role if isinstance(role, str) and role else None, bool(ends)))
+        yield pd.DataFrame({"id": pdf["id"].astype(str), "company_id": pdf["company_id"], "application": out})
 
 
 def cut_mentions(mentions: DataFrame) -> DataFrame:
@@ -189,18 +189,19 @@ def cut_mentions(mentions: DataFrame) -> DataFrame:
     Silences of more than 45 days make blocks. A block leaves nothing open if all its mentions are endings, or if it has one role,
     or none, throughout and its last mention is an ending (then one application at most is near at any time, and that
     mention ends it). As long as all blocks of a company so far are like that, the next begins a segment of its own.
+    All of it is windows over a company's mentions, which are shuffled once.
     """
-    by_time = Window.partitionBy("company_id").orderBy("at", "id")
+    of_company, of_block = Window.partitionBy("company_id"), Window.partitionBy("company_id", "block")
+    by_time, by_block = of_company.orderBy("at", "id"), of_company.orderBy("block")
     gap = F.col("at") > F.lag("at").over(by_time) + F.make_dt_interval(F.lit(WINDOW_DAYS))
     rows = mentions.withColumn("block", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    role = F.coalesce("role", F.lit(""))
-    ends = F.coalesce("ends", F.lit(False))
-    blocks = rows.groupBy("company_id", "block").agg((F.bool_and(ends) | ((F.min(role) == F.max(role)) & F.max_by(ends, F.struct("at", "id")))).alias("closed"))
-    before = Window.partitionBy("company_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("company_id", "block", F.when(F.coalesce(F.bool_and("closed").over(before), F.lit(True)), F.col("block")).alias("own"))
-    since = Window.partitionBy("company_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.select("company_id", "block", F.last("own", ignorenulls=True).over(since).alias("segment"))
-    return rows.join(blocks, ["company_id", "block"]).drop("block")
+    whole = of_block.orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    role, ends = F.coalesce("role", F.lit("")), F.coalesce("ends", F.lit(False))
+    closed = F.bool_and(ends).over(whole) | ((F.min(role).over(whole) == F.max(role).over(whole)) & F.last(ends).over(whole))
+    before = F.max((~F.col("closed")).cast("int")).over(by_block.rangeBetween(Window.unboundedPreceding, -1))
+    own = F.when(F.coalesce(before, F.lit(0)) == 0, F.col("block"))
+    marked = rows.withColumn("closed", closed).withColumn("own", own)
+    return marked.withColumn("segment", F.max("own").over(by_block.rangeBetween(Window.unboundedPreceding, 0))).drop("block", "closed", "own")
 
 
 def assign_applications(mentions: DataFrame) -> DataFrame:

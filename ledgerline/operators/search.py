@@ -14,11 +14,19 @@ from pyspark.sql import functions as F
 from ledgerline.functions.stem import stem, stems
 
 
+def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pos, term): lower-case runs of letters and digits."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "term"))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, id, tf, positions): lower-case runs of letters and digits."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "term"))
-    return each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return _grouped(_words(docs, id_col, text_col))
+
+
+def _grouped(words: DataFrame) -> DataFrame:
+    return words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def parse_query(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
@@ -80,8 +88,8 @@ PARTS = 64
 class TextIndex:
     """Postings kept as a table, so that any number of queries share one pass over the documents.
 
-    ``postings`` lies in parts by hash of the term, and each part in files by document, so that a frequent term isn't one task's; ``dictionary`` has each
-    term once, with its stem and the documents that have it. A query reads the parts of its words alone.
+    ``postings`` has an occurrence a row, in parts by hash of the term, each part sorted and in files by document, so that a frequent term isn't one task's; ``dictionary``
+    has each term once, with its stem and how often it occurs. A query reads the parts of its words alone, and groups what it finds by document.
     """
 
     def __init__(self, spark, path: str) -> None:
@@ -89,13 +97,20 @@ class TextIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text_col: str, path: str) -> TextIndex:
-        """Write the index of some documents."""
-        rows = postings(docs, id_col, text_col).withColumn("part", cls._part(F.col("term"))).withColumn("_file", F.pmod(F.xxhash64("id"), F.lit(8)))
-        rows.repartition("part", "_file").drop("_file").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-        index = cls(docs.sparkSession, path)
-        words = index._table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-        words.withColumn("stem", stems(F.col("term"))).withColumn("part", cls._part(F.col("stem"))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/dictionary")
-        return index
+        """Write the occurrences of some documents, in one shuffle; the dictionary follows with the first search for stems."""
+        each = _words(docs, id_col, text_col).withColumn("part", cls._part(F.col("term"))).withColumn("file", F.pmod(F.xxhash64("id"), F.lit(4)))
+        rows = each.repartition("part", "file").sortWithinPartitions("part", "term").drop("file")
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        return cls(docs.sparkSession, path)
+
+    def _dictionary(self) -> DataFrame:
+        """(term, stem, occurrences), written once."""
+        jvm = self.spark.sparkContext._jvm
+        done = jvm.org.apache.hadoop.fs.Path(f"{self.path}/dictionary/_SUCCESS")
+        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            words = self._table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"))
+            words.withColumn("stem", stems(F.col("term"))).repartitionByRange("stem").sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{self.path}/dictionary")
+        return self._table("dictionary")
 
     @staticmethod
     def _part(term: Column) -> Column:
@@ -104,22 +119,23 @@ class TextIndex:
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def _of(self, name: str, column: str, words: list[str]) -> DataFrame:
-        """Rows of some words; the parts are constants, so the others aren't read."""
-        return self._table(name).filter(F.col("part").isin([self._part(F.lit(w)) for w in words]) & F.col(column).isin(words))
+    def _of(self, words: list[str]) -> DataFrame:
+        """Postings of some words: their occurrences by document. The parts are constants, so the others aren't read."""
+        rows = self._table("postings")
+        rows = rows.filter(F.col("part").isin([self._part(F.lit(w)) for w in words]) & F.col("term").isin(words)) if words else rows.limit(0)
+        return _grouped(rows)
 
     def search(self, query: str, stemmed: bool = True) -> DataFrame:
         """(id, rank) as ``full_text`` has it; stemmed: words stand for all words of their stem, and so in phrases."""
         clauses, without = parse_query(query)
         asked = sorted({t for alt in [*[a for c in clauses for a in c], *without] for t in alt})
         if not asked:
-            return full_text(self._table("postings").drop("part"), query)
+            return full_text(self._of([]), query)
         if not stemmed:
-            return full_text(self._of("postings", "term", asked).drop("part"), query)
-        forms = self._of("dictionary", "stem", sorted({stem(t) for t in asked})).select("term", "stem")
+            return full_text(self._of(asked), query)
+        forms = self._dictionary().filter(F.col("stem").isin(sorted({stem(t) for t in asked}))).select("term", "stem")
         listed = [r["term"] for r in forms.collect()]  # inflections of the words asked for
-        found = self._of("postings", "term", listed).drop("part") if listed else self._table("postings").drop("part").limit(0)
-        merged = found.join(F.broadcast(forms), "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+        merged = self._of(listed).join(F.broadcast(forms), "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
         return full_text(merged, query, stem)
 
 

@@ -22,16 +22,17 @@ def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str) ->
     def add(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         good, bad = env.split_envelopes(batch)
-        keyed = stage(env.with_keys(good).withColumn("year", F.coalesce(F.date_format("occurred_at", "yyyy"), F.lit("unknown"))))
-        years = [r["year"] for r in keyed.select("year").distinct().collect()]  # a few; they prune the archive
+        dated = env.with_keys(good).withColumn("year", F.coalesce(F.date_format("occurred_at", "yyyy"), F.lit("unknown")))
+        keyed = stage(dated.withColumn("day", F.coalesce(F.date_format("occurred_at", "yyyy-MM-dd"), F.lit("unknown"))))
+        days = [r["day"] for r in keyed.select("day").distinct().collect()]  # those of one batch; they prune the archive
         try:
-            archive = session.read.schema(keyed.schema).parquet(f"{out}/archive").filter(F.col("year").isin(years))
+            archive = session.read.schema(keyed.schema).parquet(f"{out}/archive").filter(F.col("day").isin(days))
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             archive = None
-        # equal content has an equal key, in which its year is, so the other years need not be looked at
-        env.write_once(archive, keyed).write.mode("append").partitionBy("year", "source").parquet(f"{out}/archive")
+        # equal content has an equal key, in which its day is, so the other days need not be looked at
+        env.write_once(archive, keyed).write.mode("append").partitionBy("year", "day", "source").parquet(f"{out}/archive")
         bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
 
     return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
