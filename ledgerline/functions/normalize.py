@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Mail providers, applicant systems, schedulers and agencies, whose domain never names an employer.
-GENERIC_DOMAINS = (
+# Mail providers, applicant systems and schedulers, whose domain never names an employer.
+PROVIDERS = (
     "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "icloud.com", "me.com", "proton.me",
     "protonmail.com", "fastmail.com", "aol.com", "linkedin.com", "greenhouse.io", "lever.co", "ashbyhq.com", "myworkday.com",
-    "goodtime.io", "interviews.modernloop.io", "jkpartner.com", "mavenpartnership.com", "alldus.com", "cpi-search.com",
-    "acaciarecruits.com", "selbyjennings.com", "topfunneltalent.com", "brisktalent.com", "intelletec.com", "emaago.com",
+    "goodtime.io", "interviews.modernloop.io",
+)
+
+# Agencies of the mailbox that the rules were made on; a caller with another one gives its own.
+AGENCIES = (
+    "jkpartner.com", "mavenpartnership.com", "alldus.com", "cpi-search.com", "acaciarecruits.com", "selbyjennings.com", "topfunneltalent.com", "brisktalent.com", "intelletec.com", "emaago.com",
 )
 
 # Domains of mail, calendars, meetings and signatures, which rules made from summaries never touch.
@@ -92,9 +96,9 @@ def suffixes(domain: Column) -> Column:
     return F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
 
 
-def generic(domain: Column) -> Column:
-    """A shared provider's domain or one under it."""
-    return F.coalesce(F.arrays_overlap(suffixes(domain), _list(GENERIC_DOMAINS)), F.lit(False))
+def generic(domain: Column, agencies: tuple[str, ...] = AGENCIES) -> Column:
+    """A shared provider's domain or one under it, or one of the agencies that write for many employers: those differ from mailbox to mailbox."""
+    return F.coalesce(F.arrays_overlap(suffixes(domain), _list((*PROVIDERS, *agencies))), F.lit(False))
 
 
 def alias_forms(name: Column, domain: Column) -> Column:

@@ -216,14 +216,28 @@ def assign_applications(mentions: DataFrame) -> DataFrame:
     return cut_mentions(rows).repartition("company_id", "segment").sortWithinPartitions("company_id", "segment", "at", "id").mapInPandas(_assign, ASSIGNED)
 
 
+def _holding(hay: DataFrame, of_hay: str, needles: DataFrame, of_needle: str) -> DataFrame:
+    """(x, y): rows of hay whose text holds the text of y, met by the rarest three letters of the needle; one of one or two letters is met as it is.
+
+    A text offers its letters in ones, twos and threes, as many rows as it has characters three times over, and not all its pieces.
+    """
+    grams = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    offered = hay.select(F.col("id").alias("x"), F.col(of_hay).alias("_h"), F.explode(F.array_distinct(F.concat(*[grams(F.col(of_hay), n) for n in (1, 2, 3)]))).alias("key"))
+    asked = needles.select(F.col("id").alias("y"), F.col(of_needle).alias("_n"), F.explode(F.array_distinct(grams(F.col(of_needle), 3))).alias("key"))
+    often = offered.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    rarest = asked.join(often, "key", "left").groupBy("y", "_n").agg(F.min_by("key", F.struct(F.coalesce("often", F.lit(0)), "key")).alias("key"))
+    short = needles.filter(F.length(of_needle) < 3).select(F.col("id").alias("y"), F.col(of_needle).alias("_n"), F.col(of_needle).alias("key"))
+    return offered.join(rarest.unionByName(short), "key").filter(F.contains("_h", "_n")).select("x", "y")
+
+
 def merge_candidates(companies: DataFrame, limit: int | None = 200) -> DataFrame:
     """(left_id, right_id, reason, score): pairs that look like one company, in blocks of equal forms instead of all pairs.
 
     Equal normal names score 1.0, a name within another 0.9, an overlap of 0.6 of the shorter name 0.6, a name that is
     the other's domain label or holds it 0.8; different domains of their own, none under the other, forbid a merge.
     Pairs come from equal names, from words, and from labels. Of the shorter of two names that share 0.6 of its words one of
-    its rarest words is shared, so each name offers only as many of these as that takes; labels meet names through all
-    pieces of either. Nothing is left out.
+    its rarest words is shared, so each name offers only as many of these as that takes; labels meet names through the rarest
+    three letters of the one that is within the other. Nothing is left out.
     """
     own = F.when(~nz.generic(nz.normalise_domain(F.col("domain"))), nz.normalise_domain(F.col("domain")))
     rows = companies.select("id", nz.normalise_company(F.col("canonical_name")).alias("name"), own.alias("domain"))
@@ -233,12 +247,11 @@ def merge_candidates(companies: DataFrame, limit: int | None = 200) -> DataFrame
     counted = words.join(words.groupBy("key").agg(F.count(F.lit(1)).alias("often")), "key")
     rare = counted.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("often", "key"))).filter(F.col("nth") <= F.col("m") - F.ceil(F.col("m") * 0.6) + 1)
     met = rare.select("key", F.col("id").alias("x")).join(words.select("key", F.col("id").alias("y")), "key")
-    pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(F.col(c), i, n)))))).alias("key")
-    named, labelled_rows = rows.filter("name <> ''"), rows.filter("label <> ''")
-    in_name = named.select(F.col("id").alias("x"), pieces("name")).join(labelled_rows.select(F.col("id").alias("y"), F.col("label").alias("key")), "key")
-    in_name = in_name.unionByName(named.select(F.col("id").alias("x"), F.replace("name", F.lit(" "), F.lit("")).alias("key")).join(labelled_rows.select(F.col("id").alias("y"), F.col("label").alias("key")), "key"))
-    in_label = labelled_rows.select(F.col("id").alias("x"), pieces("label")).join(named.select(F.col("id").alias("y"), F.col("name").alias("key")), "key")
-    every = met.unionByName(in_name).unionByName(in_label).filter("x <> y")
+    named, labelled_rows = rows.filter("name <> ''").select("id", "name"), rows.filter("label <> ''").select("id", "label")
+    in_name = _holding(named, "name", labelled_rows, "label")
+    in_name = in_name.unionByName(named.select(F.col("id").alias("x"), F.replace("name", F.lit(" "), F.lit("")).alias("key")).join(labelled_rows.select(F.col("id").alias("y"), F.col("label").alias("key")), "key").select("x", "y"))
+    in_label = _holding(labelled_rows, "label", named, "name")
+    every = met.select("x", "y").unionByName(in_name).unionByName(in_label).filter("x <> y")
     pairs = every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     both = pairs.join(side("l"), F.col("a") == F.col("l_id")).join(side("r"), F.col("b") == F.col("r_id"))
     share = F.size(F.array_intersect("l_words", "r_words")) / F.nullif(F.least(F.size("l_words"), F.size("r_words")), F.lit(0))

@@ -122,3 +122,14 @@ def test_no_rule_about_the_own_mailbox(spark):
     candidates = spark.createDataFrame([(d, 0, 0) for d in ("calendly.com", "zoom.us", "own.example", "fine.example")] + [("read.example", 0, 2), ("held.example", 1, 0)], "sender_domain string, linked long, positive long")
     readings = candidates.selectExpr("sender_domain AS domain", "'negative' AS verdict")
     assert [r["value"] for r in upkeep.distilled(readings, candidates, known, "me@own.example").collect()] == ["fine.example"]
+
+
+def test_texts_within_texts_meet(spark):
+    """A rarest piece of the inner text brings every pair together, for short and long, equal and repeated texts."""
+    from ledgerline.operators import resolve
+
+    rng = random.Random(8)
+    hay = [(i, "".join(rng.choices("abc ", k=rng.randint(1, 12)))) for i in range(120)]
+    needles = [(1000 + i, "".join(rng.choices("abc", k=rng.randint(1, 5)))) for i in range(80)]
+    got = {(r["x"], r["y"]) for r in resolve._holding(spark.createDataFrame(hay, "id long, name string"), "name", spark.createDataFrame(needles, "id long, label string"), "label").collect()}
+    assert got == {(x, y) for x, h in hay for y, n in needles if n in h}
