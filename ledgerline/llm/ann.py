@@ -180,13 +180,14 @@ def calibrate(forest: list[Tree], points: np.ndarray, k: int, goal: float, rng:
     return float(np.quantile(needed, goal))
 
 
-def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The cosine of each row with the query in double precision, components added in order.
+def scaled(vectors) -> np.ndarray:
+    """Vectors brought near one by powers of two, which changes no digit of theirs and no cosine, so that no square over- or underflows."""
+    plain = np.asarray(list(vectors), np.float64)
+    return np.ldexp(plain, -np.frexp(np.abs(plain).max(axis=1, keepdims=True))[1]) if plain.size else plain
 
-    Vectors are brought near one by powers of two first, which changes no digit of theirs, so that no square over- or underflows.
-    """
-    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
-    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1]) if rows.size else rows
+
+def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The cosine of each row with the query in double precision, components added in order; of scaled vectors."""
     dot, qq, rr = np.zeros(len(rows)), 0.0, np.zeros(len(rows))
     for d in range(len(query)):
         dot += query[d] * rows[:, d]
@@ -221,7 +222,7 @@ class Share:
     """The vectors of one share, with their forest."""
 
     def __init__(self, rows: pd.DataFrame, k: int, trees: int, leaf: int, goal: float, seed: list[int]):
-        self.k, self.ids, self.have = k, list(rows["ids"]), np.asarray(list(rows["vector"]), np.float64)
+        self.k, self.ids, self.have = k, list(rows["ids"]), scaled(rows["vector"])
         self.points = units(self.have)
         self.forest = [Tree(self.points, leaf, np.random.default_rng([*seed, t])) for t in range(trees)]
         self.search = calibrate(self.forest, self.points, k, goal, np.random.default_rng(seed), queries=32)
@@ -234,9 +235,8 @@ class Share:
 
     def ask(self, query_ids: list[int], vectors) -> list[tuple]:
         out = []
-        for q, vector, unit in zip(query_ids, vectors, units(vectors), strict=True):
+        for q, vector, unit in zip(query_ids, scaled(vectors), units(vectors), strict=True):
             near = self.candidates(unit)
-            vector = np.asarray(vector, np.float64)
             rough = (self.points[near] @ unit)[None, :]
             out += best(rough, vector[None, :], self.have[near], [q], [self.ids[j] for j in near], self.k)
         return out
