@@ -16,7 +16,8 @@ holds one share, whatever the number of queries.
 Equal vectors have equal cosines, so of a class of equal vectors only the ``k + 1`` smallest identifiers
 can be in any answer, and only those go on (an exact reduction).
 
-Defined results: vectors that are null, all zero, or hold a null or a component that is not finite take
+Defined results: identifiers are whole numbers or text of their digits, and other text stops the job with Spark's
+cast error; vectors that are null, all zero, or hold a null or a component that is not finite take
 no part, as query or candidate; vectors of different lengths have no cosine and are searched apart, each
 length with all its vectors; ties go to the smaller identifier; rows without an identifier are left out;
 of rows that repeat an identifier with different vectors each is a candidate of its own, and the

@@ -17,7 +17,8 @@ There are as many partitions as PART n-grams in each need, so none outgrows memo
 the distinct n-grams of blocks. An n-gram costs a block one entry however often it occurs, so frequent
 words and phrases weigh no more than others.
 
-Defined results: null and wordless texts have the end mark alone; each row is scored as a document of its
+Defined results: identifiers are whole numbers or text of their digits, and other text stops the job with Spark's
+cast error; null and wordless texts have the end mark alone; each row is scored as a document of its
 own, also where rows share an identifier or have none; an empty table gives an empty result; a single row
 has no other to count; other columns are ignored.
 """

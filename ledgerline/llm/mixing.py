@@ -11,7 +11,8 @@ The trades run in blocks of bounded size that are hashed out of each source, so
 of all rows is many blocks; every block leaves one undecided document at most, and the undecided ones
 meet in a reduction tree whose fan-in is bounded.
 
-Defined results: null text has size 0; a null source is a source of its own, ordered last; an empty
+Defined results: identifiers are whole numbers or text of their digits, and other text stops the job with Spark's
+cast error; null text has size 0; a null source is a source of its own, ordered last; an empty
 table gives an empty result; repeated rows count as rows of their own, in blocks of their own; sources whose sizes are all 0
 have target 0. Reruns agree, because blocks, orders and draws all come from hashes of the rows.
 """

@@ -25,7 +25,8 @@ sets, in three rounds:
 So components need no list of all pairs in a group of copies. A pair at the threshold is met in one tree
 at least with probability 1 - (1 - 0.8 ** 4) ** 24, about 0.999995, however dense its regions are.
 
-Defined results: null, empty and wordless texts have an empty set and link with nothing; a text with
+Defined results: identifiers are whole numbers or text of their digits, and other text stops the job with Spark's
+cast error; null, empty and wordless texts have an empty set and link with nothing; a text with
 fewer words than a shingle is one shingle; rows that share an identifier are one document, with the links
 of each of its texts, and each row is listed; rows without an identifier are listed without a component,
 as kept; an empty table gives an empty result. ``drop_near_duplicates`` leaves one row of each group, of

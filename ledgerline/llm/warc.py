@@ -11,7 +11,8 @@ Spark commits as a table, says which of them count; a task that is tried again l
 and nothing else. Payloads of the same content are stored once: of the records with equal payloads the
 one with the largest identifier is a response and the others are revisits that refer to it.
 
-Defined results: a null payload is empty; a null url is written as empty; null identifiers sort below
+Defined results: identifiers are whole numbers or text of their digits, and other text stops the job with Spark's
+cast error; a null payload is empty; a null url is written as empty; null identifiers sort below
 all others and are kept; of rows that repeat identifier and payload the one with the smallest url is
 the response and the rest revisit it; an empty table gives an empty archive; other columns are ignored.
 """
