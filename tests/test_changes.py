@@ -6,6 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 
 from ledgerline.operators import graphs, upkeep
+from ledgerline.plans import registry
+from tests.oracle import TABLES, assert_equal, connect
+
+SF = "/root/testdata/sf0.001"
 
 T0 = datetime(2024, 1, 1)
 
@@ -133,3 +137,30 @@ def test_texts_within_texts_meet(spark):
     needles = [(1000 + i, "".join(rng.choices("abc", k=rng.randint(1, 5)))) for i in range(80)]
     got = {(r["x"], r["y"]) for r in resolve._holding(spark.createDataFrame(hay, "id long, name string"), "name", spark.createDataFrame(needles, "id long, label string"), "label").collect()}
     assert got == {(x, y) for x, h in hay for y, n in needles if n in h}
+
+
+def test_teachings_of_one_domain_take_few_rounds(spark, monkeypatch):
+    """Many teachings about a domain that no company has, by a name that one has, and a name that is another's domain."""
+    taught = [(f"t{i:03}", T0 + timedelta(minutes=i), "domain", f"d{i % 6}.example", "positive", f"Firm {i % 2}", None) for i in range(120)]
+    taught += [("u0", T0 + timedelta(days=1), "address", "a@gmail.com", "positive", None, "solo.example"), ("u1", T0 + timedelta(days=2), "domain", "z.example", "positive", "Solo.example", None)]
+    frame = spark.createDataFrame([(*t, None, None) for t in taught], "id string, at timestamp, match_type string, value string, verdict string, company string, company_domain string, category string, kind string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    rounds, real = [], upkeep.stage
+    monkeypatch.setattr(upkeep, "stage", lambda df, by=None: (rounds.append(1), real(df, by))[1])
+    out = upkeep.teach_batch(frame, empty("id string, canonical_name string, domain string, kind string"), empty("company_id string, alias string"), empty("match_type string, value string, verdict string, category string, company_id string, source string"),
+                             empty("category string, verdict string, company_id string"), empty("id string, addresses array<string>, company_id string, classified_by string"))
+    made, target = brute_teach([(*t, None) for t in taught], [], [])
+    assert len(rounds) < 10
+    assert {r["id"]: (r["canonical_name"].lower(), r["domain"]) for r in out["companies"].collect()} == {k: (n.lower(), d) for k, (n, d) in made.items()}
+    assert {r["value"]: r["company_id"] for r in out["rules"].collect()} == {t[3]: target[t[0]] for t in taught}
+
+
+def test_links_to_a_company_that_is_not_there(spark, tmp_path):
+    """The largest company's successor would be deleted or merged by its number, but no plan names it."""
+    con = connect(SF)
+    for t in TABLES:
+        kept = {"customer": "WHERE c_custkey < 140", "orders": "WHERE o_custkey < 140"}.get(t, "")
+        con.execute(f"COPY (SELECT * FROM {t} {kept}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    rows = registry.QUERIES["audited_links"](spark, str(tmp_path))
+    assert rows.filter("company_id = 140").count() > 0
+    assert_equal(rows, connect(tmp_path), registry.ORACLES["audited_links"])
