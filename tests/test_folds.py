@@ -1,6 +1,7 @@
 """Queries that SQL can't say, against brute force over whole tables; stream replays; staged tables."""
 
 import itertools
+import random
 import re
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -177,3 +178,33 @@ def test_residual_and_cursors_of_nothing(spark):
 @pytest.mark.parametrize("name", ["create_companies", "assign_applications", "compatible_merges", "stream_applications"])
 def test_without_oracle_is_what_is_listed_here(name):
     assert name in registry.QUERIES and name not in registry.ORACLES
+
+
+def test_candidate_classes_lose_no_pair(spark):
+    """Pairs of classes, written out, are all pairs by the rule: names, labels, own, shared and nested domains, and names of nothing."""
+    rng = random.Random(5)
+    words, domains = ["acme", "blue", "labs", "co", "robotics", "acmelabs", "7"], [None, None, "gmail.com", "acme.example", "eu.acme.example", "blue.example", "www.Blue.example", "acmelabs.example", "zeta.example", "co7.example"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 4))).title() if i % 17 else "Inc", rng.choice(domains)) for i in range(160)]
+    flat = {i: tuple(w for w in re.split(r"[^a-z0-9]+", n.lower()) if w) for i, n, _ in rows}
+    for i, w in flat.items():
+        while w and w[-1] in nz.SUFFIXES:
+            w = w[:-1]
+        flat[i] = w
+    own = {i: d.lower().removeprefix("www.") if d and d != "gmail.com" else None for i, _, d in rows}
+    want = set()
+    for x, y in itertools.combinations(flat, 2):
+        a, b, d, e = flat[x], flat[y], own[x], own[y]
+        if d and e and d != e and not d.endswith("." + e) and not e.endswith("." + d):
+            continue
+        share = len({*a} & {*b}) / min(len({*a}), len({*b})) if a and b else 0
+        holds = lambda name, dom: bool(name and dom and (dom.split(".")[0] == "".join(name) or dom.split(".")[0] in " ".join(name) or " ".join(name) in dom.split(".")[0]))
+        score = 1.0 if a and a == b else 0.9 if share >= 1 else 0.6 if share >= 0.6 else 0.8 if holds(a, e) or holds(b, d) else None
+        if score:
+            want.add((x, y, score))
+    found = resolve.merge_candidates(spark.createDataFrame(rows, "id long, canonical_name string, domain string")).cache()
+    got = [(r["left_id"], r["right_id"], r["score"]) for r in resolve.candidate_pairs(found, None).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {s for _, _, s in want} == {1.0, 0.9, 0.6, 0.8}
+    assert found.filter("reason <> 'member'").count() < len(want) / 2 and found.filter("reason = 'member'").count() == len(rows)
+    first = [(r["left_id"], r["right_id"], r["score"]) for r in resolve.candidate_pairs(found, 30).collect()]
+    assert first == sorted(want, key=lambda p: (-p[2], p[0], p[1]))[:30]
+    found.unpersist()
