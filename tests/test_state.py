@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline import storage
 from ledgerline.operators import resolve, upkeep
 from ledgerline.plans import intake, registry
 from ledgerline.plans.adapters import record
@@ -152,3 +153,17 @@ def test_silences_at_every_step_of_the_clock(spark, tmp_path):
     now = {(x["application_id"], x["state"], x["since"]) for x in upkeep.silences(r, at=rows["sent_at"].max().to_pydatetime()).filter("application_id % 3 = 0").collect()}
     last = rows.sort_values(["sent_at", "id"]).groupby("application_id").last()
     assert {(a, s, t) for a, s, t in said if last.loc[a, "sent_at"] < t} >= {x for x in now if not rows[rows.application_id == x[0]]["ends"].any()}
+
+
+def test_a_part_in_many_files_is_one_batch(spark):
+    rows = spark.range(0, 4000, 1, 4).withColumn("part", F.col("id") % 5)
+    seen = []
+
+    def start(stream):
+        marked = stream.withColumn("file", F.input_file_name())
+        folder = f"{seen[0] if seen else seen.append(storage.shared_dir(spark)) or seen[0]}/check"
+        see = lambda batch, number: seen.append((number, [x[0] for x in batch.select("part").distinct().collect()], batch.count(), batch.select("file").distinct().count()))
+        return marked.writeStream.option("checkpointLocation", folder).foreachBatch(see).trigger(availableNow=True).start()
+
+    intake._arriving(rows.filter("part <> 3"), 5, F.col("part"), start)
+    assert [x[:3] for x in seen[1:]] == [(n, [k], 800) for n, k in enumerate((0, 1, 2, 4))] and all(x[3] == 4 for x in seen[1:])
