@@ -41,3 +41,21 @@ def test_passes_and_readings_match_senders_and_not_mail(spark, monkeypatch):
     rows = reading.settle(jobs, first, first.limit(0), _known(spark)).collect()
     assert {r.teach.value for r in rows if r.teach} == {"y.example", "z.example"} and len(rows) == 60
     assert max(seen) <= 3
+
+
+def test_rows_are_reduced_by_application_where_the_join_left_them(spark):
+    import re
+
+    from ledgerline.operators import scope
+    from ledgerline.plans.adapters import record
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = record(spark, "/root/testdata/sf0.001")
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (scope.latest_stage(r, "company_id"), scope.last_message(r, "company_id"))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    for plan in plans:
+        # both sides of the join with applications, and what is left of each application by company
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 3 and "Aggregate(key=[application_id" in re.sub(r"#\d+L?", "", plan)
