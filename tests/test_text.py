@@ -57,3 +57,20 @@ def test_a_query_reads_the_parts_of_its_words(spark, tmp_path):
     index = search.TextIndex.build(docs, "doc_id", "text", str(tmp_path))
     plan = index.search("word5", stemmed=False)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "part" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_an_index_shuffles_texts_and_not_their_words(spark, tmp_path, monkeypatch):
+    def shuffled():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        none = sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    monkeypatch.setattr(search, "TASK_CHARS", 2000, raising=False)
+    docs = spark.createDataFrame([(i, "some words and others " * 20) for i in range(100)], "doc_id long, text string")
+    before = shuffled()
+    index = search.TextIndex.build(docs, "doc_id", "text", str(tmp_path))
+    assert shuffled() - before < 200
+    assert {(r["id"], r["rank"] > 0) for r in index.search('"words and" -absent', stemmed=False).collect()} == {(i, True) for i in range(100)}
+    assert len(list(tmp_path.glob("postings/part=*/*.parquet"))) > 40
