@@ -59,3 +59,15 @@ def test_rows_are_reduced_by_application_where_the_join_left_them(spark):
     for plan in plans:
         # both sides of the join with applications, and what is left of each application by company
         assert len(re.findall(r"Exchange hashpartitioning", plan)) == 3 and "Aggregate(key=[application_id" in re.sub(r"#\d+L?", "", plan)
+
+
+def test_each_name_and_domain_is_looked_up_once(spark, monkeypatch):
+    from ledgerline.operators import resolve
+
+    real, looked = resolve.stage, []
+    monkeypatch.setattr(resolve, "stage", lambda df, *a: (looked.append(real(df, *a)), looked[-1])[1])
+    companies = spark.createDataFrame([(1, "Acme Robotics", "acme.example"), (2, "Beta", None)], "id long, canonical_name string, domain string")
+    rows = [(str(i), *[("ACME robotics Inc.", None), ("x", "Acme.example"), ("beta", "gmail.com"), (None, None), ("nobody", "no.example")][i % 5]) for i in range(50)]
+    found = resolve.lookup_companies(spark.createDataFrame(rows, "id string, name string, domain string"), companies, resolve.company_aliases(companies)).collect()
+    assert sorted((int(r.id), r.company_id) for r in found) == [(i, [1, 1, 2, None, None][i % 5]) for i in range(50)]
+    assert [t.count() for t in looked] == [5]
