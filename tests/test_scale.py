@@ -71,3 +71,15 @@ def test_each_name_and_domain_is_looked_up_once(spark, monkeypatch):
     found = resolve.lookup_companies(spark.createDataFrame(rows, "id string, name string, domain string"), companies, resolve.company_aliases(companies)).collect()
     assert sorted((int(r.id), r.company_id) for r in found) == [(i, [1, 1, 2, None, None][i % 5]) for i in range(50)]
     assert [t.count() for t in looked] == [5]
+
+
+def test_lists_of_recipients_are_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.functions import normalize as nz
+
+    rows = [(["B@x", "b@X", None, "ME@own"], ["c@x", "b@x"], ["me@own"]), (None, ["d@x"], ["a@x", "A@x"]), ([], None, None)]
+    mail = spark.createDataFrame(rows, "at array<string>, cc array<string>, sender array<string>")
+    got = mail.select(nz.reply_recipients(F.lit(None).cast("array<string>"), F.reverse("sender"), F.col("at"), F.col("cc"), ["Me@own"]).alias("r"))
+    assert [(r.r.to, r.r.cc) for r in got.collect()] == [(["B@x"], ["c@x"]), (["A@x"], ["d@x"]), ([], [])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
