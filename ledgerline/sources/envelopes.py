@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from datetime import UTC
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,9 +83,17 @@ HEADER_CUT = 500
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Headers and body parts with the standard mail parser; what can't be parsed gives empty fields and says so."""
-    from email import message_from_bytes, policy
+    from email import headerregistry, message_from_bytes, policy
     from email.utils import getaddresses, parsedate_to_datetime
 
+    class Registry(headerregistry.HeaderRegistry):
+        """The standard one, which makes a class for each header it reads; here one for each name."""
+
+        __getitem__ = lru_cache(1024)(headerregistry.HeaderRegistry.__getitem__)
+
+    # headers don't change once read, and most of those that are long to read come again and again
+    reading = policy.default.clone(header_factory=lru_cache(4096)(Registry()))
+
     names = [c.split()[0] for c in PARSED.split(", ")]
 
     def text(message, name):
@@ -96,7 +105,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def one(payload):
         try:
-            message = message_from_bytes(bytes(payload), policy=policy.default)
+            message = message_from_bytes(bytes(payload), policy=reading)
             date = text(message, "Date")
             try:
                 sent = parsedate_to_datetime(date) if date else None

@@ -83,3 +83,29 @@ def test_lists_of_recipients_are_worked_out_once(spark):
     got = mail.select(nz.reply_recipients(F.lit(None).cast("array<string>"), F.reverse("sender"), F.col("at"), F.col("cc"), ["Me@own"]).alias("r"))
     assert [(r.r.to, r.r.cc) for r in got.collect()] == [(["B@x"], ["c@x"]), (["A@x"], ["d@x"]), ([], [])]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+
+
+def test_derivations_are_compared_in_one_pass(spark):
+    from ledgerline.operators import quality
+
+    left = spark.createDataFrame([("a", 1), ("a", 1), ("a", 1), (None, 2), ("c", None)], "k string, n long")
+    right = spark.createDataFrame([("a", 1), (None, 2), ("d", 4), ("d", 4)], "k string, n long")
+    apart = quality.difference(left, right)
+    assert apart._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.k, r.n, r.side) for r in apart.collect()) == [("a", 1, "left"), ("a", 1, "left"), ("c", None, "left"), ("d", 4, "right"), ("d", 4, "right")]
+    assert apart.columns == ["k", "n", "side"]
+
+
+def test_a_header_that_comes_again_is_read_once(monkeypatch):
+    from email import headerregistry
+
+    import pandas as pd
+
+    from ledgerline.sources import envelopes as env
+
+    real, read = headerregistry.HeaderRegistry.__call__, []
+    monkeypatch.setattr(headerregistry.HeaderRegistry, "__call__", lambda self, name, value: (read.append(name), real(self, name, value))[1])
+    mail = [f"From: A <a@x.example>\r\nTo: b@y.example\r\nMessage-ID: <{i}@x>\r\nDate: Mon, 02 Jan 2023 10:00:00 +0000\r\n\r\nhi".encode() for i in range(20)]
+    (out,) = env._parse([pd.DataFrame({"storage_key": [str(i) for i in range(20)], "account": "b@y.example", "fetched_at": pd.Timestamp("2023-01-01"), "payload": mail})])
+    assert out["senders"].tolist() == [["a@x.example"]] * 20 and out["message_id"].tolist() == [f"<{i}@x>" for i in range(20)]
+    assert read.count("From") == 1 and read.count("Date") == 1 and read.count("Message-ID") == 20
