@@ -126,9 +126,9 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     listed = F.from_json(F.lit(json.dumps(known)), "array<struct<name: string, keys: array<bigint>, shingles: array<bigint>, blocks: int>>")
     anything = F.from_json(F.lit(json.dumps(sorted({x for t in known for x in t["shingles"]}))), "array<bigint>")
     hashes = F.col("hashes")
-    # explode of one element, so that a filter on top doesn't work out words and shingles again
+    # explode of one element, so that what stands on top doesn't work out words, shingles and shared ones again, these for each window
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(words_of(F.col(text_col)))).alias("words")).select("doc_id", F.explode(F.array(shingles(F.col("words")))).alias("hashes"))
-    near = rows.withColumn("shared", F.array_intersect(hashes, anything)).filter(F.size("shared") > 0)
+    near = rows.select("doc_id", "hashes", F.explode(F.array(F.array_intersect(hashes, anything))).alias("shared")).filter(F.size("shared") > 0)
     windows = F.filter(_starts(hashes), lambda b: F.arrays_overlap(_run(hashes, b, 2), F.col("shared")))
     met = near.withColumn("windows", F.transform(windows, lambda b: F.struct(b.alias("block"), _keys(_run(hashes, b, 2)).alias("keys"))))
 

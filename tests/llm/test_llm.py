@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -581,6 +582,23 @@ def test_licenses_equal_containment(spark):
     assert licenses.find_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_licenses_of_a_long_text(spark):
+    """One text takes about as long as the same words in a hundred, not the square of its windows."""
+    fill = lambda n: " ".join(f"w{i % 4999}" for i in range(n))
+    notice = " " + licenses.TEMPLATES["MIT"]
+
+    def timed(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(1)
+        began = time.perf_counter()
+        return sorted(map(tuple, licenses.find_licenses(docs).collect())), time.perf_counter() - began
+
+    timed([notice])  # compiles
+    split, often = timed([fill(400) + notice] * 100)
+    whole, once = timed([fill(40_000) + notice])
+    assert split == [(i, "MIT", 3, 3) for i in range(100)] and whole == [(0, "MIT", 3, 3)]
+    assert once < 3 * often + 3, (once, often)
+
+
 # 9
 
 
