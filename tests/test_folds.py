@@ -208,3 +208,16 @@ def test_candidate_classes_lose_no_pair(spark):
     first = [(r["left_id"], r["right_id"], r["score"]) for r in resolve.candidate_pairs(found, 30).collect()]
     assert first == sorted(want, key=lambda p: (-p[2], p[0], p[1]))[:30]
     found.unpersist()
+
+
+def test_the_query_lists_companies_and_not_classes(spark, monkeypatch):
+    """Each pair of companies is a row, also of classes that are longer than a block."""
+    monkeypatch.setattr(resolve, "_BLOCK", 2)
+    rows = registry.QUERIES["merge_candidates"](spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["left_id", "right_id", "reason", "score"] and rows.filter("left_id >= right_id").count() == 0
+    got = {(r["left_id"], r["right_id"]) for r in rows.collect()}
+    # the shared words of these names are enough wherever one of both has no domain
+    ids = range(0, 150, 3)
+    named = {r["id"] for r in record(spark, "/root/testdata/sf0.001").company.collect()}
+    want = {(x, y) for x in ids for y in ids if x < y and {x, y} <= named and (x % 7 == 0 or y % 7 == 0)}
+    assert want and want <= got and len(got) == rows.count()
