@@ -188,8 +188,9 @@ def stream_silences(spark, sf_dir):
     r = record(spark, sf_dir)
     ends = r.stage_event.filter(F.col("stage").isin(*TERMINAL)).select(F.col("evidence_message_id").alias("id")).distinct().withColumn("ends", F.lit(True))
     rows = r.message.select("application_id", "id", F.col("sent_at").cast("timestamp").alias("sent_at"), "direction").join(ends, "id", "left").fillna(False, ["ends"])
-    said = _said(rows, 4, F.floor((F.year("sent_at") - 1995) / 2), state.watch_silences, state.SILENT)
-    return said.select("application_id", "state", F.col("since").cast("timestamp_ntz").alias("since"))
+    work = shared_dir(spark)
+    _arriving(rows, 4, F.floor((F.year("sent_at") - 1995) / 2), lambda stream: state.silences_in_batches(stream, f"{work}/watched", f"{work}/checkpoint"))
+    return state.silences_said(spark, f"{work}/watched").select("application_id", "state", F.col("since").cast("timestamp_ntz").alias("since"))
 
 
 QUERIES["stream_silences"] = stream_silences

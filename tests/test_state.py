@@ -167,3 +167,37 @@ def test_a_part_in_many_files_is_one_batch(spark):
 
     intake._arriving(rows.filter("part <> 3"), 5, F.col("part"), start)
     assert [x[:3] for x in seen[1:]] == [(n, [k], 800) for n, k in enumerate((0, 1, 2, 4))] and all(x[3] == 4 for x in seen[1:])
+
+
+def _silences(spark, folder, batches):
+    """What folding in batches says after each batch, as sets of the batch's own."""
+    schema, seen = "application_id long, id string, sent_at timestamp, direction string, ends boolean", []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        state.silences_in_batches(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/watched", f"{folder}/check").awaitTermination()
+        said = [tuple(x) for x in state.silences_said(spark, f"{folder}/watched").collect()]
+        assert len(said) == len(set(said))
+        seen.append({(a, what, (at - T0).days) for a, what, at in said} - (set().union(*seen) if seen else set()))
+    return seen
+
+
+def test_silences_in_batches_follow_the_clock_and_late_endings(spark, tmp_path):
+    day = lambda n: T0 + timedelta(days=n)
+    got = _silences(spark, tmp_path, [
+        [(1, "a", day(0), "outbound", False), (2, "b", day(0), "outbound", False), (3, "c", day(0), "inbound", False), (4, "d", day(1), "outbound", True), (5, "e", day(0), "outbound", False), (6, "f", day(10), "outbound", False)],
+        # the clock passes a first step of 1, 2 and 5; 6 is answered in time
+        [(3, "g", day(15), "outbound", False), (6, "h", day(20), "inbound", False)],
+        # an ending that comes late stops 1, an older message doesn't stop 2, an answer proves 5
+        [(1, "i", day(-3), "inbound", True), (2, "j", day(-2), "inbound", False), (5, "k", day(22), "outbound", False)],
+        [(9, "l", day(60), "inbound", False)],
+    ])
+    assert got[0] == set() and got[1] == {(a, "going_cold", 14) for a in (1, 2, 5)}
+    assert got[2] == {(2, "ghosted", 21), (5, "ghosted", 21)}
+    assert got[3] == {(3, "going_cold", 29), (3, "ghosted", 36), (5, "going_cold", 36), (5, "ghosted", 43)}
+
+
+def test_silences_take_jobs_by_the_batch_and_no_calls_by_the_key(spark, monkeypatch):
+    """The registered stream had Python calls for each application of each batch."""
+    called = []
+    monkeypatch.setattr(state, "watch_silences", lambda *a, **k: called.append(a))
+    assert registry.QUERIES["stream_silences"](spark, SF).count() > 0 and not called
