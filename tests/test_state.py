@@ -201,3 +201,22 @@ def test_silences_take_jobs_by_the_batch_and_no_calls_by_the_key(spark, monkeypa
     called = []
     monkeypatch.setattr(state, "watch_silences", lambda *a, **k: called.append(a))
     assert registry.QUERIES["stream_silences"](spark, SF).count() > 0 and not called
+
+
+def test_following_in_batches_equals_the_fold_and_tells_late_mail(spark, tmp_path, monkeypatch):
+    rows = sorted(made(240, 12, companies=2), key=lambda r: r[3])
+    late = rows[40:44]
+    ordered = [r for r in rows if r not in late]
+    batches = [ordered[:100], [*ordered[130:150], *ordered[100:130]], ordered[150:], late]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, MENTIONS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        state.follow_in_batches(spark.readStream.schema(spark.createDataFrame([], MENTIONS).schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/folded", f"{tmp_path}/check", 200).awaitTermination()
+        held = spark.read.schema(state.FOLDED).parquet(f"{tmp_path}/folded/batch={k}").filter("kind = 2").count()
+        assert held < 120
+    said = state.said_in_batches(spark, f"{tmp_path}/folded")
+    assert {x["id"] for x in said.filter("late").collect()} == {r[1] for r in late}
+    got = {x["id"]: (x["company_id"], x["application"]) for x in state.settled_applications(said, spark.createDataFrame(rows, MENTIONS)).collect()}
+    assert got == brute(rows)
+    called = []
+    monkeypatch.setattr(state, "follow_applications", lambda *a, **k: called.append(a))
+    assert registry.QUERIES["stream_applications_late"](spark, SF).count() > 0 and not called
