@@ -109,3 +109,22 @@ def test_a_header_that_comes_again_is_read_once(monkeypatch):
     (out,) = env._parse([pd.DataFrame({"storage_key": [str(i) for i in range(20)], "account": "b@y.example", "fetched_at": pd.Timestamp("2023-01-01"), "payload": mail})])
     assert out["senders"].tolist() == [["a@x.example"]] * 20 and out["message_id"].tolist() == [f"<{i}@x>" for i in range(20)]
     assert read.count("From") == 1 and read.count("Date") == 1 and read.count("Message-ID") == 20
+
+
+def _shuffles(df):
+    """Shuffles of a plan that broadcasts nothing."""
+    spark, key = df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set(key, held)
+
+
+def test_claims_and_chains_meet_where_they_were_staged(spark):
+    from ledgerline.plans import registry
+
+    for name in ("derivation_gates",):
+        assert _shuffles(registry.QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
