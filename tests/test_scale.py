@@ -125,6 +125,6 @@ def _shuffles(df):
 def test_claims_and_chains_meet_where_they_were_staged(spark):
     from ledgerline.plans import registry
 
-    for name in ("derivation_gates",):
+    for name in ("derivation_gates", "onboarding_claims"):
         assert _shuffles(registry.QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
