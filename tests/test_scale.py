@@ -128,3 +128,19 @@ def test_claims_and_chains_meet_where_they_were_staged(spark):
     for name in ("derivation_gates", "onboarding_claims"):
         assert _shuffles(registry.QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_readings_meet_the_mail_where_it_was_staged(spark):
+    from ledgerline.plans import registry
+
+    assert _shuffles(registry.QUERIES["settled_readings"](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_domains_are_taught_by_companies_and_not_by_mail(spark):
+    """The first company of a domain pins it, a second mail of that company raises it; others in between change nothing."""
+    rows = [("m1", "a.example", "A", 1), ("m2", "a.example", "B", 2), ("m3", "b.example", "A", 3), ("m4", "b.example", "B", 4), ("m5", "b.example", "A", 5), ("m6", "c.example", None, 6), ("m7", "c.example", "C", 7), ("m8", "y.example", "K", 8), ("m9", "z.example", "L", 9)]
+    mail = spark.createDataFrame([(i, d, c, None, at) for i, d, c, at in rows], "id string, domain string, company_id string, kind string, at int")
+    known = spark.createDataFrame([("domain", "Y.example", "undecided", None, "K", "auto"), ("domain", "z.example", "undecided", None, "K", "auto")], RULES)
+    out = rules.teach_positive(mail, known)
+    assert sorted(tuple(r) for r in out.select("domain", "company_id", "verdict").fillna("-").collect()) == [("a.example", "A", "undecided"), ("b.example", "A", "positive"), ("c.example", "-", "undecided"), ("y.example", "K", "positive")]
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
